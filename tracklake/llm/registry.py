@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklake.llm import url_filter
+from tracklake.llm import exact_dedup, url_filter
 from tracklake.llm.common import table
 
 
@@ -14,9 +14,13 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.sql(duck=True)}
+    return {"op1_url_filter": url_filter.sql(duck=True), "op4_exact_dedup": exact_dedup.ORACLE}
