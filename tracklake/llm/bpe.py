@@ -35,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import drop, save, texts_of
+from tracklake.llm.common import drop, own_copy, save, texts_of
 
 #: Fixed value: the pre-tokenisation pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -216,7 +216,7 @@ def steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP) -> Iter
     while lo < len(texts):
         base = size[lo - 1] if lo else 0
         hi = max(lo + 1, int(np.searchsorted(size, base + most, "right")))
-        yield lo, texts.slice(lo, hi - lo)
+        yield lo, own_copy(texts.slice(lo, hi - lo))
         lo = hi
 
 

@@ -51,9 +51,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_copy(texts: pa.Array) -> pa.Array:
+    """The array without an offset; some string kernels go wrong on slices."""
+    return texts.take(pa.array(np.arange(len(texts))))
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """A batch's text column as large strings, null as empty."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    return pc.fill_null(own_copy(batch.column(column)).cast(pa.large_string()), "")
 
 
 def words_of(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
