@@ -314,6 +314,9 @@ class Encoder:
     def __init__(self, path: str, name: str | None, most: int = 400_000):
         self.v, self.lexicon, self.known, self.most = vocabulary(path), lexicon(SparkFiles.get(name)) if name else None, {}, most
 
+    def many(self, words: list[str]) -> list[tuple[int, ...]]:
+        return list(map(self.ids, words))
+
     def ids(self, word: str) -> tuple[int, ...]:
         found = self.known.get(word)
         if found is None:
@@ -335,7 +338,7 @@ class Encoder:
 def encode_texts(texts: pa.Array, e: Encoder) -> tuple[np.ndarray, np.ndarray]:
     """All ids, one text after the other, and the bounds of the texts."""
     codes, words, counts = split_words(texts, e.v)
-    own = [e.ids(w) for w in words]
+    own = e.many(words)
     size = np.fromiter(map(len, own), np.int64, len(own))
     flat = np.fromiter((x for w in own for x in w), np.int32, int(size.sum()))
     begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
