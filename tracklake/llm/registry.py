@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklake.llm import bpe, exact_dedup, minhash, packing, url_filter
+from tracklake.llm import bpe, exact_dedup, minhash, packing, url_filter, warc
 from tracklake.llm.common import table
 
 
@@ -30,9 +30,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.sql(duck=True), "op4_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_url_filter": url_filter.sql(duck=True), "op4_exact_dedup": exact_dedup.ORACLE, "op10_warc": warc.ORACLE}
