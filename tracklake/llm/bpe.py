@@ -21,6 +21,7 @@ import mmap
 import os
 import struct
 import tempfile
+import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -300,7 +301,7 @@ def build_lexicon(documents: DataFrame, path: str, min_share: float = MIN_SHARE)
     v = vocabulary(path)
     words = sorted((w.encode(), v.merge(w)) for w in frequent if w and w not in v.special)
     data = compile_lexicon(words)
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
     local = os.path.join(tempfile.mkdtemp(prefix="spark-lexicon-"), name)
     with open(local, "wb") as f:
         f.write(data)
