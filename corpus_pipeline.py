@@ -1,8 +1,53 @@
-"""Corpus pipeline: STAGES over documents, each a written table that the next one reads."""
+"""Corpus pipeline: quality rules, exact and near dedup, secret redaction, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written as
+Parquet and read again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tracklake.llm import exact_dedup, minhash, packing, quality, secrets
+from tracklake.llm.common import save, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules or the classifier reject go."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal normalised text the one with the smallest doc_id stays."""
+    return exact_dedup.keep(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    return minhash.keep(docs)
+
+
+def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets, encoded ones too, are replaced in the texts; n_chars follows."""
+    return secrets.redact(docs, length="n_chars" if "n_chars" in docs.columns else None)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in the sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("exact dedup", exact), ("near dedup", near), ("secret scan", secret_redaction), ("packing", packed)]
+
+#: SQL cannot express the classifier, the decoded secrets or the tokens; tests/llm/test_pipeline.py has the brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the documents of sf_dir."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = save(docs, f"stage-{k}")
+    return docs

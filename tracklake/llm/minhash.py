@@ -30,12 +30,12 @@ rows of one id with one text share a class. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.llm.common import components, drop, hashes_of, mix, rolling, row_slices, save, texts_of, words_of
@@ -170,18 +170,18 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("k") >= percent * (F.col("t") - F.col("k"))).select("a", "b")
 
 
-def links(documents: DataFrame, classes: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = PERCENT, rounds: int = ROUNDS, block: int = BLOCK, owner: Column | None = None) -> DataFrame:
     """Confirmed links (a, b) between class representatives: enough of them for every component.
 
-    classes: id, n (set size), bands. documents: doc_id, text, with the representatives among them.
+    classes: id, n (set size), bands. sets_of gives the full sets (id, s) of the ids (id) it is asked for.
+    owner: what must differ within a bucket for it to count, if not the id.
     """
     plain = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    full = plain.groupBy("bucket").agg(F.count("*").alias("m"), F.min("id").alias("least")).where("m > 1")
+    owner = F.col("id") if owner is None else owner
+    full = plain.groupBy("bucket").agg(F.count("*").alias("m"), F.min("id").alias("least"), F.min(owner).alias("o1"), F.max(owner).alias("o2")).where("o1 <> o2").select("bucket", "m", "least")
     full = save(full, "buckets")
     member = save(plain.join(full, "bucket").select("bucket", "id", "n", "m", "least"), "members")
-    ids = member.select("id").distinct()
-    some = documents.select("doc_id", "text").join(ids, documents.doc_id == ids.id, "left_semi")
-    sets = save(some.mapInArrow(_sets, "id long, s array<long>").dropDuplicates(["id"]), "sets")
+    sets = save(sets_of(member.select("id").distinct()), "sets")
     near = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     sizes = member.groupBy("id").agg(F.first("n").alias("n"))
     size_of = lambda c: sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
@@ -228,7 +228,12 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, rounds: int =
     signed = save(documents.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "signed")
     able = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = save(able.groupBy("n_shingles", "f1", "f2").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select(F.col("r.doc_id").alias("id"), F.col("n_shingles").alias("n"), "f1", "f2", F.col("r.bands").alias("bands")), "classes")
-    found = save(links(documents, classes.select("id", "n", "bands"), percent, rounds, block), "links")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        some = documents.select("doc_id", "text").join(ids, documents.doc_id == ids.id, "left_semi")
+        return some.mapInArrow(_sets, "id long, s array<long>").dropDuplicates(["id"])
+
+    found = save(links(classes.select("id", "n", "bands"), sets_of, percent, rounds, block), "links")
     got = components(found)
     label = classes.join(got, classes.id == got.node, "left").select("f1", "f2", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("class_component"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(label, ["f1", "f2", "n_shingles"], "left")
