@@ -189,12 +189,13 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     pairs = pairs.join(size_of("a"), "a").where(near(F.col("n_a"), F.col("n_b"))).select("a", "b")
     found = save(confirm(pairs, sets, percent), "links")
     comp = _labels(sizes, found)
+    larger = member.where("m > 2")  # step 1 has decided the only pair of the others
     for k in range(rounds + 1):
-        now = member.join(comp, "id")
+        now = larger.join(comp, "id")
         several = now.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))).alias("x")).where("c1 <> c2")
         several = save(several.select("bucket", "x.a", "x.ca", "x.na"), "open")
         if several.isEmpty():
-            return found
+            break
         if k == rounds:
             break
         pairs = now.join(several, "bucket").where((F.col("comp") != F.col("ca")) & near(F.col("n"), F.col("na"))).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
@@ -202,7 +203,11 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
         if not fresh.isEmpty():
             found = save(found.union(fresh), "links")
             comp = _labels(sizes, found)
-    return found.union(_rest(member.join(several.select("bucket"), "bucket", "left_semi").join(comp, "id"), sets, percent, block))
+    if not several.isEmpty():
+        found = save(found.union(_rest(larger.join(several.select("bucket"), "bucket", "left_semi").join(comp, "id"), sets, percent, block)), "links")
+    for old in (full, member, sets, several, comp):
+        drop(old)
+    return found
 
 
 def _labels(sizes: DataFrame, found: DataFrame) -> DataFrame:
@@ -233,7 +238,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, rounds: int =
         some = documents.select("doc_id", "text").join(ids, documents.doc_id == ids.id, "left_semi")
         return some.mapInArrow(_sets, "id long, s array<long>").dropDuplicates(["id"])
 
-    found = save(links(classes.select("id", "n", "bands"), sets_of, percent, rounds, block), "links")
+    found = links(classes.select("id", "n", "bands"), sets_of, percent, rounds, block)
     got = components(found)
     label = classes.join(got, classes.id == got.node, "left").select("f1", "f2", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("class_component"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(label, ["f1", "f2", "n_shingles"], "left")
