@@ -36,7 +36,7 @@ def test_rules_and_parts(spark):
 
 
 def test_model_learns_what_rules_block(spark):
-    rows = [(k, f"http://casino-{k}.bet.net/win/{k}") for k in range(200)] + [(200 + k, f"http://school-{k}.edu.org/fr/book/{k}") for k in range(200)]
-    rows += [(1000, "http://casino-77.bet.com/win/9"), (1001, "http://school-5.edu.com/book/7")]
+    rows = [(k, f"http://casino-{k}.bet.net/win/{k}") for k in range(200)] + [(200 + k, f"http://school-{k}.learn.org/fr/book/{k}") for k in range(200)]
+    rows += [(1000, "http://casino-77.bet.com/win/9"), (1001, "http://school-5.learn.uk/fr/book/7")]
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert got[1000] == (None, "block") and got[1001] == (None, "allow")
