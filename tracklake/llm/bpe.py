@@ -26,7 +26,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +43,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 MIN_SHARE = 2e-5
 #: The rank of a pair that never merges.
 NEVER = (1 << 30, -1)
-#: Characters of text that one step holds at once.
-STEP = 4_000_000
+#: Bytes of text that one step holds at once; encoding gains from larger ones, as words come back within a step.
+STEP, ENCODE_STEP = 4_000_000, 12_000_000
 
 
 def vocabulary_path() -> str:
@@ -240,7 +240,7 @@ def split_words(texts: pa.Array, v: Vocabulary) -> tuple[np.ndarray, list[str],
     offsets -= offsets[0]
     coded = lists.flatten().dictionary_encode()
     codes = np.asarray(coded.indices).astype(np.int64)
-    names = coded.dictionary.to_pylist()
+    names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     words = [" " + w for w in names]
     # a text's first word has no space before it
     first = offsets[:-1]
@@ -274,7 +274,7 @@ def word_counts(documents: DataFrame, path: str, min_share: float) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, seen, total, last = vocabulary(path), Counter(), 0, 0
         for batch in batches:
-            for _, texts in steps(batch):
+            for _, texts in steps(batch, most=ENCODE_STEP):
                 codes, words, _ = split_words(texts, v)
                 for w, n in zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True):
                     for x in (w,) if w in v.special else v.pattern.findall(w):
@@ -310,26 +310,37 @@ def build_lexicon(documents: DataFrame, path: str, min_share: float = MIN_SHARE)
 
 
 class Encoder:
-    """Ids of words, by the lexicon or by merging; keeps the words that it has met, up to a bound."""
+    """Ids of words, by the lexicon or by merging; keeps the words that it has met last, up to a bound.
 
-    def __init__(self, path: str, name: str | None, most: int = 400_000):
-        self.v, self.lexicon, self.known, self.most = vocabulary(path), lexicon(SparkFiles.get(name)) if name else None, {}, most
+    When `most` words are held, they become the older half, of which only what is met again stays.
+    """
+
+    def __init__(self, path: str, name: str | None, most: int = 500_000):
+        self.v, self.lexicon, self.most = vocabulary(path), lexicon(SparkFiles.get(name)) if name else None, most
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def many(self, words: list[str]) -> list[tuple[int, ...]]:
-        return list(map(self.ids, words))
+        """Ids of distinct words."""
+        found = list(map(self.known.get, words))
+        missing = [k for k, x in enumerate(found) if x is None]
+        if len(self.known) + len(missing) > self.most:
+            self.older, self.known = self.known, {}
+        if missing:
+            self.fill(words, missing, found)
+        return found
+
+    def fill(self, words: list[str], missing: list[int], found: list) -> None:
+        for k in missing:
+            w = words[k]
+            ids = self.older.get(w)
+            found[k] = self.known[w] = self.ids(w) if ids is None else ids
 
     def ids(self, word: str) -> tuple[int, ...]:
-        found = self.known.get(word)
-        if found is None:
-            if word in self.v.special:
-                found = (self.v.special[word],)
-            else:
-                parts = [self.piece(w) for w in self.v.pattern.findall(word)]
-                found = parts[0] if len(parts) == 1 else tuple(x for p in parts for x in p)
-            if len(self.known) >= self.most:
-                self.known.clear()
-            self.known[word] = found
-        return found
+        if word in self.v.special:
+            return (self.v.special[word],)
+        parts = [self.piece(w) for w in self.v.pattern.findall(word)]
+        return parts[0] if len(parts) == 1 else tuple(x for p in parts for x in p)
 
     def piece(self, word: str) -> tuple[int, ...]:
         found = self.lexicon.get(word.encode()) if self.lexicon else None
@@ -341,7 +352,7 @@ def encode_texts(texts: pa.Array, e: Encoder) -> tuple[np.ndarray, np.ndarray]:
     codes, words, counts = split_words(texts, e.v)
     own = e.many(words)
     size = np.fromiter(map(len, own), np.int64, len(own))
-    flat = np.fromiter((x for w in own for x in w), np.int32, int(size.sum()))
+    flat = np.fromiter(chain.from_iterable(own), np.int32, int(size.sum()))
     begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
     width = size[codes]
     ends = np.cumsum(width)
@@ -363,7 +374,7 @@ def encode(documents: DataFrame, path: str | None = None, min_share: float = MIN
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(path, name)
         for batch in batches:
-            for lo, texts in steps(batch):
+            for lo, texts in steps(batch, most=ENCODE_STEP):
                 ids, bounds = encode_texts(texts, e)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(texts)).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
 
@@ -394,7 +405,7 @@ def digests(documents: DataFrame, path: str | None = None, min_share: float = MI
         e = Encoder(path, name)
         decimal = [str(k) for k in range(max(e.v.of_id) + 1)]
         for batch in batches:
-            for lo, texts in steps(batch):
+            for lo, texts in steps(batch, most=ENCODE_STEP):
                 ids, bounds = encode_texts(texts, e)
                 said, back = [], []
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):

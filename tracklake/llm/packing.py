@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.bpe import encode_texts, steps, vocabulary, vocabulary_path
+from tracklake.llm.bpe import ENCODE_STEP, Encoder, encode_texts, steps, vocabulary_path
 from tracklake.llm.common import save
 
 CAPACITY = 2048
@@ -38,28 +38,29 @@ END_ID = 0
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
 
 
-class LibraryEncoder:
-    """Ids of words by the tokenizers library; keeps the words it has met, up to a bound."""
+class LibraryEncoder(Encoder):
+    """Ids of words by the tokenizers library."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.v, self.known, self.most = vocabulary(path), {}, most
+        super().__init__(path, None)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
 
-    def many(self, words: list[str]) -> list[tuple[int, ...]]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = words
+    def fill(self, words: list[str], missing: list[int], found: list) -> None:
+        new = []
+        for k in missing:
+            if (ids := self.older.get(words[k])) is None:
+                new.append(k)
+            else:
+                found[k] = self.known[words[k]] = ids
         for lo in range(0, len(new), 5000):
-            part = new[lo : lo + 5000]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = tuple(e.ids)
-        return list(map(self.known.__getitem__, words))
+            part = [words[k] for k in new[lo : lo + 5000]]
+            for k, w, e in zip(new[lo : lo + 5000], part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                found[k] = self.known[w] = tuple(e.ids)
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +116,7 @@ def _first(path: str, capacity: int):
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch in batches:
-            for lo, texts in steps(batch):
+            for lo, texts in steps(batch, most=ENCODE_STEP):
                 ids, bounds = encode_texts(texts, e)
                 rows = np.array(list(cut(ids, bounds, capacity)), np.int64)
                 got.append((batch.column("doc_id").cast(pa.int64()).take(pa.array(lo + rows[:, 0])), rows[:, 1:]))
