@@ -1,11 +1,454 @@
-"""Registered queries of the interval operators, with their SQL."""
+"""Registered queries of the interval operators, each beside its SQL, over whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracklake.functions import bed
+from tracklake.functions import intervals as iv
+from tracklake.operators import coverage, joins, pyramid, ranges, sections, summary
+from tracklake.plans.fixtures import FEATURES, POINTS, REGIONS, SIGNAL, features, points, regions, signal
+from tracklake.shared import shared_path
+from tracklake.sources import text
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+ROW = 'chrom, start, "end", score'
+SUMS = "sum(ov) AS count, min(v) AS min, max(v) AS max, sum(v * ov) AS sum, sum(v * v * ov) AS sum_squares"
+CASTS = "CAST(count AS BIGINT) AS count, CAST(min AS DOUBLE) AS min, CAST(max AS DOUBLE) AS max, CAST(sum AS DOUBLE) AS sum, CAST(sum_squares AS DOUBLE) AS sum_squares"
+FILLED = "CAST(coalesce(count, 0) AS BIGINT) AS count, coalesce(CAST(min AS DOUBLE), CAST('inf' AS DOUBLE)) AS min, coalesce(CAST(max AS DOUBLE), CAST('-inf' AS DOUBLE)) AS max, coalesce(CAST(sum AS DOUBLE), 0) AS sum, coalesce(CAST(sum_squares AS DOUBLE), 0) AS sum_squares"
+
+
+def bins_sql(rows: str, lo: str, hi: str, n: str) -> str:
+    """Overlaps of rows (chrom, start, end, v, and lo, hi where they vary) with n bins, as a subquery."""
+    edge = lambda k: f"CAST(floor({lo} + ({k}) * (CAST({hi} - {lo} AS DOUBLE) / {n}) + 0.5) AS BIGINT)"
+    return f"""(SELECT chrom, bin, v, least("end", bs2) - greatest(start, bs) AS ov FROM (SELECT r.*, b.bin, {edge('b.bin')} AS bs, least({edge('b.bin + 1')}, {hi}) AS bs2
+      FROM {rows} r JOIN (SELECT unnest(range({n})) AS bin) b ON true) WHERE start < bs2 AND "end" > bs)"""
+
+
+# ------------------------------------------------------------------ ranges and predicates
+
+
+@query(f"""WITH {SIGNAL} SELECT {ROW} FROM signal WHERE chrom = 'R' AND start >= 100 AND "end" <= 500""")
+def range_contained(spark: SparkSession, sf: str) -> DataFrame:
+    return ranges.range_query(signal(spark, sf), "R", 100, 500)
+
+
+@query(f"""WITH {SIGNAL} SELECT {ROW} FROM signal WHERE chrom = 'R' AND start < 500 AND "end" > 100""")
+def range_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    return ranges.range_query(signal(spark, sf), "R", 100, 500, overlaps=True)
+
+
+@query(f"WITH {SIGNAL} SELECT {ROW} FROM signal WHERE chrom = 'A'")
+def range_whole_chrom(spark: SparkSession, sf: str) -> DataFrame:
+    return ranges.range_query(signal(spark, sf), "A")
+
+
+@query(f"WITH {SIGNAL} SELECT {ROW} FROM signal WHERE false")
+def range_unknown_chrom(spark: SparkSession, sf: str) -> DataFrame:
+    return ranges.range_query(signal(spark, sf), "chrZ", 1, 10)
+
+
+@query(f"""WITH {SIGNAL} SELECT chrom, start, "end", least("end", 900) - greatest(start, 300) AS shared, "end" - start AS length FROM signal""")
+def interval_intersection_len(spark: SparkSession, sf: str) -> DataFrame:
+    return signal(spark, sf).select("chrom", "start", "end", iv.intersection_length("start", "end", 300, 900).alias("shared"), iv.length().alias("length"))
+
+
+@query(f"""WITH {SIGNAL} SELECT chrom, min(start) AS start, max("end") AS "end" FROM signal GROUP BY chrom""")
+def interval_hull(spark: SparkSession, sf: str) -> DataFrame:
+    return signal(spark, sf).groupBy("chrom").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+@query(f"""WITH {SIGNAL} SELECT "end" - start AS length, count(*) AS n FROM signal GROUP BY 1""")
+def interval_length(spark: SparkSession, sf: str) -> DataFrame:
+    return signal(spark, sf).groupBy(iv.length().alias("length")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {SIGNAL}, r AS (SELECT *, CASE chrom WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS ix FROM signal)
+SELECT {ROW} FROM r WHERE (ix < 1 OR (ix = 1 AND start < 700)) AND (ix > 0 OR (ix = 0 AND "end" > 2000))""")
+def cross_chrom_intersects(spark: SparkSession, sf: str) -> DataFrame:
+    rows = signal(spark, sf).withColumn("ix", F.when(F.col("chrom") == "A", 0).when(F.col("chrom") == "N", 1).otherwise(2))
+    return rows.where(iv.crosses(("ix", "start", "ix", "end"), (0, 2000, 1, 700))).drop("ix")
+
+
+@query(f"WITH {SIGNAL} SELECT {ROW} FROM signal WHERE chrom = 'N' AND start = 1000")
+def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return ranges.point_lookup(signal(spark, sf), "N", 1000)
+
+
+@query(f"""WITH {SIGNAL} SELECT chrom, start, "end", printf('%.1f@[%d; %d)', score, start, "end") AS shown FROM signal""")
+def interval_format(spark: SparkSession, sf: str) -> DataFrame:
+    return signal(spark, sf).select("chrom", "start", "end", iv.shown().alias("shown"))
+
+
+@query(f"""WITH {SIGNAL}, s AS (SELECT CAST("end" AS BIGINT) AS a, "end" - start AS b FROM signal) SELECT a, b, CAST((a + b - 1) // b AS BIGINT) AS q FROM s""")
+def ceil_division(spark: SparkSession, sf: str) -> DataFrame:
+    rows = signal(spark, sf).select(F.col("end").cast("long").alias("a"), iv.length().alias("b"))
+    return rows.withColumn("q", iv.ceil_div("a", "b"))
+
+
+def tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The signal as tiles of 256 positions with two tracks; values of 7 are missing."""
+    track = F.when(F.col("l_linestatus") == "F", 0).otherwise(1)
+    value = F.when(F.col("score") == 7, F.lit(float("nan"))).otherwise(F.col("score")).cast("float")
+    return signal(spark, sf, "l_linestatus").select("chrom", F.floor(F.col("start") / 256).cast("int").alias("tile"), track.alias("track"), "start", "end", value.alias("score"))
+
+
+@query(f"""WITH {SIGNAL} SELECT chrom, CAST(start // 256 AS INTEGER) AS tile, CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS track, start, "end",
+  CASE WHEN score = 7 THEN CAST('nan' AS FLOAT) ELSE score END AS score FROM signal WHERE start // 256 BETWEEN 2 AND 4""")
+def tile_range_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return ranges.tile_query(tiles(spark, sf), 600, 1000, 256, 10)
+
+
+@query(f"""WITH {SIGNAL} SELECT chrom, start, "end", score FROM signal WHERE l_linestatus = 'F' AND score <> 7 AND start // 256 BETWEEN 2 AND 4 AND start >= 600 AND "end" < 1000""")
+def tdf_strict_filter(spark: SparkSession, sf: str) -> DataFrame:
+    rows = ranges.tile_query(tiles(spark, sf), 600, 1000, 256, 10).where("track = 0")
+    return ranges.track_range(rows, 600, 1000).select("chrom", "start", "end", "score")
+
+
+@query("""WITH q(lo, hi, n) AS (VALUES (0, 10, 2), (0, 9, 2), (0, 5, 4), (-7, 100, 9), (3, 4, 1), (0, 2557, 100)), b AS (SELECT lo, hi, n, unnest(range(n)) AS bin FROM q)
+SELECT lo, hi, n, bin, CAST(floor(lo + bin * (CAST(hi - lo AS DOUBLE) / n) + 0.5) AS BIGINT) AS start, CAST(least(floor(lo + (bin + 1) * (CAST(hi - lo AS DOUBLE) / n) + 0.5), hi) AS BIGINT) AS "end" FROM b""")
+def bin_edges(spark: SparkSession, sf: str) -> DataFrame:
+    q = spark.createDataFrame([(0, 10, 2), (0, 9, 2), (0, 5, 4), (-7, 100, 9), (3, 4, 1), (0, 2557, 100)], "lo int, hi int, n int")
+    b = q.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1).cast("long"))))
+    return b.select("lo", "hi", "n", "bin", iv.bin_start("lo", "hi", "n", "bin").alias("start"), iv.bin_end("lo", "hi", "n", "bin").alias("end"))
+
+
+# ------------------------------------------------------------------ summaries
+
+
+@query(f"""WITH {SIGNAL}, z AS (SELECT max("end") AS hi FROM signal WHERE chrom = 'R'), r AS (SELECT chrom, start, "end", CAST(score AS DOUBLE) AS v, hi FROM signal, z WHERE chrom = 'R'),
+  f AS (SELECT bin, {SUMS} FROM {bins_sql('r', '0', 'hi', '10')} GROUP BY bin)
+SELECT CAST(b.bin AS BIGINT) AS bin, {FILLED} FROM (SELECT unnest(range(10)) AS bin) b LEFT JOIN f ON b.bin = f.bin""")
+def bin_summary_signal(spark: SparkSession, sf: str) -> DataFrame:
+    return summary.summarize(signal(spark, sf), "R", num_bins=10)
+
+
+@query(f"""WITH {SIGNAL}, r AS (SELECT chrom, start, "end", CAST(score AS DOUBLE) AS v FROM signal WHERE chrom = 'N'),
+  f AS (SELECT bin, {SUMS} FROM {bins_sql('r', '2000', '6000', '40')} GROUP BY bin)
+SELECT CAST(b.bin AS BIGINT) AS bin, {FILLED} FROM (SELECT unnest(range(40)) AS bin) b LEFT JOIN f ON b.bin = f.bin""")
+def bin_summary_empty_bins(spark: SparkSession, sf: str) -> DataFrame:
+    return summary.summarize(signal(spark, sf), "N", 2000, 6000, 40)
+
+
+@query(f"""WITH {SIGNAL}, z AS (SELECT chrom, max("end") AS hi FROM signal GROUP BY chrom), r AS (SELECT s.chrom, start, "end", CAST(score AS DOUBLE) AS v, hi FROM signal s JOIN z USING (chrom)),
+  f AS (SELECT chrom, bin, {SUMS} FROM {bins_sql('r', '0', 'hi', '16')} GROUP BY chrom, bin)
+SELECT b.chrom, CAST(b.bin AS BIGINT) AS bin, {FILLED} FROM (SELECT chrom, unnest(range(16)) AS bin FROM z) b LEFT JOIN f ON b.chrom = f.chrom AND b.bin = f.bin""")
+def bin_summary_all_chroms(spark: SparkSession, sf: str) -> DataFrame:
+    return summary.summarize_all(signal(spark, sf), 16)
+
+
+TOTAL = f"""WITH {SIGNAL}, f AS (SELECT chrom, sum("end" - start) AS count, min(score) AS min, max(score) AS max, sum(CAST(score AS DOUBLE) * ("end" - start)) AS sum, sum(CAST(score AS DOUBLE) * score * ("end" - start)) AS sum_squares FROM signal GROUP BY chrom)"""
+
+
+@query(f"{TOTAL} SELECT chrom, {CASTS} FROM f")
+def chrom_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return summary.totals(signal(spark, sf), ["chrom"])
+
+
+@query(f"{TOTAL} SELECT {CASTS} FROM (SELECT sum(count) AS count, min(min) AS min, max(max) AS max, sum(sum) AS sum, sum(sum_squares) AS sum_squares FROM f)")
+def file_total_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return summary.totals(signal(spark, sf), [])
+
+
+@query(f"{TOTAL} SELECT chrom, round(sum / count, 6) AS mean, round(sqrt(sum_squares / count - (sum / count) * (sum / count)), 6) AS std FROM f")
+def summary_mean_std(spark: SparkSession, sf: str) -> DataFrame:
+    m = summary.moments(summary.totals(signal(spark, sf), ["chrom"]))
+    return m.select("chrom", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query(f"""WITH {SIGNAL} SELECT count(DISTINCT chrom) AS chroms, count(*) AS items, CAST(sum("end" - start) AS BIGINT) AS total_length FROM signal""")
+def input_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return signal(spark, sf).agg(F.countDistinct("chrom").alias("chroms"), F.count("*").alias("items"), F.sum(iv.length()).alias("total_length"))
+
+
+# ------------------------------------------------------------------ coverage
+
+SWEEP = f"""{FEATURES}, e AS (SELECT chrom, pos, sum(b) AS b, sum(e) AS e FROM (SELECT chrom, start AS pos, 1 AS b, 0 AS e FROM features UNION ALL SELECT chrom, "end", 0, 1 FROM features) GROUP BY chrom, pos),
+  d AS (SELECT *, coalesce(sum(b - e) OVER (PARTITION BY chrom ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e),
+  runs AS (SELECT chrom, pos AS start, lead(pos) OVER (PARTITION BY chrom ORDER BY pos) AS "end", before + b - e AS depth FROM d WHERE b <> e)"""
+
+
+@query(f"""WITH {SWEEP} SELECT chrom, start, "end", CAST(depth AS BIGINT) AS depth FROM runs WHERE depth > 0""")
+def coverage_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.coverage(features(spark, sf))
+
+
+@query(f"""WITH {SWEEP}, l AS (SELECT *, max(CASE WHEN e > 0 OR before = e THEN pos END) OVER (PARTITION BY chrom ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lft FROM d)
+SELECT chrom, lft AS start, pos AS "end", CAST(before AS BIGINT) AS depth FROM l WHERE e > 0 AND pos > lft""")
+def coverage_end_events(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.coverage(features(spark, sf), "end_events")
+
+
+@query(f"""WITH {SWEEP} SELECT chrom, CAST(depth AS BIGINT) AS depth, CAST(sum("end" - start) AS BIGINT) AS positions FROM runs WHERE depth > 0 GROUP BY chrom, depth""")
+def coverage_depth_hist(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.depth_histogram(features(spark, sf))
+
+
+@query(f"""WITH {POINTS}, m AS (SELECT chrom, start, "end", max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM points),
+  g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT chrom, min(start) AS start, max("end") AS "end" FROM g GROUP BY chrom, island""")
+def merge_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.merge_intervals(points(spark, sf))
+
+
+@query(f"""WITH {SWEEP}, z AS (SELECT chrom, max("end") AS hi FROM features GROUP BY chrom), r AS (SELECT s.chrom, start, "end", CAST(depth AS DOUBLE) AS v, hi FROM runs s JOIN z USING (chrom) WHERE depth > 0),
+  f AS (SELECT chrom, bin, {SUMS} FROM {bins_sql('r', '0', 'hi', '20')} GROUP BY chrom, bin)
+SELECT b.chrom, CAST(b.bin AS BIGINT) AS bin, {FILLED} FROM (SELECT chrom, unnest(range(20)) AS bin FROM z) b LEFT JOIN f ON b.chrom = f.chrom AND b.bin = f.bin""")
+def bin_summary_features(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.summarize_features(features(spark, sf), 20)
+
+
+# ------------------------------------------------------------------ joins
+
+
+@query(f"""WITH {POINTS} SELECT l.event_id AS l_event_id, r.event_id AS r_event_id, least(l."end", r."end") - greatest(l.start, r.start) AS shared
+FROM points l JOIN points r ON l.chrom = r.chrom AND l.start < r."end" AND r.start < l."end" AND l.event_id < r.event_id""")
+def join_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf, "event_id")
+    met = joins.interval_join(p, p, tile=600).where("l_event_id < r_event_id")
+    return met.select("l_event_id", "r_event_id", iv.intersection_length("l_start", "l_end", "r_start", "r_end").alias("shared"))
+
+
+@query(f"""WITH {SIGNAL}, {REGIONS} SELECT r.id, count(*) AS n, CAST(sum(s.score) AS DOUBLE) AS total FROM regions r JOIN signal s ON s.chrom = r.chrom AND s.start >= r.start AND s."end" <= r."end" GROUP BY r.id""")
+def join_contains(spark: SparkSession, sf: str) -> DataFrame:
+    met = joins.interval_join(regions(spark, sf), signal(spark, sf), "contains", tile=8)
+    return met.groupBy(F.col("l_id").alias("id")).agg(F.count("*").alias("n"), F.sum(F.col("r_score").cast("double")).alias("total"))
+
+
+@query(f"""WITH {SIGNAL}, {REGIONS} SELECT r.id, count(*) AS n, CAST(sum(least(s."end", r."end") - greatest(s.start, r.start)) AS BIGINT) AS shared FROM regions r JOIN signal s ON s.chrom = r.chrom AND s.start < r."end" AND r.start < s."end" GROUP BY r.id""")
+def join_overlap_tiled(spark: SparkSession, sf: str) -> DataFrame:
+    met = joins.interval_join(regions(spark, sf), signal(spark, sf), tile=8)
+    return met.groupBy(F.col("l_id").alias("id")).agg(F.count("*").alias("n"), F.sum(iv.intersection_length("l_start", "l_end", "r_start", "r_end")).alias("shared"))
+
+
+def some_sizes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("A", 2600), ("R", 2600)], "chrom string, size int")
+
+
+@query(f"WITH {SIGNAL} SELECT {ROW} FROM signal WHERE chrom IN ('A', 'R')")
+def semi_join_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return ranges.known_chromosomes(signal(spark, sf), some_sizes(spark))
+
+
+@query(f"WITH {SIGNAL} SELECT {ROW} FROM signal WHERE chrom NOT IN ('A', 'R')")
+def anti_join_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return ranges.unknown_chromosomes(signal(spark, sf), some_sizes(spark))
+
+
+@query(f"WITH {SIGNAL} SELECT {ROW}, 2600 AS size FROM signal WHERE chrom IN ('A', 'R')")
+def join_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return joins.with_sizes(signal(spark, sf), some_sizes(spark))
+
+
+# ------------------------------------------------------------------ sections
+
+
+@query(f"""WITH {SIGNAL} SELECT chrom, start, max("end") AS "end", CAST(sum(score) AS FLOAT) AS score FROM signal GROUP BY chrom, start""")
+def coalesce_variable(spark: SparkSession, sf: str) -> DataFrame:
+    return sections.coalesce_variable(signal(spark, sf))
+
+
+@query(f"""WITH {SIGNAL} SELECT chrom, start, "end", CAST(sum(score) AS FLOAT) AS score FROM signal GROUP BY chrom, start, "end\"""")
+def coalesce_bedgraph(spark: SparkSession, sf: str) -> DataFrame:
+    return sections.coalesce_bedgraph(signal(spark, sf))
+
+
+@query(f"""WITH {SIGNAL} SELECT chrom, l_linestatus AS section, min(start) AS start, max("end") AS "end", CAST(floor(avg("end" - start) + 0.5) AS INTEGER) AS span, count(*) AS size FROM signal GROUP BY chrom, l_linestatus""")
+def section_props(spark: SparkSession, sf: str) -> DataFrame:
+    return sections.properties(signal(spark, sf, F.col("l_linestatus").alias("section")))
+
+
+@query(f"""WITH {SIGNAL}, r AS (SELECT *, l_linestatus AS section, (row_number() OVER (PARTITION BY chrom, l_linestatus ORDER BY start, "end", score) - 1) // 500 AS part FROM signal)
+SELECT chrom, section, CAST(part AS BIGINT) AS part, count(*) AS n, min(start) AS start, max(start) AS last FROM r GROUP BY chrom, section, part""")
+def section_splice(spark: SparkSession, sf: str) -> DataFrame:
+    cut = sections.splice(signal(spark, sf, F.col("l_linestatus").alias("section")), most=500)
+    return cut.groupBy("chrom", "section", "part").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("start").alias("last"))
+
+
+BY_ORDER = "SELECT l_orderkey, min(l_returnflag) AS chrom, list(l_quantity ORDER BY l_linenumber, l_quantity) AS vals FROM lineitem GROUP BY l_orderkey"
+
+
+@query(f"""WITH s AS ({BY_ORDER}), x AS (SELECT chrom, l_orderkey, unnest(range(len(vals))) AS i, unnest(vals) AS v FROM s)
+SELECT chrom, CAST(l_orderkey % 1000 * 100 + i * 10 AS INTEGER) AS start, CAST(l_orderkey % 1000 * 100 + i * 10 + 5 AS INTEGER) AS "end", CAST(v AS FLOAT) AS score FROM x""")
+def fixed_step_explode(spark: SparkSession, sf: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_orderkey").agg(F.min("l_returnflag").alias("chrom"), F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("x"))
+    return sections.fixed_step(t.select("chrom", (F.col("l_orderkey") % 1000 * 100).alias("start"), F.lit(10).alias("step"), F.lit(5).alias("span"), F.col("x.l_quantity").alias("values")))
+
+
+@query("SELECT l_returnflag AS chrom, CAST(l_linenumber * 10 AS INTEGER) AS start, CAST(l_linenumber * 10 + 7 AS INTEGER) AS \"end\", CAST(l_quantity AS FLOAT) AS score FROM (SELECT *, min(l_returnflag) OVER (PARTITION BY l_orderkey) AS f FROM lineitem) WHERE f = l_returnflag")
+def variable_step_explode(spark: SparkSession, sf: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_orderkey", F.col("l_returnflag").alias("chrom")).agg(F.collect_list(F.struct((F.col("l_linenumber") * 10).alias("p"), F.col("l_quantity").alias("v"))).alias("x"))
+    least = t.groupBy("l_orderkey").agg(F.min_by(F.struct("chrom", "x"), "chrom").alias("y")).select("y.chrom", "y.x")
+    return sections.variable_step(least.select("chrom", F.lit(7).alias("span"), F.col("x.p").alias("positions"), F.col("x.v").alias("values")))
+
+
+@query("""WITH c AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS fresh FROM events),
+  r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM c)
+SELECT user_id, CAST(run AS BIGINT) AS run, event_type, min(event_id) AS first, count(*) AS size FROM r GROUP BY user_id, run, event_type""")
+def consecutive_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return sections.consecutive(spark.read.parquet(f"{sf}/events.parquet"), "user_id", "event_id", "event_type")
+
+
+@query(f"""WITH {SIGNAL}, w AS (SELECT l_orderkey, start, "end", l_linenumber, lag(start) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, start, "end", score) AS previous FROM signal) SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n FROM w WHERE start < previous GROUP BY l_orderkey""")
+def sortedness_violations(spark: SparkSession, sf: str) -> DataFrame:
+    rows = signal(spark, sf, "l_orderkey", "l_linenumber").withColumn("position", F.struct("l_linenumber", "start", "end", "score"))
+    return sections.order_violations(rows, "position", "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {POINTS}, w AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY start, "end") - 1) // 8 AS slot FROM points) SELECT user_id, CAST(slot AS BIGINT) AS slot, min(start) AS start, max("end") AS "end", count(*) AS size FROM w GROUP BY user_id, slot""")
+def fixed_slots(spark: SparkSession, sf: str) -> DataFrame:
+    return sections.fixed_slots(points(spark, sf, "user_id"), 8, "user_id")
+
+
+# ------------------------------------------------------------------ typed features
+
+COLOUR = "CASE WHEN o_orderkey % 7 = 0 THEN '0' ELSE (o_orderkey % 256) || ',' || (o_custkey % 256) || ',' || (o_orderkey % 100) END"
+SIZES_TEXT = "CASE n WHEN 0 THEN '.' WHEN 1 THEN '10' ELSE '10,20' END"
+STARTS_TEXT = "CASE n WHEN 0 THEN '.' WHEN 1 THEN '0' ELSE '0,1' END"
+PACKED = f"""concat_ws(chr(9), name, score, strand, start, "end", {COLOUR}, n, {SIZES_TEXT}, {STARTS_TEXT}, 'c' || o_custkey)"""
+
+
+@query(f"""WITH {FEATURES} SELECT chrom, start, "end", {PACKED} AS rest FROM features""")
+def bed_pack12(spark: SparkSession, sf: str) -> DataFrame:
+    return bed.pack(features(spark, sf))
+
+
+@query(f"""WITH {FEATURES} SELECT chrom, start, "end", concat_ws(chr(9), name, score, strand) AS rest FROM features""")
+def bed_pack6(spark: SparkSession, sf: str) -> DataFrame:
+    return bed.pack(features(spark, sf), 6, 0)
+
+
+@query(f"""WITH {FEATURES} SELECT chrom, start, "end", name, score, strand, start AS thick_start, "end" AS thick_end, {COLOUR} AS colour, n AS block_count, CASE WHEN n > 0 THEN {SIZES_TEXT} END AS sizes, CASE WHEN n > 0 THEN {STARTS_TEXT} END AS starts, 'c' || o_custkey AS extra FROM features""")
+def bed_unpack_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    back = bed.unpack(bed.pack(features(spark, sf)))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return back.select("chrom", "start", "end", "name", "score", "strand", "thick_start", "thick_end", bed.colour_text(F.col("item_rgb")).alias("colour"), "block_count", joined("block_sizes").alias("sizes"), joined("block_starts").alias("starts"), F.array_join("extra_fields", ",").alias("extra"))
+
+
+@query(f"""WITH {FEATURES} SELECT name, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE CAST(-16777216 + (o_orderkey % 256) * 65536 + (o_custkey % 256) * 256 + o_orderkey % 100 AS INTEGER) END AS item_rgb FROM features""")
+def bed_color(spark: SparkSession, sf: str) -> DataFrame:
+    return bed.unpack(bed.pack(features(spark, sf), 9, 0), 9).select("name", "item_rgb")
+
+
+@query(f"""WITH {FEATURES}, b AS (SELECT chrom, start, unnest(range(n)) AS i FROM features) SELECT chrom, CAST(start + i AS INTEGER) AS start, CAST(start + i + (i + 1) * 10 AS INTEGER) AS "end" FROM b""")
+def bed_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    back = bed.unpack(bed.pack(features(spark, sf)))
+    each = back.select("chrom", "start", F.explode(F.arrays_zip("block_sizes", "block_starts")).alias("b"))
+    at = F.col("start") + F.col("b.block_starts")
+    return each.select("chrom", at.alias("start"), (at + F.col("b.block_sizes")).alias("end"))
+
+
+@query(f"""WITH {FEATURES} SELECT chrom AS f0, CAST(start AS VARCHAR) AS f1, name AS f3, CAST(score AS VARCHAR) AS f4, CASE WHEN n > 0 THEN {SIZES_TEXT} END AS f10, 'c' || o_custkey AS f12, CAST(NULL AS VARCHAR) AS f13 FROM features""")
+def bed_getfield(spark: SparkSession, sf: str) -> DataFrame:
+    return features(spark, sf).select(*(bed.field(i).alias(f"f{i}") for i in (0, 1, 3, 4, 10, 12, 13)))
+
+
+@query(f"""WITH {FEATURES} SELECT chrom, start, "end", CASE WHEN o_orderkey % 5 = 0 THEN 4 WHEN o_orderkey % 5 = 1 THEN 5 WHEN o_orderkey % 5 = 2 THEN 5 END AS field,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'score value x is not an integer' WHEN o_orderkey % 5 = 1 THEN 'strand value * is not a strand' WHEN o_orderkey % 5 = 2 THEN 'field is missing' END AS reason FROM features""")
+def bed_unpack_errors(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.substring("name", 2, 30).cast("long") % 5
+    rest = F.when(k == 0, F.concat_ws("\t", "name", F.lit("x"), F.lit("+"))).when(k == 1, F.concat_ws("\t", "name", F.lit("1"), F.lit("*"))).when(k == 2, F.concat_ws("\t", "name", F.lit("1"))).otherwise(F.concat_ws("\t", "name", F.lit("."), F.lit("")))
+    rows = features(spark, sf).select("chrom", "start", "end", rest.alias("rest"))
+    return bed.unpack(rows, 6, strict=False).select("chrom", "start", "end", F.col("error.field").alias("field"), F.col("error.reason").alias("reason"))
+
+
+# ------------------------------------------------------------------ zoom
+
+
+def level_sql(r: int) -> str:
+    return f"""SELECT chrom, CAST(k AS BIGINT) AS bucket, CAST(sum(ov) AS BIGINT) AS count, min(v) AS min, max(v) AS max, sum(v * ov) AS sum, sum(v * v * ov) AS sum_squares FROM
+  (SELECT chrom, k, CAST(score AS DOUBLE) AS v, least("end", (k + 1) * {r}) - greatest(start, k * {r}) AS ov FROM (SELECT *, unnest(range(start // {r}, ("end" - 1) // {r} + 1)) AS k FROM signal)) GROUP BY chrom, k"""
+
+
+@query(f"""WITH {SIGNAL} SELECT CAST(greatest(ceil(sum("end" - start) / count(*)), 1) * 10 AS BIGINT) AS reduction FROM signal""")
+def initial_reduction(spark: SparkSession, sf: str) -> DataFrame:
+    return pyramid.initial_reduction(signal(spark, sf))
+
+
+@query(f"WITH {SIGNAL} {level_sql(40)}")
+def zoom_level_1(spark: SparkSession, sf: str) -> DataFrame:
+    return pyramid.first_level(signal(spark, sf), 40)
+
+
+@query(f"WITH {SIGNAL} {level_sql(160)}")
+def zoom_level_2(spark: SparkSession, sf: str) -> DataFrame:
+    return pyramid.next_level(pyramid.first_level(signal(spark, sf), 40))
+
+
+@query(f"WITH {SIGNAL} " + " UNION ALL ".join(f'SELECT CAST({r} AS BIGINT) AS reduction, chrom, bucket * {r} AS start, (bucket + 1) * {r} AS "end", count, min, max, sum, sum_squares FROM ({level_sql(r)})' for r in (40, 160, 640, 2560)))
+def zoom_pyramid(spark: SparkSession, sf: str) -> DataFrame:
+    return pyramid.pyramid(signal(spark, sf), 40, 4, path=shared_path(spark, "pyramid"))
+
+
+@query("""WITH l(reduction) AS (VALUES (CAST(3911 AS BIGINT)), (39110), (391100), (3911000)), d(desired) AS (VALUES (CAST(5000000 AS BIGINT)), (1), (0), (1000), (3911), (400000))
+SELECT desired, max(reduction) AS reduction FROM d LEFT JOIN l ON reduction <= desired AND desired > 1 GROUP BY desired""")
+def zoom_pick(spark: SparkSession, sf: str) -> DataFrame:
+    levels = spark.createDataFrame([(3911 * 10**k,) for k in range(4)], "reduction long")
+    return pyramid.pick_all(levels, spark.createDataFrame([(5000000,), (1,), (0,), (1000,), (3911,), (400000,)], "desired long"))
+
+
+@query(f"""WITH {SIGNAL}, z AS (SELECT chrom, bucket * 40 AS start, (bucket + 1) * 40 AS "end", count, min, max, sum, sum_squares FROM ({level_sql(40)})),
+  b AS (SELECT unnest(range(10)) AS bin), x AS (SELECT z.*, bin, (least("end", (bin + 1) * 250) - greatest(start, bin * 250)) / 40.0 AS w FROM z JOIN b ON start < (bin + 1) * 250 AND "end" > bin * 250)
+SELECT chrom, CAST(bin AS BIGINT) AS bin, CAST(sum(floor(count * w + 0.5)) AS BIGINT) AS count, min(min) AS min, max(max) AS max, round(sum(sum * w), 3) AS sum, round(sum(sum_squares * w), 3) AS sum_squares FROM x GROUP BY chrom, bin""")
+def zoom_summary(spark: SparkSession, sf: str) -> DataFrame:
+    level = pyramid.pyramid(signal(spark, sf), 40, 1)
+    got = pyramid.summarize(signal(spark, sf), level, [40], 0, 2500, 10)
+    return got.select("chrom", "bin", "count", "min", "max", F.round("sum", 3).alias("sum"), F.round("sum_squares", 3).alias("sum_squares"))
+
+
+# ------------------------------------------------------------------ text forms
+
+
+@query(f"""WITH {SIGNAL}, s AS (SELECT *, "end" - start AS span, start // 65536 AS part FROM signal)
+SELECT chrom, CAST(span AS INTEGER) AS span, CAST(part AS BIGINT) AS part, 'variableStep chrom=' || chrom || ' span=' || span || chr(10) || string_agg((start + 1) || ' ' || printf('%.1f', score), chr(10) ORDER BY start, (start + 1) || ' ' || printf('%.1f', score)) AS value FROM s GROUP BY chrom, span, part""")
+def wig_print(spark: SparkSession, sf: str) -> DataFrame:
+    return text.wig_text(signal(spark, sf))
+
+
+@query(f"WITH {SIGNAL} SELECT {ROW} FROM signal")
+def wig_parse_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "wig")
+    text.write_wig(signal(spark, sf), path)
+    return text.read_wig(spark, path).select("chrom", "start", "end", "score")
+
+
+@query(f"""WITH {SIGNAL} SELECT chrom || ' ' || start || ' ' || "end" || ' ' || printf('%.1f', score) AS line FROM signal""")
+def bedgraph_print(spark: SparkSession, sf: str) -> DataFrame:
+    return signal(spark, sf).select(text.bedgraph_line().alias("line"))
+
+
+@query(f"WITH {SIGNAL} SELECT {ROW} FROM signal")
+def bedgraph_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "bedgraph")
+    text.write_bedgraph(signal(spark, sf), path)
+    return text.read_bedgraph(spark, path)
+
+
+@query(f"""WITH {FEATURES} SELECT chrom, start, "end", {PACKED} AS rest FROM features""")
+def bed_text_scan(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "features")
+    rows = bed.pack(features(spark, sf))
+    rows.select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), "rest").alias("value")).write.text(path)
+    return text.read_features(spark, path)
