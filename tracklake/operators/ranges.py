@@ -35,6 +35,11 @@ def track_range(rows: DataFrame, start: int, end: int, value: str = "score") ->
     return rows.where(iv.strictly_within("start", "end", start, end) & ~F.isnan(value))
 
 
+def present(value: str = "score"):
+    """The value, null where it is NaN."""
+    return F.when(~F.isnan(value), F.col(value))
+
+
 def tiles_of(start: int, end: int, width: int, count: int) -> tuple[int, int]:
     """First and last tile of a query, both included; the last is read though the range may end before it."""
     return start // width, min(count - 1, -(-end // width))

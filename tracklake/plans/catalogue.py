@@ -116,9 +116,9 @@ def tiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {SIGNAL} SELECT chrom, CAST(start // 256 AS INTEGER) AS tile, CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS track, start, "end",
-  CASE WHEN score = 7 THEN CAST('nan' AS FLOAT) ELSE score END AS score FROM signal WHERE start // 256 BETWEEN 2 AND 4""")
+  CASE WHEN score <> 7 THEN score END AS score FROM signal WHERE start // 256 BETWEEN 2 AND 4""")
 def tile_range_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return ranges.tile_query(tiles(spark, sf), 600, 1000, 256, 10)
+    return ranges.tile_query(tiles(spark, sf), 600, 1000, 256, 10).withColumn("score", ranges.present("score"))
 
 
 @query(f"""WITH {SIGNAL} SELECT chrom, start, "end", score FROM signal WHERE l_linestatus = 'F' AND score <> 7 AND start // 256 BETWEEN 2 AND 4 AND start >= 600 AND "end" < 1000""")
