@@ -79,6 +79,6 @@ def test_every_stage_takes_an_empty_table(spark, folder):
 def test_classifier_of_this_table_is_sharp(folder):
     _, rows, label = folder
     some = [r for r in rows if r[0] in label]
-    m = quality.fit(pa.array([r[1] for r in some], pa.large_string()), np.array([label[r[0]] for r in some]))
+    m = quality.fit(quality.chunked(pa.array([r[1] for r in some], pa.large_string())), np.array([label[r[0]] for r in some]))
     p = quality.statistics(pa.array([r[1] for r in some], pa.large_string()), m)["probability"]
     assert all((x >= quality.LEAST_PROBABILITY) == (label[r[0]] == 1) for x, r in zip(p, some, strict=True))

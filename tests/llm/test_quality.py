@@ -65,7 +65,7 @@ def test_counts_and_verdicts(spark):
 def test_margins_equal_the_feature_matrix():
     good, labels = rows(100)
     texts, y = pa.array([t for _, t in good], pa.large_string()), np.array([q for _, q in labels])
-    m = quality.fit(texts, y)
+    m = quality.fit(quality.chunked(texts), y)
     r, s, v = quality.features(texts)
     at, words = quality.words_of(texts, lower=False)
     h, codes, names = quality.hashes_of(words)

@@ -5,7 +5,8 @@ words occur per word, hashed to 2^BITS slots. The model is trained on labelled q
 TRAIN_ROWS of them, those with the least hash of doc_id, which is the documented bound of what the
 driver holds. A fifth of these is held out for Platt scaling, which turns the margin into a
 probability of good quality. Whole tables are scored in Arrow batches against fixed thresholds: the two base
-rules, and LEAST_PROBABILITY. Weights (2^BITS floats) are all that is sent to tasks.
+rules, and LEAST_PROBABILITY. Tasks make the feature rows, the driver only fits
+them; weights (2^BITS floats) are all that is sent back to tasks.
 
 Defined cases: a null text has no words and fails the base rules; labels without quality or doc_id,
 or without a document, are not used; repeated rows are judged each; without labels of both classes the
@@ -26,7 +27,7 @@ from tracklake.llm.bpe import steps
 from tracklake.llm.common import hashes_of, mix, words_of
 
 BITS = 17
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 3000
 LEAST_PROBABILITY = 0.7
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: The characters that count as symbols.
@@ -106,29 +107,48 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit(texts: pa.Array, good: np.ndarray) -> Model | None:
-    """Logistic regression by Adam on four fifths of the rows, Platt scaling on the others."""
-    if len(texts) < 10 or len(set(good.tolist())) < 2:
+def chunked(texts: pa.Array, most: int = 64) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The feature matrix in parts of a few rows: row numbers, slots, values, in four bytes each."""
+    out = []
+    for lo in range(0, len(texts), most):
+        r, s, v = features(texts.slice(lo, most).take(pa.array(np.arange(min(most, len(texts) - lo)))))
+        out.append(((r + lo).astype(np.int32), s.astype(np.int32), v.astype(np.float32)))
+    return out
+
+
+def fit(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], good: np.ndarray) -> Model | None:
+    """Logistic regression by Adam on four fifths of the rows, Platt scaling on the others.
+
+    parts: rows, slots and values of the feature matrix, part after part; only one part is widened at a time.
+    """
+    n_rows = len(good)
+    if n_rows < 10 or len(set(good.tolist())) < 2:
         return None
-    rows, slots, values = features(texts)
-    held = np.arange(len(texts)) % 5 == 4
+    held = np.arange(n_rows) % 5 == 4
     if len(set(good[held].tolist())) < 2 or len(set(good[~held].tolist())) < 2:
         held[:] = False
-    use = ~held[rows]
-    r, s, v = rows[use], slots[use], values[use]
     n = (~held).sum()
-    share = np.where(good == 1, 0.5 / good[~held].mean(), 0.5 / (1 - good[~held].mean()))  # classes weigh the same
+    share = np.where(good == 1, 0.5 / good[~held].mean(), 0.5 / (1 - good[~held].mean())) * ~held / n  # classes weigh the same
     w, bias = np.zeros(1 << BITS), 0.0
     m, q, mb, qb = np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0
+
+    def margins() -> np.ndarray:
+        out = np.full(n_rows, bias)
+        for r, s, v in parts:
+            if len(r):
+                out[r[0] : r[-1] + 1] += np.bincount(r - r[0], w[s] * v)
+        return out
+
     for k in range(1, STEPS + 1):
-        margin = np.bincount(r, w[s] * v, len(texts)) + bias
-        wrong = np.where(held, 0, share * (sigmoid(margin) - good)) / n
-        g, gb = np.bincount(s, wrong[r] * v, 1 << BITS) + SHRINK * w, wrong.sum()
+        wrong = share * (sigmoid(margins()) - good)
+        g, gb = SHRINK * w, wrong.sum()
+        for r, s, v in parts:
+            g += np.bincount(s, wrong[r] * v, 1 << BITS)
         m, q, mb, qb = 0.9 * m + 0.1 * g, 0.99 * q + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * qb + 0.01 * gb * gb
         up, down = 1 - 0.9**k, 1 - 0.99**k
         w -= RATE * (m / up) / (np.sqrt(q / down) + 1e-6)
         bias -= RATE * (mb / up) / (np.sqrt(qb / down) + 1e-6)
-    margin = np.bincount(rows, w[slots] * values, len(texts)) + bias
+    margin = margins()
     a, b = platt(margin[held], good[held]) if held.any() else (1.0, 0.0)
     return Model(w.astype(np.float32), float(bias), a, b)
 
@@ -153,10 +173,28 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Mo
     some = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded by `most`, so small enough to broadcast
     found = documents.where("doc_id IS NOT NULL").select("doc_id", "text").join(F.broadcast(some.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality"))), F.col("doc_id") == F.col("_id"))
-    got = found.select("doc_id", "text", "quality").toArrow().sort_by("doc_id")
-    texts, good = pc.fill_null(got["text"].combine_chunks().cast(pa.large_string()), ""), got["quality"].to_numpy()
-    left = np.flatnonzero(~judged(texts, None, 0.0)["base_failed"])  # the base rules decide the others
-    return fit(texts.take(pa.array(left)), good[left])
+    got = found.select("doc_id", "quality", "text").mapInArrow(_featured, "doc_id long, quality int, slots array<int>, counts array<float>").toArrow().sort_by("doc_id")
+    parts = []
+    for lo in range(0, len(got), 256):
+        part = got.slice(lo, 256).combine_chunks()
+        slots, values = part["slots"].combine_chunks(), part["counts"].combine_chunks()
+        rows = np.repeat(np.arange(lo, lo + len(part), dtype=np.int32), np.diff(np.asarray(slots.offsets)))
+        parts.append((rows, np.asarray(slots.flatten()), np.asarray(values.flatten())))
+    return fit(parts, got["quality"].to_numpy())
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The feature rows of labelled texts that the base rules keep; they decide the others."""
+    for batch in batches:
+        for lo, texts in steps(batch):
+            left = np.flatnonzero(~judged(texts, None, 0.0)["base_failed"])
+            for r, s, v in chunked(texts.take(pa.array(left))):
+                if not len(r):
+                    continue
+                here, count = np.unique(r, return_counts=True)
+                bounds = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+                at = pa.array(lo + left[here])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()).take(at), batch.column("quality").cast(pa.int32()).take(at), pa.ListArray.from_arrays(bounds, pa.array(s)), pa.ListArray.from_arrays(bounds, pa.array(v))], names=["doc_id", "quality", "slots", "counts"])
 
 
 def statistics(texts: pa.Array, model: Model | None) -> dict[str, np.ndarray]:
