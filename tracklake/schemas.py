@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-FEATURE = T.StructType.fromDDL("chrom string, start int, end int, rest string")
-SIGNAL = T.StructType.fromDDL("chrom string, start int, end int, score float")
-SIZES = T.StructType.fromDDL("chrom string, size int")
-TILE = T.StructType.fromDDL("dataset string, tile int, track int, start int, end int, value float")
-SUMMARY = T.StructType.fromDDL("chrom string, bin long, count long, min double, max double, sum double, sum_squares double")
+KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType()}
+
+
+def shape(fields: str) -> T.StructType:
+    """A row shape from "name type, name type"; needs no session."""
+    return T.StructType([T.StructField(n, KINDS[k]) for n, k in (f.split() for f in fields.split(", "))])
+
+
+FEATURE = shape("chrom string, start int, end int, rest string")
+SIGNAL = shape("chrom string, start int, end int, score float")
+SIZES = shape("chrom string, size int")
+TILE = shape("dataset string, tile int, track int, start int, end int, value float")
+SUMMARY = shape("chrom string, bin long, count long, min double, max double, sum double, sum_squares double")
 
 #: The typed feature: its fields in order, their Spark types, and what a missing field is.
 FEATURE12 = (

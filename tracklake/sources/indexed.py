@@ -1,0 +1,269 @@
+"""Spark data sources for the indexed track formats, and writers that make one file a task.
+
+Reading: the driver walks each file's index with the pushed bounds and deals the blocks that are left to partitions; tasks
+decode them. Bounds only prune, Spark filters again. Writing: rows are range-partitioned and
+sorted by Spark, each task writes one complete file of its range under a name of its own, and the driver gives
+the files of the tasks that succeeded their final names. A directory of such files reads as one table.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+
+from tracklake.schemas import FEATURE, SIGNAL, TILE
+from tracklake.sources.layouts import Builder, Indexed, Input, Tiled, feature_items, file_system, kind_of, signal_items
+
+BLOCKS = 64
+ITEMS = {"bigwig": 4096, "bigbed": 1024}
+
+
+class Blocks(InputPartition):
+    def __init__(self, path: str, parts: list):
+        self.path, self.parts = path, parts
+
+
+def files_of(path: str) -> list[str]:
+    """The path itself, or the files of a directory."""
+    fs, at = file_system(path)
+    if fs.get_file_info(at).type != pa.fs.FileType.Directory:
+        return [path]
+    top = path.rstrip("/")
+    found = fs.get_file_info(pa.fs.FileSelector(at))
+    return sorted(f"{top}/{f.base_name}" for f in found if f.is_file and not f.base_name.startswith(("_", ".")))
+
+
+class IndexedReader(DataSourceReader):
+    kind, row = "", None
+
+    def __init__(self, options: dict):
+        self.path = options["path"]
+        self.per = int(options.get("blocks", BLOCKS))
+        self.chrom, self.low, self.high = None, 0, 2**31 - 1
+
+    def pushFilters(self, filters):
+        for f in filters:
+            at = f.attribute[0]
+            if isinstance(f, EqualTo) and at == "chrom":
+                self.chrom = f.value
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)) and at in ("start", "end"):
+                self.low = max(self.low, f.value)
+            elif isinstance(f, (LessThan, LessThanOrEqual)) and at in ("start", "end"):
+                self.high = min(self.high, f.value + 1)
+            elif isinstance(f, EqualTo) and at == "start":
+                self.low, self.high = max(self.low, f.value), min(self.high, f.value + 1)
+            yield f
+
+    def partitions(self):
+        out = []
+        for path in files_of(self.path):
+            with Input(path) as f:
+                x = Indexed(f)
+                if x.kind != self.kind:
+                    raise ValueError(f"{path} is a {x.kind} file")
+                lo = hi = None
+                if self.chrom is not None:
+                    number = next((k for k, (c, _) in x.chromosomes().items() if c == self.chrom), None)
+                    if number is None:
+                        continue
+                    # an item that begins at the lower bound may sit in a block that ends there
+                    lo, hi = (number, self.low - 1), (number, self.high)
+                found = x.blocks(lo, hi)
+                out += [Blocks(path, found[k : k + self.per]) for k in range(0, len(found), self.per)]
+        return out or [Blocks("", [])]
+
+    def read(self, partition: Blocks) -> Iterator[pa.RecordBatch]:
+        if not partition.parts:
+            return
+        with Input(partition.path) as f:
+            x = Indexed(f)
+            names = {k: c for k, (c, _) in x.chromosomes().items()}
+            for offset, size in partition.parts:
+                yield self.rows(x.block(offset, size), f.order, names)
+
+
+class SignalReader(IndexedReader):
+    kind = "bigwig"
+
+    def rows(self, data: bytes, order: str, names: dict) -> pa.RecordBatch:
+        chrom, s, e, v = signal_items(data, order)
+        n = len(s)
+        return pa.RecordBatch.from_arrays([pa.array([names[chrom]] * n, pa.string()), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(v.astype(np.float32))], names=SIGNAL.names)
+
+
+class FeatureReader(IndexedReader):
+    kind = "bigbed"
+
+    def rows(self, data: bytes, order: str, names: dict) -> pa.RecordBatch:
+        c, s, e, r = zip(*feature_items(data, order), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([names[k] for k in c], pa.string()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(r, pa.string())], names=FEATURE.names)
+
+
+class TileReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path, self.per, self.only = options["path"], int(options.get("blocks", BLOCKS)), None
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("dataset",):
+                self.only = f.value
+            yield f
+
+    def partitions(self):
+        out = []
+        for path in files_of(self.path):
+            with Input(path) as f:
+                x = Tiled(f)
+                for name in x.datasets:
+                    if self.only is None or name == self.only:
+                        parts = [(name, k, *at) for k, at in enumerate(x.dataset(name)[2]) if at[0] >= 0]
+                        out += [Blocks(path, parts[k : k + self.per]) for k in range(0, len(parts), self.per)]
+        return out or [Blocks("", [])]
+
+    def read(self, partition: Blocks) -> Iterator[pa.RecordBatch]:
+        if not partition.parts:
+            return
+        with Input(partition.path) as f:
+            x = Tiled(f)
+            for name, k, offset, size in partition.parts:
+                s, e, v = x.tile(offset, size)
+                n, t = len(s), len(v)
+                columns = [pa.array([name] * (n * t), pa.string()), pa.array(np.full(n * t, k, np.int32)), pa.array(np.repeat(np.arange(t, dtype=np.int32), n)), pa.array(np.tile(s, t).astype(np.int32)), pa.array(np.tile(e, t).astype(np.int32)), pa.array(v.reshape(-1).astype(np.float32))]
+                yield pa.RecordBatch.from_arrays(columns, names=TILE.names)
+
+
+class BigWig(DataSource):
+    @classmethod
+    def name(cls):
+        return "bigwig"
+
+    def schema(self):
+        return SIGNAL
+
+    def reader(self, schema):
+        return SignalReader(self.options)
+
+
+class BigBed(DataSource):
+    @classmethod
+    def name(cls):
+        return "bigbed"
+
+    def schema(self):
+        return FEATURE
+
+    def reader(self, schema):
+        return FeatureReader(self.options)
+
+
+class Tdf(DataSource):
+    @classmethod
+    def name(cls):
+        return "tdf"
+
+    def schema(self):
+        return TILE
+
+    def reader(self, schema):
+        return TileReader(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for source in (BigWig, BigBed, Tdf):
+        spark.dataSource.register(source)
+
+
+def read(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """A file or directory of one of the formats; without kind the first file's magic number decides."""
+    register(spark)
+    kind = kind or kind_of(files_of(path)[0])
+    if kind is None:
+        raise ValueError(f"{path}: unknown format")
+    return spark.read.format(kind).load(path)
+
+
+def metadata(spark: SparkSession, path: str) -> DataFrame:
+    """path, kind, version, compression, chromosomes, zoom_levels, total_count of each signal or feature file."""
+    rows = []
+    for p in files_of(path):
+        with Input(p) as f:
+            x = Indexed(f)
+            total = x.total()
+            rows.append((p, x.kind, x.version, x.codec, {k: c for k, (c, _) in x.chromosomes().items()}, x.zoom_levels(), total[0] if total else None))
+    return spark.createDataFrame(rows, "path string, kind string, version int, compression string, chromosomes map<int, string>, zoom_levels array<int>, total_count long")
+
+
+def describe_tiles(path: str) -> dict:
+    """What a tiled file says of itself: version, tracks, datasets with their attributes and tiles, groups."""
+    with Input(path) as f:
+        x = Tiled(f)
+        sets = {n: x.dataset(n) for n in x.datasets}
+        return {"version": x.version, "window_functions": x.window_functions, "track_type": x.track_type, "track_line": x.track_line, "tracks": x.tracks, "build": x.build, "compressed": x.compressed, "datasets": {n: {"attributes": a, "tile_width": w, "tiles": [k for k, t in enumerate(ts) if t[0] >= 0], "tile_count": len(ts)} for n, (a, w, ts) in sets.items()}, "groups": {n: x.group(n) for n in x.groups}}
+
+
+def write(rows: DataFrame, path: str, kind: str, sizes: DataFrame | None = None, codec: str = "deflate") -> DataFrame:
+    """Write signal (bigwig) or feature (bigbed) rows as a directory of files; returns path and items of each.
+
+    Rows of chromosomes without a size are dropped. sizes (chrom, size) is the chromosome dictionary, which
+    every file holds whole.
+    """
+    from tracklake.operators.ranges import known_chromosomes, sizes_of
+
+    spark = rows.sparkSession
+    sizes = sizes_of(rows) if sizes is None else sizes
+    dictionary = [(r["chrom"], r["size"]) for r in sizes.select("chrom", "size").orderBy("chrom").collect()]
+    last, n_items = rows.columns[3] if kind == "bigwig" else "rest", ITEMS[kind]
+    ordered = known_chromosomes(rows, sizes).select("chrom", "start", "end", last)
+    ordered = ordered.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start", "end")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, held = Builder(kind, dictionary, codec), []
+
+        def flush(final: bool):
+            """Blocks of whole size, and the rest where the chromosome ends."""
+            while held and (final or sum(len(h[1]) for h in held) >= n_items):
+                chrom = held[0][0]
+                s, e, v = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
+                cut = min(n_items, len(s))
+                (b.add_signal if kind == "bigwig" else b.add_features)(chrom, s[:cut], e[:cut], v[:cut] if kind == "bigwig" else v[:cut].tolist())
+                held[:] = [(chrom, s[cut:], e[cut:], v[cut:])] if cut < len(s) else []
+
+        for batch in batches:
+            chroms = batch.column(0).to_pylist()
+            cuts = [0, *(k for k in range(1, len(chroms)) if chroms[k] != chroms[k - 1]), len(chroms)]
+            s, e = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+            v = batch.column(3).to_numpy(zero_copy_only=False)
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo < hi:
+                    if held and held[0][0] != chroms[lo]:
+                        flush(True)
+                    held.append((chroms[lo], s[lo:hi], e[lo:hi], v[lo:hi]))
+                    flush(False)
+        flush(True)
+        if b.items:
+            fs, at = file_system(path)
+            fs.create_dir(at, recursive=True)
+            name = f"part-{TaskContext.get().partitionId():05d}"
+            own = f"_{name}-{uuid.uuid4().hex}"
+            with fs.open_output_stream(f"{at.rstrip('/')}/{own}", compression=None) as out:
+                out.write(b.content())
+            yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([f"{name}.{'bw' if kind == 'bigwig' else 'bb'}"]), pa.array([b.items], pa.int64())], names=["own", "name", "items"])
+
+    done = ordered.mapInArrow(work, "own string, name string, items long").collect()
+    fs, at = file_system(path)
+    fs.create_dir(at, recursive=True)
+    for r in done:
+        fs.move(f"{at.rstrip('/')}/{r['own']}", f"{at.rstrip('/')}/{r['name']}")
+    if not done:
+        with fs.open_output_stream(f"{at.rstrip('/')}/part-00000.{'bw' if kind == 'bigwig' else 'bb'}", compression=None) as out:
+            out.write(Builder(kind, dictionary, codec).content())
+    return spark.createDataFrame([(f"{path.rstrip('/')}/{r['name']}", r["items"]) for r in done], "path string, items long").orderBy(F.col("path"))
