@@ -40,7 +40,7 @@ from tracklake.llm.common import hashes_of, mix, new_path, words_of
 ORDER = 2
 MU = 200.0
 HELD = 10
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 10 << 20
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
