@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklake.functions import bed
 from tracklake.functions import intervals as iv
 from tracklake.operators import coverage, joins, pyramid, ranges, sections, summary
+from tracklake.plans import tile_fixture
 from tracklake.plans.fixtures import FEATURES, POINTS, REGIONS, SIGNAL, features, points, regions, signal
+from tracklake.schemas import SIGNAL as SIGNAL_SHAPE
 from tracklake.shared import shared_path
-from tracklake.sources import text
+from tracklake.sources import indexed, text
+from tracklake.sources.layouts import file_system
+from tracklake.streaming import summaries
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -452,3 +458,50 @@ def bed_text_scan(spark: SparkSession, sf: str) -> DataFrame:
     rows = bed.pack(features(spark, sf))
     rows.select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), "rest").alias("value")).write.text(path)
     return text.read_features(spark, path)
+
+
+# ------------------------------------------------------------------ indexed files and streams
+
+
+@query(f"WITH {SIGNAL} SELECT {ROW} FROM signal WHERE chrom = 'R' AND start >= 300 AND \"end\" <= 1500")
+def bigwig_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "bigwig")
+    indexed.write(signal(spark, sf), path, "bigwig")
+    return ranges.range_query(indexed.read(spark, path), "R", 300, 1500)
+
+
+@query(f"""WITH {FEATURES} SELECT chrom, start, "end", {PACKED} AS rest FROM features""")
+def bigbed_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "bigbed")
+    indexed.write(bed.pack(features(spark, sf)), path, "bigbed", codec="snappy")
+    return indexed.read(spark, path)
+
+
+@query(f"""WITH {SIGNAL}, l AS ({level_sql(40)}) SELECT '/' || chrom || '/z0/mean' AS dataset, CAST(bucket // 16 AS INTEGER) AS tile, CAST(0 AS INTEGER) AS track, CAST(bucket * 40 AS INTEGER) AS start, CAST(bucket * 40 + 40 AS INTEGER) AS "end", CAST(max AS FLOAT) AS value FROM l
+UNION ALL SELECT '/' || chrom || '/z0/mean', CAST(bucket // 16 AS INTEGER), CAST(1 AS INTEGER), CAST(bucket * 40 AS INTEGER), CAST(bucket * 40 + 40 AS INTEGER), CAST(count AS FLOAT) FROM l""")
+def tdf_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles of 640 positions with two tracks, from the 40-position level of the signal (2^31 / 40 rows a chromosome at most; some 70 here)."""
+    level = pyramid.first_level(signal(spark, sf), 40).select("chrom", "bucket", "max", "count").orderBy("chrom", "bucket").collect()
+    sets: dict = {}
+    for r in level:
+        tiles_ = sets.setdefault(f"/{r.chrom}/z0/mean", (640, []))[1]
+        tiles_ += [None] * (r.bucket // 16 + 1 - len(tiles_))
+        tiles_[r.bucket // 16] = [*(tiles_[r.bucket // 16] or []), (r.bucket * 40, r.bucket * 40 + 40, [r["max"], float(r["count"])])]
+    built = {n: (w, [t and tile_fixture.bed_tile(t, 2) for t in ts]) for n, (w, ts) in sets.items()}
+    path = shared_path(spark, "tiles") + ".tdf"
+    fs, at = file_system(path)
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(at) as out:
+        out.write(tile_fixture.encode(built, ["max", "count"]))
+    return indexed.read(spark, path)
+
+
+@query(f"WITH {SIGNAL} {level_sql(500)}")
+def streaming_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The signal read as a stream to its end, summed by bucket in complete mode."""
+    path, name = shared_path(spark, "stream"), f"summary_{uuid.uuid4().hex}"
+    signal(spark, sf).write.parquet(path)
+    stream = spark.readStream.schema(SIGNAL_SHAPE).option("maxFilesPerTrigger", 4).parquet(path)
+    job = summaries.bucketed(stream, 500).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", shared_path(spark, "stream-state")).trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.table(name)
