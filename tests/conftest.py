@@ -16,6 +16,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.maxMetadataStringLength", "1000")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.warehouse.dir", "/tmp/tracklake-warehouse")
         .getOrCreate()
