@@ -18,10 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import mmap
-import os
 import struct
-import tempfile
-import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -31,12 +28,13 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import drop, own_copy, save, texts_of
+from tracklake.llm.common import drop, new_path, own_copy, save, texts_of
 
 #: Fixed value: the pre-tokenisation pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -288,25 +286,26 @@ def word_counts(documents: DataFrame, path: str, min_share: float) -> DataFrame:
     return documents.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(documents: DataFrame, path: str, min_share: float = MIN_SHARE) -> str:
+def build_lexicon(documents: DataFrame, vocabulary_file: str, min_share: float = MIN_SHARE) -> str:
     """Compile the frequent words and ship the file to the executors; returns its name there.
 
     At most 1.15 / min_share words come to the driver.
     """
     spark = documents.sparkSession
-    seen = save(word_counts(documents, path, min_share), "words")
+    seen = save(word_counts(documents, vocabulary_file, min_share), "words")
     total = seen.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
     frequent = [r.word for r in seen.where(F.col("word").isNotNull() & (F.col("n") >= F.lit(0.87 * min_share * total))).select("word").collect()]
     drop(seen)
-    v = vocabulary(path)
+    v = vocabulary(vocabulary_file)
     words = sorted((w.encode(), v.merge(w)) for w in frequent if w and w not in v.special)
     data = compile_lexicon(words)
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    local = os.path.join(tempfile.mkdtemp(prefix="spark-lexicon-"), name)
-    with open(local, "wb") as f:
-        f.write(data)
-    spark.sparkContext.addFile(local)
-    return name
+    path = new_path(spark, "lexicon") + ".bin"
+    fs, at = pa.fs.FileSystem.from_uri(path)
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(at, compression=None) as out:
+        out.write(data)
+    spark.sparkContext.addFile(path)
+    return path.rpartition("/")[2]
 
 
 class Encoder:

@@ -41,8 +41,9 @@ def save(df: DataFrame, name: str = "table") -> DataFrame:
 def drop(df: DataFrame) -> None:
     """Delete the files of a table written by save() that nothing reads any more."""
     spark = df.sparkSession
+    bare = lambda path: path.partition("://")[2].rpartition("//")[2].lstrip("/") if "://" in path else path.removeprefix("file:").lstrip("/")
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "-" in path and path.startswith(shared_dir(spark).split("://")[0]):
+        if bare(path).startswith(bare(shared_dir(spark)) + "/"):
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
