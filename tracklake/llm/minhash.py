@@ -38,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import components, drop, hashes_of, mix, rolling, row_slices, save, texts_of, words_of
+from tracklake.llm.bpe import steps
+from tracklake.llm.common import components, drop, hashes_of, mix, rolling, row_slices, save, words_of
 
 SHINGLE = 5
 M, ROWS, BANDS = 149, 5, 29
@@ -107,9 +108,9 @@ def bands_of(sig: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarra
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 2000):
-            part = batch.slice(lo, 2000)
-            s, bounds = shingle_sets(texts_of(part))
+        for lo, texts in steps(batch):
+            part = batch.slice(lo, len(texts))
+            s, bounds = shingle_sets(texts)
             bands = bands_of(signatures(s, bounds))
             size = np.diff(bounds)
             with np.errstate(over="ignore"):
@@ -123,9 +124,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 2000):
-            part = batch.slice(lo, 2000)
-            s, bounds = shingle_sets(texts_of(part))
+        for lo, texts in steps(batch):
+            part = batch.slice(lo, len(texts))
+            s, bounds = shingle_sets(texts)
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(s.view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), lists], names=["id", "s"])
 
