@@ -34,7 +34,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import drop, new_path, own_copy, save, texts_of
+from tracklake.llm.common import drop, new_path, own_copy, save
 
 #: Fixed value: the pre-tokenisation pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,7 +42,7 @@ MIN_SHARE = 2e-5
 #: The rank of a pair that never merges.
 NEVER = (1 << 30, -1)
 #: Bytes of text that one step holds at once; encoding gains from larger ones, as words come back within a step.
-STEP, ENCODE_STEP = 4_000_000, 12_000_000
+STEP, ENCODE_STEP = 4_000_000, 8_000_000
 
 
 def vocabulary_path() -> str:
@@ -208,14 +208,15 @@ def lexicon(path: str) -> Lexicon:
 
 
 def steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP) -> Iterator[tuple[int, pa.Array]]:
-    """Slices of a batch's texts of about `most` bytes each, so that memory does not follow the batch."""
-    texts = texts_of(batch, column)
-    size = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+    """Slices of a batch's texts of about `most` bytes each, null as empty, so that memory does not follow the batch."""
+    whole = batch.column(column)
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(whole), 0), np.int64))
     lo = 0
-    while lo < len(texts):
+    while lo < len(whole):
         base = size[lo - 1] if lo else 0
         hi = max(lo + 1, int(np.searchsorted(size, base + most, "right")))
-        yield lo, own_copy(texts.slice(lo, hi - lo))
+        yield lo, pc.fill_null(own_copy(whole.slice(lo, hi - lo)).cast(pa.large_string()), "")
+        pa.default_memory_pool().release_unused()
         lo = hi
 
 
@@ -314,7 +315,7 @@ class Encoder:
     When `most` words are held, they become the older half, of which only what is met again stays.
     """
 
-    def __init__(self, path: str, name: str | None, most: int = 500_000):
+    def __init__(self, path: str, name: str | None, most: int = 250_000):
         self.v, self.lexicon, self.most = vocabulary(path), lexicon(SparkFiles.get(name)) if name else None, most
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
