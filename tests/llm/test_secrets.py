@@ -54,6 +54,33 @@ def test_nested_layers_map_to_the_text():
     assert secrets.all_spans(text)[1] == [("assign", 0, len(text))]
 
 
+def test_base64_in_running_text():
+    secret = "password = hunter22hunter"
+    long, short = base64.b64encode(secret.encode()).decode(), [base64.b64encode(x.encode()).decode() for x in ("token=abcdef", "api_key=abcdef", "token=abcdefgh")]
+    for inner in (long, *short, *(x.rstrip("=") for x in short)):
+        for head, tail in (("blob=", ""), ("GET /?q=", "&a=1"), ("/d/", " x"), ("/some/dir-a/b_c/", "/tail"), ("data%3D", " x"), ("x\nfirst line\n", "\n\nlast line")):
+            text = head + inner + tail
+            new = [s for s in secrets.all_spans(text)[1] if s[0] == "assign"]
+            assert any(a >= len(head) - 1 and b <= len(head + inner) + 1 for _, a, b in new), text
+    for one in ("token %3D abcdefgh", "token %3A abcdefgh"):
+        assert secrets.all_spans(one)[1] == [("assign", 0, len(one))]
+    twice = f"{long} and {long}"
+    assert [s[1:] for s in secrets.all_spans(twice)[1]] == [(0, len(long)), (len(long) + 5, len(twice))]
+
+
+def test_wrapped_base64():
+    import random
+
+    noise = " ".join(f"{random.Random(k).random()}" for k in range(12))
+    for data in (f"{noise} token = abcdefghijkl {noise}".encode(), gzip.compress(f"{noise} token = abcdefghijkl {noise}".encode())):
+        flat = base64.b64encode(data).decode()
+        for width in (76, 64, 50, 20):
+            for end in ("\n", "\r\n", "\n  "):
+                text = "see: " + end.join(flat[k : k + width] for k in range(0, len(flat), width)) + " end"
+                new = secrets.all_spans(text)[1]
+                assert new and "abcdefghijkl" not in secrets.redacted(text) and all(5 <= a < b <= len(text) - 4 for _, a, b in new)
+
+
 def test_cycles_and_bombs_end():
     assert secrets.all_spans("%2525252541 %25" * 50)[0] == []
     bomb = base64.b64encode(zlib.compress(b"a" * 50_000_000)).decode()

@@ -2,11 +2,14 @@
 
 A text is layer 0. Every layer is scanned with the three patterns, then searched for encoded stretches: runs of
 URL escapes or Unicode escapes, which decode in place, so that the whole layer with its
-escapes undone is the next layer; and base64 words, whose bytes are inflated while they begin as gzip or zlib
-data, and become a layer if they are text. Layers go on the worklist until none is left; a
-layer whose content was seen before in the same text is not entered again, which ends cycles.
-A layer maps each of its characters to a stretch of the text: escapes to the escape, decoded
-base64 to the whole word. Matches of inner layers are reported with the stretch they map to.
+escapes undone is the next layer; and runs of base64 characters, over line ends too. A run may hold an encoding
+anywhere (after a path, say), so it is decoded at each of the four alignments: a run that is text as a whole is
+a layer, and of others every stretch of LEAST_TEXT or more ASCII characters is; and gzip or zlib data
+are inflated wherever their first bytes stand, while they begin as such data. Layers go on the worklist until none is left; a
+layer whose content was seen before for the same stretch is not entered again, which ends cycles.
+A layer maps each of its characters to a stretch of the text: escapes to the escape, a decoded run to the
+run, stretches of a run to their own characters, inflated data to the compressed ones. Matches of inner layers
+are reported with the stretch they map to.
 
 Escapes of escapes of one kind (%252541) are undone in one step. Growth is bounded: each layer is no longer than its
 parent but for inflated data, of which INFLATE times the word's length, or INFLATE_LEAST, is the most that is kept; and
@@ -20,12 +23,11 @@ are scanned too. Other columns are ignored.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,11 +38,17 @@ from tracklake.llm.common import texts_of
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 KINDS = (("assign", ASSIGN, 2, 6), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24))
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-HEXES = re.compile(r"[0-9a-f]{24}")
 
 ESCAPE = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|(?:&#(?:x[0-9A-Fa-f]{1,6}|[0-9]{1,7});)+")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
-LEAST_WORD = 20
+#: The shortest match, token=abcdef, has 12 characters; they encode to 16.
+LEAST_TEXT, LEAST_WORD = 12, 16
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+CORE = re.compile(r"[A-Za-z0-9+/_-]+")
+ASCII = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+#: How gzip (1f 8b 08) and zlib data (78 and 01, 5e, 9c or da) begin in base64.
+PACKED = re.compile(r"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]")
+URLSAFE = str.maketrans("-_", "+/")
 INFLATE, INFLATE_LEAST = 64, 1 << 20
 LAYERS, LAYERS_LEAST = 64, 1 << 24
 PERCENT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
@@ -110,16 +118,16 @@ def readable(data: bytes) -> str | None:
     return text if text and 20 * odd <= len(text) else None
 
 
-def unpacked(word: str) -> str | None:
-    """The text in a base64 word, through any compressed layers."""
-    core = word.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(core) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(core + "=" * (-len(core) % 4))
-    except (binascii.Error, ValueError):
-        return None
-    most, seen = max(INFLATE_LEAST, INFLATE * len(word)), set()
+def decoded(core: str, at: int = 0) -> bytes:
+    """The bytes of base64 characters from the one at `at` on; a last character that gives no byte is left out."""
+    n = len(core) - at
+    n -= n % 4 == 1
+    return base64.b64decode(core[at : at + n] + "=" * (-n % 4))
+
+
+def inflated(data: bytes, most: int) -> bytes | None:
+    """The content of gzip or zlib data, through any further compressed layers."""
+    seen = set()
     while data[:3] == b"\x1f\x8b\x08" or data[:2] in (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda"):
         digest = hashlib.sha256(data).digest()
         if digest in seen:
@@ -129,25 +137,42 @@ def unpacked(word: str) -> str | None:
             data = zlib.decompressobj(47).decompress(data, most)
         except zlib.error:
             return None
-    return readable(data)
+    return data
 
 
-def likely(word: str) -> bool:
-    """Words with letters of one case and no digit are prose; hex digests are no base64."""
-    return not (word.isalpha() and (word.islower() or word[1:].islower() or word.isupper()) or HEXES.match(word) and all(c in "0123456789abcdef" for c in word))
+def base64_layers(layer: Layer, places: Sequence[int], core: str, end: int) -> Iterator[Layer]:
+    """The layers in a run of base64 characters, which stand at the places and end, with padding, at end."""
+    core = core.translate(URLSAFE)
+    for at in range(4):
+        data = decoded(core, at)
+        if at == 0 and (text := readable(data)):
+            yield Layer(text, layer, [(0, places[0], end, False)])
+            continue
+        for m in ASCII.finditer(data):
+            yield Layer(m[0].decode(), layer, [], (places, at, m.start()))
+    for m in PACKED.finditer(core):
+        data = inflated(decoded(core, m.start()), max(INFLATE_LEAST, INFLATE * len(core)))
+        if data and (text := readable(data)):
+            yield Layer(text, layer, [(0, places[m.start()], end, False)])
 
 
 class Layer:
-    """A decoded text, and where its characters come from in its parent: pieces (place, first, end, plain)."""
+    """A decoded text, and where its characters come from in its parent: pieces (place, first, end, plain),
+    or, for a stretch of a base64 run, the run's places, its alignment and the stretch's first byte."""
 
-    def __init__(self, text: str, parent: Layer | None, pieces: list[tuple[int, int, int, bool]]):
-        self.text, self.parent, self.pieces = text, parent, pieces
+    def __init__(self, text: str, parent: Layer | None, pieces: list[tuple[int, int, int, bool]], run: tuple[Sequence[int], int, int] | None = None):
+        self.text, self.parent, self.pieces, self.run = text, parent, pieces, run
         self.places = [p[0] for p in pieces]
 
     def stretch(self, a: int, b: int) -> tuple[int, int]:
         """The stretch of the whole text that the characters [a, b) come from."""
         now = self
         while now.parent is not None:
+            if now.run is not None:
+                places, at, byte = now.run
+                a, b = places[at + (byte + a) * 8 // 6], places[at + ((byte + b) * 8 - 1) // 6] + 1
+                now = now.parent
+                continue
             place, first, end, plain = now.pieces[bisect_right(now.places, a) - 1]
             place2, first2, end2, plain2 = now.pieces[bisect_right(now.places, b - 1) - 1]
             a = first + a - place if plain else first
@@ -162,8 +187,6 @@ def inner_layers(layer: Layer) -> Iterator[Layer]:
     if "%" in text or "\\" in text or "&#" in text:
         parts, pieces, done, place = [], [], 0, 0
         for m in ESCAPE.finditer(text):
-            if m[0][0] == "%" and len(m[0]) == 3 and not text[m.end() : m.end() + 1].isalnum() and not text[m.start() - 1 : m.start()].isalnum():
-                continue
             if done < m.start():
                 parts.append(text[done : m.start()])
                 pieces.append((place, done, m.start(), True))
@@ -178,20 +201,29 @@ def inner_layers(layer: Layer) -> Iterator[Layer]:
             pieces.append((place, done, len(text), True))
             yield Layer("".join(parts), layer, pieces)
     for m in BASE64.finditer(text):
-        if likely(m[0]) and (inner := unpacked(m[0])):
-            yield Layer(inner, layer, [(0, m.start(), m.end(), False)])
+        core = m[0].rstrip("=")
+        yield from base64_layers(layer, range(m.start(), m.start() + len(core)), core, m.end())
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            parts = list(CORE.finditer(text, m.start(), m.end()))
+            if sum(p.end() - p.start() for p in parts) >= LEAST_WORD:
+                yield from base64_layers(layer, [k for p in parts for k in range(p.start(), p.end())], "".join(p[0] for p in parts), m.end())
+
+
+def digest_of(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "replace")).digest()
 
 
 def all_spans(text: str) -> tuple[list, list]:
     """Base spans of the text, and all spans, those of decoded layers too, by start, then kind."""
     base = base_spans(text)
-    found, seen, work, left = set(base), set(), [Layer(text, None, [])], max(LAYERS_LEAST, LAYERS * len(text))
+    found, seen, work, left = set(base), {(digest_of(text), 0, len(text))}, [Layer(text, None, [])], max(LAYERS_LEAST, LAYERS * len(text))
     while work and left > 0:
         for inner in inner_layers(work.pop()):
-            digest = hashlib.sha256(inner.text.encode("utf-8", "replace")).digest()
-            if digest in seen or inner.text == text:
+            key = (digest_of(inner.text), *inner.stretch(0, len(inner.text)))
+            if key in seen:
                 continue
-            seen.add(digest)
+            seen.add(key)
             left -= len(inner.text)
             found |= {(kind, *inner.stretch(a, b)) for kind, a, b in base_spans(inner.text)}
             work.append(inner)
