@@ -41,6 +41,25 @@ def test_passages_are_met_and_cut(spark):
     assert sd.stretches(docs.limit(0)).count() == 0
 
 
+def test_whole_passages_are_in_the_stretches(spark):
+    rng = random.Random(8)
+    rows, planted = [], {}
+    for n, size in enumerate([50, 51, 55, 60, 64, 75, 100, 200] * 4):
+        p = words(rng, size)
+        for k in range(3):
+            w = words(rng, rng.randrange(20, 90))
+            at = rng.randrange(len(w))
+            w[at:at] = p
+            planted[3 * n + k] = (at, at + size)
+            rows.append((3 * n + k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sd.stretches(docs).collect()
+    assert sorted((r.doc_id, r.removed) for r in got) == [(d, d % 3 > 0) for d in sorted(planted)]
+    for r in got:  # similar paragraphs may bring a few more words at an end
+        a, b = planted[r.doc_id]
+        assert a - 3 <= r.start <= a and b <= r.end <= b + 3
+
+
 def test_edited_passages_are_linked(spark):
     rng = random.Random(4)
     p = words(rng, 200)

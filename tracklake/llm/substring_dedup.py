@@ -9,8 +9,10 @@ Paragraphs with one shingle set form one class. Representatives are banded (BAND
 minima, 48 bits each; identical sets always collide, and of two sets that differ by one shingle each, J = 0.88, a
 share of (1 - 0.88^ROWS)^BANDS = 0.3 % is missed), and colliding ones are verified and linked at
 100 * intersection >= 80 * union as in minhash.links. A component is one passage; where it lies in two documents or
-more, all its paragraphs but those of the first document are removals, and overlapping paragraphs of one
-document are joined to stretches.
+more, all its paragraphs but those of the first document are removals. Anchors lie up to WINNOW words apart, so each
+paragraph grows to both sides as long as its words equal those around the passage's first paragraph, by
+up to REACH words: a passage that goes on further on a side has the next paragraph there. What
+then overlaps or touches in one document is joined to stretches.
 
 Defined cases: rows without doc_id, null texts and texts of fewer than WORDS words have no
 paragraphs; repeated rows of an id are one document; paragraphs with fewer than DISTINCT distinct shingles
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.llm.bpe import steps
-from tracklake.llm.common import components, hashes_of, mix, rolling, save, words_of
+from tracklake.llm.common import components, hashes_of, mix, rolling, row_slices, save, words_of
 from tracklake.llm.minhash import links
 
 SHINGLE, WORDS, WINNOW = 5, 20, 31
@@ -36,6 +38,8 @@ SPAN = WORDS - SHINGLE + 1
 DISTINCT = 8
 ROWS, BANDS = 2, 4
 PERCENT = 80
+#: Words to each side that a paragraph may grow by; a passage with more words there holds a further paragraph.
+REACH = WINNOW + SHINGLE - 1
 #: A paragraph's id: doc_id * 2^PLACE + its first word's place.
 PLACE = 24
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -153,17 +157,77 @@ def repeated(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     return again.select(doc("id").alias("doc_id"), F.col("id").bitwiseAND(F.lit((1 << PLACE) - 1)).alias("start"), "passage").distinct()
 
 
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the REACH words before each start, the nearest first, and of those after its paragraph."""
+    for batch in batches:
+        for lo, texts in steps(batch):
+            at, words = words_of(texts)
+            h = hashes_of(words)[0].view(np.int64)
+            bounds = row_slices(at, len(texts))
+            out = {"doc_id": [], "start": [], "passage": [], "before": [], "after": []}
+            for k, (doc, found) in enumerate(zip(batch.column("doc_id").slice(lo, len(texts)).to_pylist(), batch.column("_starts").slice(lo, len(texts)).to_pylist(), strict=True)):
+                own = h[bounds[k] : bounds[k + 1]]
+                for x in found:
+                    p = x["start"]
+                    for name, value in (("doc_id", doc), ("start", p), ("passage", x["passage"]), ("before", own[max(0, p - REACH) : p][::-1]), ("after", own[p + WORDS : p + WORDS + REACH])):
+                        out[name].append(value)
+            longs = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *x])))
+            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["start"], pa.int64()), pa.array(out["passage"], pa.int64()), longs(out["before"]), longs(out["after"])], names=list(out))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of the nearest words two places have in common on each side."""
+    for batch in batches:
+        left, right = [], []
+        for out, one, two in ((left, "before", "_before"), (right, "after", "_after")):
+            a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in (one, two))
+            for x, y in zip(a, b, strict=True):
+                n = min(len(x), len(y))
+                odd = np.flatnonzero(x[:n] != y[:n])
+                out.append(int(odd[0]) if len(odd) else n)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("passage"), pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["doc_id", "start", "passage", "left", "right"])
+
+
+def grown(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, passage, first, end (words) of the paragraphs of repeated(), grown along the passage's first paragraph.
+
+    That one grows as far as the furthest of the others does.
+    """
+    starts = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "passage")).alias("_starts"))
+    docs = documents.where("doc_id IS NOT NULL").select("doc_id", "text").join(starts, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_starts")
+    around = save(docs.mapInArrow(_around, "doc_id long, start long, passage long, before array<long>, after array<long>"), "around")
+    own = F.shiftleft("doc_id", PLACE).bitwiseOR(F.col("start"))
+    kept = around.where(own == F.col("passage")).select(F.col("passage").alias("_passage"), F.col("before").alias("_before"), F.col("after").alias("_after")).dropDuplicates(["_passage"])
+    pairs = around.where(own != F.col("passage")).join(kept, F.col("passage") == F.col("_passage")).select("doc_id", "start", "passage", "before", "after", "_before", "_after")
+    others = save(pairs.mapInArrow(_shared, "doc_id long, start long, passage long, left long, right long"), "grown")
+    other = others.where(F.col("doc_id") != F.shiftright("passage", PLACE))
+    first = other.groupBy("passage").agg(F.max("left").alias("left"), F.max("right").alias("right")).select(F.shiftright("passage", PLACE).alias("doc_id"), F.col("passage").bitwiseAND(F.lit((1 << PLACE) - 1)).alias("start"), "passage", "left", "right")
+    return others.union(first).select("doc_id", "passage", (F.col("start") - F.col("left")).alias("first"), (F.col("start") + WORDS + F.col("right")).alias("end"))
+
+
 def stretches(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, start, end (words, end exclusive), n_paragraphs, passage, removed of each repeated stretch of a document.
 
-    removed: the stretch's first passage lies in an earlier document too. Overlapping paragraphs
-    with one verdict are one stretch.
+    removed: the stretch's first passage lies in an earlier document too. Overlapping paragraphs, as grown,
+    with one verdict are one stretch; kept ones inside a removed stretch, whose first document has no anchor
+    there, go with it (similar paragraphs differ by one word at an end, so that much may stand out).
     """
     rows = save(repeated(documents, percent), "repeated")
-    ruled = rows.withColumn("removed", F.col("doc_id") != F.shiftright("passage", PLACE))
-    w = Window.partitionBy("doc_id", "removed").orderBy("start")  # the paragraphs of one document
-    island = ruled.withColumn("fresh", F.coalesce(F.col("start") > F.lag("start").over(w) + WORDS, F.lit(True)).cast("int")).withColumn("island", F.sum("fresh").over(w))
-    return island.groupBy("doc_id", "removed", "island").agg(F.min("start").alias("start"), (F.max("start") + WORDS).alias("end"), F.count("*").alias("n_paragraphs"), F.min("passage").alias("passage")).select("doc_id", "start", "end", "n_paragraphs", "passage", "removed")
+    ruled = grown(documents, rows).withColumn("removed", F.col("doc_id") != F.shiftright("passage", PLACE))
+    ruled = save(ruled.select("doc_id", "removed", "first", "end", "passage", F.lit(1).alias("n_paragraphs")), "ruled")
+    gone = save(_islands(ruled.where("removed")), "gone")
+    within = gone.select(F.col("doc_id").alias("_id"), F.col("first").alias("_first"), F.col("end").alias("_end"))
+    inside = (F.col("doc_id") == F.col("_id")) & (F.col("first") >= F.col("_first") - 1) & (F.col("end") <= F.col("_end") + 1)
+    stay = _islands(ruled.where("NOT removed").join(within, inside, "left_anti"))
+    return gone.union(stay).select("doc_id", F.col("first").alias("start"), "end", "n_paragraphs", "passage", "removed")
+
+
+def _islands(rows: DataFrame) -> DataFrame:
+    """doc_id, removed, first, end, passage, n_paragraphs of what overlaps or touches in a document."""
+    w = Window.partitionBy("doc_id").orderBy("first", "end")  # the paragraphs of one document
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    island = rows.withColumn("fresh", F.coalesce(F.col("first") > before, F.lit(True)).cast("int")).withColumn("island", F.sum("fresh").over(w))
+    return island.groupBy("doc_id", "removed", "island").agg(F.min("first").alias("first"), F.max("end").alias("end"), F.min("passage").alias("passage"), F.sum("n_paragraphs").alias("n_paragraphs")).drop("island")
 
 
 def without(text: str, cuts: list[tuple[int, int]]) -> str:
