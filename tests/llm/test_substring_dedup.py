@@ -68,6 +68,23 @@ def test_edited_passages_are_linked(spark):
     assert {r.doc_id for r in got} == set(range(6))
 
 
+def test_every_text_has_a_paragraph():
+    rng = random.Random(9)
+    for n in range(20, 60):
+        texts = pa.array([" ".join(words(rng, n)) for _ in range(40)], pa.large_string())
+        assert set(sd.paragraphs(texts)[0].tolist()) == set(range(40)), n
+    for period in range(2, 9):
+        assert len(sd.paragraphs(pa.array([" ".join(words(rng, period) * 30)], pa.large_string()))[0]), period
+
+
+def test_short_copies_and_repeated_phrases_are_removed(spark):
+    rng = random.Random(10)
+    texts = [" ".join(words(rng, n)) for n in range(35, 50)] + [" ".join(words(rng, n) * 40) for n in range(2, 8)]
+    docs = spark.createDataFrame([(k, texts[k % len(texts)]) for k in range(2 * len(texts))], "doc_id long, text string")
+    got = {(r.doc_id, r.start, r.end) for r in sd.stretches(docs).where("removed").collect()}
+    assert got == {(k + len(texts), 0, len(t.split())) for k, t in enumerate(texts)}
+
+
 def test_paragraphs_of_any_place_agree():
     rng = random.Random(5)
     for n in (50, 51, 64, 90):

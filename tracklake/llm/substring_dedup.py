@@ -2,7 +2,7 @@
 
 Repeated passages need not begin or end where lines do, so paragraphs are cut where the content says: a paragraph is
 the WORDS words from an anchor on, and anchors are the 5-word shingles whose hash is least among
-WINNOW neighbours. Any passage of 50 words or more that two documents share holds an anchor
+WINNOW neighbours; a text that gets no paragraph so has one from its least shingle that leaves room. Any passage of 50 words or more that two documents share holds an anchor
 with its whole paragraph inside, so it is met in both.
 
 Paragraphs with one shingle set form one class. Representatives are banded (BANDS bands of ROWS
@@ -16,7 +16,7 @@ then overlaps or touches in one document is joined to stretches.
 
 Defined cases: rows without doc_id, null texts and texts of fewer than WORDS words have no
 paragraphs; repeated rows of an id are one document; paragraphs with fewer than DISTINCT distinct shingles
-(one phrase over and over) are left to other rules. Other columns are ignored.
+(one word over and over) are left to other rules. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from tracklake.llm.minhash import links
 
 SHINGLE, WORDS, WINNOW = 5, 20, 31
 SPAN = WORDS - SHINGLE + 1
-DISTINCT = 8
+DISTINCT = 2
 ROWS, BANDS = 2, 4
 PERCENT = 80
 #: Words to each side that a paragraph may grow by; a passage with more words there holds a further paragraph.
@@ -72,9 +72,11 @@ def paragraphs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         padded = np.concatenate([np.zeros(WINNOW - 1, np.uint64), low, np.zeros(WINNOW - 1, np.uint64)])
         anchor = sliding(padded, WINNOW, False)[: len(s)] == s
     place = np.arange(len(s)) - begin[s_at]
-    for d in np.flatnonzero((size >= SPAN) & (size < WINNOW)):
+    fits = place + SPAN <= size[s_at]
+    none = np.bincount(s_at[anchor & fits], minlength=len(texts)) == 0
+    for d in np.flatnonzero((size >= SPAN) & none):
         anchor[begin[d] + int(np.argmin(s[begin[d] : begin[d] + size[d] - SPAN + 1]))] = True
-    first = np.flatnonzero(anchor & (place + SPAN <= size[s_at]))
+    first = np.flatnonzero(anchor & fits)
     rows = np.sort(s[first[:, None] + np.arange(SPAN)], axis=1)
     fresh = np.ones(rows.shape, bool)
     fresh[:, 1:] = rows[:, 1:] != rows[:, :-1]
