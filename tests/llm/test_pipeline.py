@@ -70,6 +70,17 @@ def test_stages_equal_brute_force(spark, folder):
     assert sorted((r.doc_id, r.length) for r in packed) == sorted((d, len(t.encode(x, add_special_tokens=False).ids) + 1) for d, x in want.items())
 
 
+def test_near_stage_takes_a_similarity_of_80_percent(spark):
+    w = [f"w{k}" for k in range(104)]
+    edited = w[:50] + ["edited"] + w[51:75] + ["edited"] + w[76:]  # 90 of 110 shingles, 0.82
+    far = [f"x{k}" for k in range(104)]
+    rows = [(k, " ".join(x), "en", "s", 1) for k, x in enumerate((w, edited, far, far[:30] + ["a"] + far[31:60] + ["b"] + far[61:90] + ["c"] + far[91:]))]
+    kept = corpus_pipeline.near(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+    group = brute([r[:2] for r in rows], percent=80)
+    assert [r[0] for r in rows if group[r[0]][1] == r[0]] == [0, 2, 3]
+
+
 def test_every_stage_takes_an_empty_table(spark, folder):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
