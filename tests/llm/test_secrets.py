@@ -81,6 +81,20 @@ def test_wrapped_base64():
                 assert new and "abcdefghijkl" not in secrets.redacted(text) and all(5 <= a < b <= len(text) - 4 for _, a, b in new)
 
 
+def test_inflated_data_have_no_bound():
+    log = "2024-01-01 served the page in time, é\n".encode() * 100_000
+    secret = b"token = abcdefghijkl "
+    for data in (gzip.compress(log + secret + log), gzip.compress(log) + gzip.compress(secret), gzip.compress(gzip.compress(log) + zlib.compress(secret)), gzip.compress(secret + log)[:-20], zlib.compress(secret + b"\xc3")):
+        text = f"x {base64.b64encode(data).decode()} y"
+        assert secrets.all_spans(text)[1] == [("assign", 2, len(text) - 2)]
+    for k in range(5):  # wherever the window ends
+        words = b"x" * (secrets.WINDOW - 10 - 4 * k) + b" " + secret + log
+        assert len(secrets.all_spans(base64.b64encode(zlib.compress(words)).decode())[1]) == 1
+    many = " ".join(base64.b64encode(zlib.compress(b"%d " % k + log[: 1 << 20])).decode() for k in range(18))
+    last = base64.b64encode(zlib.compress(base64.b64encode(secret))).decode()
+    assert len(secrets.all_spans(last + " " + many)[1]) == len(secrets.all_spans(many + " " + last)[1]) == 1
+
+
 def test_cycles_and_bombs_end():
     assert secrets.all_spans("%2525252541 %25" * 50)[0] == []
     bomb = base64.b64encode(zlib.compress(b"a" * 50_000_000)).decode()

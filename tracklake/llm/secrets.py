@@ -11,10 +11,10 @@ A layer maps each of its characters to a stretch of the text: escapes to the esc
 run, stretches of a run to their own characters, inflated data to the compressed ones. Matches of inner layers
 are reported with the stretch they map to.
 
-Escapes of escapes of one kind (%252541) are undone in one step. Growth is bounded: each layer is no longer than its
-parent but for inflated data, of which INFLATE times the word's length, or INFLATE_LEAST, is the most that is kept; and
-the layers of a text hold at most LAYERS times its length together, which only texts made to
-nest hundreds of times reach.
+Escapes of escapes of one kind (%252541) are undone in one step. Inflated data have no bound: all their members
+are inflated piece by piece and scanned in windows of about WINDOW characters, each a layer, cut where no match or base64
+run can go on; a window without such a place grows until one comes, so memory follows the longest
+stretch of that kind. Other layers are no longer than their parents.
 
 Defined cases: a null text counts as empty; repeated rows are scanned each; rows without doc_id
 are scanned too. Other columns are ignored.
@@ -23,6 +23,7 @@ are scanned too. Other columns are ignored.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import re
 import zlib
@@ -49,8 +50,10 @@ ASCII = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
 #: How gzip (1f 8b 08) and zlib data (78 and 01, 5e, 9c or da) begin in base64.
 PACKED = re.compile(r"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]")
 URLSAFE = str.maketrans("-_", "+/")
-INFLATE, INFLATE_LEAST = 64, 1 << 20
-LAYERS, LAYERS_LEAST = 64, 1 << 24
+#: Characters of inflated data that are scanned at once, and bytes that are inflated at once.
+WINDOW, PIECE = 1 << 20, 1 << 16
+#: Ends of what no match, escape or base64 run goes on over.
+SAFE = re.compile(r"[G-WYZg-wyz,.]\x20(?=[A-Za-z0-9])|[,<>(){}\[\]|!?*]")
 PERCENT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
 
 
@@ -125,19 +128,84 @@ def decoded(core: str, at: int = 0) -> bytes:
     return base64.b64decode(core[at : at + n] + "=" * (-n % 4))
 
 
-def inflated(data: bytes, most: int) -> bytes | None:
-    """The content of gzip or zlib data, through any further compressed layers."""
-    seen = set()
-    while data[:3] == b"\x1f\x8b\x08" or data[:2] in (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda"):
-        digest = hashlib.sha256(data).digest()
-        if digest in seen:
-            return None
-        seen.add(digest)
-        try:
-            data = zlib.decompressobj(47).decompress(data, most)
-        except zlib.error:
-            return None
-    return data
+def packed(data: bytes) -> bool:
+    return data[:3] == b"\x1f\x8b\x08" or data[:2] in (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
+
+
+def members(source: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of the gzip or zlib members of a stream, in pieces, up to a fault or other data."""
+    z, data = None, b""
+    for more in source:
+        data += more
+        while True:
+            if z is None:
+                data = data.lstrip(b"\0")
+                if len(data) < 3:
+                    break
+                if not packed(data):
+                    return
+                z = zlib.decompressobj(47)
+            try:
+                out = z.decompress(data, PIECE)
+            except zlib.error:
+                return
+            if out:
+                yield out
+            if z.eof:
+                z, data = None, z.unused_data
+                continue
+            data = z.unconsumed_tail
+            if not data and len(out) < PIECE:
+                break
+
+
+def inflated(core: str, at: int) -> Iterator[bytes]:
+    """The content of the data that begin at a base64 character, through all compressed layers."""
+
+    def level(n: int) -> Iterator[bytes]:
+        stream: Iterator[bytes] = (decoded(core[k : k + PIECE]) for k in range(at, len(core), PIECE))
+        for _ in range(n):
+            stream = members(stream)
+        return stream
+
+    n, seen = 1, set()
+    while True:
+        head = b""
+        for piece in level(n):
+            head += piece
+            if len(head) >= 3:
+                break
+        if not packed(head) or next(level(n + 1), None) is None:
+            break
+        digest = hashlib.sha256()
+        for piece in level(n):
+            digest.update(piece)
+        if digest.digest() in seen:
+            return
+        seen.add(digest.digest())
+        n += 1
+    yield from level(n)
+
+
+def windows(stream: Iterator[bytes]) -> Iterator[str]:
+    """The stream as text in windows; what is not UTF-8 becomes a mark that no match holds."""
+    decoder, parts, size, most = codecs.getincrementaldecoder("utf-8")("replace"), [], 0, WINDOW
+    for piece in stream:
+        parts.append(decoder.decode(piece))
+        size += len(parts[-1])
+        if size < most:
+            continue
+        held, cut = "".join(parts), 0
+        for back in (1 << 10, 1 << 14, size):
+            low = max(0, size - back)
+            cut = max((m.end() for m in SAFE.finditer(held, low)), default=0)
+            if cut:
+                yield held[:cut]
+                break
+        parts, size = [held[cut:]], size - cut
+        most = max(WINDOW, 2 * size)
+    if size:
+        yield "".join(parts)
 
 
 def base64_layers(layer: Layer, places: Sequence[int], core: str, end: int) -> Iterator[Layer]:
@@ -151,8 +219,7 @@ def base64_layers(layer: Layer, places: Sequence[int], core: str, end: int) -> I
         for m in ASCII.finditer(data):
             yield Layer(m[0].decode(), layer, [], (places, at, m.start()))
     for m in PACKED.finditer(core):
-        data = inflated(decoded(core, m.start()), max(INFLATE_LEAST, INFLATE * len(core)))
-        if data and (text := readable(data)):
+        for text in windows(inflated(core, m.start())):
             yield Layer(text, layer, [(0, places[m.start()], end, False)])
 
 
@@ -217,16 +284,17 @@ def digest_of(text: str) -> bytes:
 def all_spans(text: str) -> tuple[list, list]:
     """Base spans of the text, and all spans, those of decoded layers too, by start, then kind."""
     base = base_spans(text)
-    found, seen, work, left = set(base), {(digest_of(text), 0, len(text))}, [Layer(text, None, [])], max(LAYERS_LEAST, LAYERS * len(text))
-    while work and left > 0:
-        for inner in inner_layers(work.pop()):
-            key = (digest_of(inner.text), *inner.stretch(0, len(inner.text)))
-            if key in seen:
-                continue
+    found, seen, work = set(base), {(digest_of(text), 0, len(text))}, [inner_layers(Layer(text, None, []))]
+    while work:
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
+            continue
+        key = (digest_of(inner.text), *inner.stretch(0, len(inner.text)))
+        if key not in seen:
             seen.add(key)
-            left -= len(inner.text)
             found |= {(kind, *inner.stretch(a, b)) for kind, a, b in base_spans(inner.text)}
-            work.append(inner)
+            work.append(inner_layers(inner))
     order = {k[0]: n for n, k in enumerate(KINDS)}
     return base, sorted(found, key=lambda s: (s[1], order[s[0]], s[2]))
 
