@@ -62,3 +62,25 @@ def test_salvage_of_junk_heads_tails_and_cuts():
     assert got[0]["begin"] == 0 and got[0]["end"] == 11
     assert rows_of(b"") == []
     assert [r["fault"] is None for r in rows_of(b"no archive at all")] == [False]
+
+
+def test_salvage_inside_a_member():
+    import gzip
+
+    parts = records(8, compress=False)
+    bad = bytearray(parts[2])
+    bad[len(bad) // 2] ^= 0xFF
+    for spoilt in (bytes(bad), parts[2][20:], parts[2][:-30]):
+        got = rows_of(gzip.compress(b"".join([*parts[:2], spoilt, *parts[3:]])) + records(1)[0])
+        assert [r["page_id"] for r in got if not r["fault"]] == [0, 1, 3, 4, 5, 6, 7, 0]
+        assert sum(bool(r["fault"]) for r in got) == 1
+    import random
+
+    noise = [random.Random(k).randbytes(3000).hex() for k in range(40)]
+    import hashlib
+
+    whole = gzip.compress(b"".join(warc.record(k, "u", x, len(x), hashlib.sha256(x.encode()).hexdigest(), None) for k, x in enumerate(noise)))
+    got = rows_of(whole[: len(whole) // 2] + records(1)[0])
+    good = [r["page_id"] for r in got if not r["fault"]]
+    assert good[:-1] == list(range(len(good) - 1)) and len(good) >= 19 and good[-1] == 0
+    assert [bool(r["fault"]) for r in got].count(True) == 1

@@ -9,7 +9,9 @@ Reading: records come one after the other. A record must have a version line, a
 the length it says, the closing blank lines, and the digests it names. After a failed check the reader
 searches for the next gzip member or version line whose record passes, reads on there, and logs the bytes
 between as a quarantined gap. A record that is framed rightly but has a wrong digest is passed over as a whole.
-One record is in memory at a time.
+A gzip member is inflated bit by bit and searched in the same way, so its good records before and after a
+fault are kept, and those before a break of its stream, if the stream went on behind them. Records of
+a member begin where it does and end where reading stood. One record is in memory at a time.
 
 Defined cases: null html is the empty payload; a null url gives a record without target; rows
 without page_id are written under an id of their own, revisit others but are no originals
@@ -20,6 +22,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,6 +39,8 @@ MIN_REVISIT = 100
 #: Bytes of a file after which the next one begins.
 ROLL = 32 << 20
 CHUNK = 1 << 20
+#: Bytes of a gzip member that are inflated at once.
+STEP = 1 << 14
 LEVEL = 4
 
 RECORD = "archive string, begin long, end long, fault string, page_id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -189,19 +194,41 @@ def checked(head: dict[str, str], block: bytes, end: int | None) -> dict:
     }
 
 
-def member(s: Source, lo: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at lo."""
-    z, parts, at = zlib.decompressobj(31), [], lo
-    while not z.eof:
-        data = s.get(at, CHUNK)
-        if not data:
-            raise Fault("cut off")
+class Member(Source):
+    """The inflated bytes of the gzip member at a place of s, by place, read forwards; fault: why they end too early."""
+
+    def __init__(self, s: Source, start: int):
+        self.s, self.end, self.z, self.at, self.held, self.fault, self.size = s, start, zlib.decompressobj(31), 0, bytearray(), None, math.inf
+
+    def more(self) -> None:
+        data = self.s.get(self.end, STEP)
+        before, out = self.z.copy(), b""
         try:
-            parts.append(z.decompress(data))
-        except zlib.error as e:
-            raise Fault(f"gzip: {e}") from e
-        at += len(data)
-    return b"".join(parts), at - len(z.unused_data)
+            out = self.z.decompress(data)
+            self.end += len(data) - len(self.z.unused_data)
+        except zlib.error as e:  # what comes before the break
+            self.fault = f"gzip: {e}"
+            try:
+                for k in range(len(data)):
+                    out += before.decompress(data[k : k + 1])
+                    self.end += 1
+            except zlib.error:
+                pass
+        self.held += out
+        if not data and not self.z.eof:
+            self.fault = "cut off"
+        if self.fault or self.z.eof:
+            self.size = self.at + len(self.held)
+
+    def get(self, lo: int, n: int) -> bytes:
+        while self.at + len(self.held) < lo + n and self.size == math.inf:
+            self.more()
+        return bytes(self.held[lo - self.at : lo - self.at + n])
+
+    def forget(self, lo: int) -> None:
+        """Bytes before lo are not asked for again."""
+        del self.held[: lo - self.at]
+        self.at = lo
 
 
 class Bytes:
@@ -217,37 +244,69 @@ class Bytes:
         return self.data[self.at : self.at + n]
 
 
+def inside(m: Member) -> Iterator[dict | str]:
+    """Rows of the records of a member that pass, and the reasons of the gaps between them."""
+    k, gap = 0, None
+    while m.get(k, 1):
+        try:
+            head, block, end = framed(m, k)
+            row = checked(head, block, end)
+            if not m.get(end, 1) and m.fault:
+                raise Fault(m.fault)
+        except Fault as e:
+            gap = gap or e.reason
+            k = e.end if e.end is not None else m.find(b"WARC/1.", k + 1)
+            if k < 0:
+                break
+        else:
+            if gap is not None:
+                yield gap
+                gap = None
+            yield row
+            k = end
+        m.forget(k)
+    while m.size == math.inf:
+        m.forget(m.at + len(m.held))
+        m.more()
+    if gap is not None or m.fault:
+        yield m.fault or gap
+
+
 def salvage(s: Source) -> Iterator[dict]:
     """Rows of all records that pass, and of the gaps between them (fault set)."""
     at, gap = 0, None
     while at < s.size:
-        zipped = s.get(at, 3) == b"\x1f\x8b\x08"
-        try:
-            rows = []
-            if zipped:
-                data, end = member(s, at)
-                inner, k = Source(Bytes(data), len(data)), 0
-                while k < len(data):
-                    head, block, k = framed(inner, k)
-                    rows.append(checked(head, block, end))
-            else:
+        if s.get(at, 3) == b"\x1f\x8b\x08":
+            m = Member(s, at)
+            for r in inside(m):
+                if isinstance(r, str):
+                    gap = gap or (at, r)
+                    continue
+                if gap is not None:
+                    yield {"begin": gap[0], "end": at if gap[0] < at else m.end, "fault": gap[1]}
+                    gap = None
+                yield r | {"begin": at, "end": m.end, "fault": None}
+            if m.fault is None:
+                at = m.end
+                continue
+        else:
+            try:
                 head, block, end = framed(s, at)
-                rows.append(checked(head, block, end))
-        except Fault as e:
-            if gap is None:
-                gap = (at, e.reason)
-            if e.end is not None:
-                at = e.end
+                row = checked(head, block, end)
+            except Fault as e:
+                gap = gap or (at, e.reason)
+                if e.end is not None:
+                    at = e.end
+                    continue
             else:
-                found = [x for mark in (b"\x1f\x8b\x08", b"WARC/1.") if (x := s.find(mark, at + 1)) >= 0]
-                at = min(found, default=s.size)
-            continue
-        if gap is not None:
-            yield {"begin": gap[0], "end": at, "fault": gap[1]}
-            gap = None
-        for r in rows:
-            yield r | {"begin": at, "end": end, "fault": None}
-        at = end
+                if gap is not None:
+                    yield {"begin": gap[0], "end": at, "fault": gap[1]}
+                    gap = None
+                yield row | {"begin": at, "end": end, "fault": None}
+                at = end
+                continue
+        found = [x for mark in (b"\x1f\x8b\x08", b"WARC/1.") if (x := s.find(mark, at + 1)) >= 0]
+        at = min(found, default=s.size)
     if gap is not None:
         yield {"begin": gap[0], "end": s.size, "fault": gap[1]}
 
