@@ -15,9 +15,9 @@ def one(spark, rest, n=12, **options):
 
 
 def test_all_twelve_fields(spark):
-    r = one(spark, "\t".join(["be", "5", "+", "15", "25", "15,16,17", "2", "4,5,", "6,7", "f1", "f2"]))
-    assert (r.name, r.score, r.strand, r.thick_start, r.thick_end, r.block_count, r.block_sizes, r.block_starts, r.extra_fields) == ("be", 5, "+", 15, 25, 2, [4, 5], [6, 7], ["f1", "f2"])
-    assert r.item_rgb == (0xFF << 24 | 15 << 16 | 16 << 8 | 17) - (1 << 32)
+    r = one(spark, "\t".join(["gene7", "310", "-", "120", "480", "200,3,64", "3", "90,40,70,", "0,150,290", "left", "right"]))
+    assert (r.name, r.score, r.strand, r.thick_start, r.thick_end, r.block_count, r.block_sizes, r.block_starts, r.extra_fields) == ("gene7", 310, "-", 120, 480, 3, [90, 40, 70], [0, 150, 290], ["left", "right"])
+    assert r.item_rgb == (0xFF << 24 | 200 << 16 | 3 << 8 | 64) - (1 << 32)
 
 
 def test_defaults_and_tails(spark):
@@ -44,17 +44,17 @@ def test_faults_name_their_field(spark, rest, n, field):
 
 
 def test_pack_is_the_inverse(spark):
-    for rest, n in [("be\t5\t+\t15\t25\t15,16,17\t2\t4,5\t6,7\tf1\tf2", 12), (".\t0\t.\t0\t0\t0\t0\t.\t.", 12), ("x\t1", 5), ("", 3), ("e1\te2", 3)]:
+    for rest, n in [("gene7\t310\t-\t120\t480\t200,3,64\t3\t90,40,70\t0,150,290\tleft\tright", 12), (".\t0\t.\t0\t0\t0\t0\t.\t.", 12), ("x\t1", 5), ("", 3), ("e1\te2", 3)]:
         assert bed.pack(bed.unpack(rows(spark, rest), n), n).first().rest == rest
-    full = bed.unpack(rows(spark, "be\t5\t+\t15\t25\t0\t0\t.\t.\tf1\tf2"))
-    assert bed.pack(full, 4, 1).first().rest == "be\tf1" and bed.pack(full, 4, 0).first().rest == "be"
+    full = bed.unpack(rows(spark, "gene8\t40\t+\t7\t9\t0\t0\t.\t.\tleft\tright"))
+    assert bed.pack(full, 4, 1).first().rest == "gene8\tleft" and bed.pack(full, 4, 0).first().rest == "gene8"
     wrong = full.withColumn("block_count", full.block_count + 3)
     with pytest.raises(PySparkException):
         bed.pack(wrong).collect()
 
 
 def test_get_field(spark):
-    d = bed.unpack(rows(spark, "be\t5\t+\tf1\tf2"), 6)
+    d = bed.unpack(rows(spark, "gene9\t8\t+\tleft\tright"), 6)
     got = d.select(*(bed.field(i, 6) for i in range(10))).first()
-    assert tuple(got) == ("chr1", "1", "100", "be", "5", "+", "f1", "f2", None, None)
+    assert tuple(got) == ("chr1", "1", "100", "gene9", "8", "+", "left", "right", None, None)
     assert d.select(bed.field(7, 6, 1)).first()[0] is None

@@ -61,11 +61,28 @@ def test_wig_in_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
-@pytest.mark.parametrize("bad", ["track type=bedGraph\nvariableStep chrom=a\n1 2\n", "track type=wiggle_0\nfixedStep chrom=a\n1\n", "track type=wiggle_0\nvariableStep chrom=a\n1 2\nhello\n"])
+@pytest.mark.parametrize("bad", ["track type=bedGraph\nvariableStep chrom=a\n1 2\n", "track type=wiggle_0\nfixedStep chrom=a\n1\n", "track type=wiggle_0\nvariableStep chrom=a\n1 2\nhello\n", "track type=wiggle_0\n1 2\nvariableStep chrom=a\n3 4\n", "variableStep chrom=a\nInf 2\n", "variableStep chrom=a\n1\n", "variableStep\n1 2\n", "variableStep chrom=a span=x\n1 2\n"])
 def test_wig_faults(spark, tmp_path, bad):
     (tmp_path / "a.wig").write_text(bad)
     with pytest.raises(PySparkException):
         text.read_wig(spark, f"{tmp_path}/a.wig").collect()
+    with pytest.raises(PySparkException):
+        text.read_wig(spark, f"{tmp_path}/a.wig").count()
+    assert text.read_wig(spark, f"{tmp_path}/a.wig", strict=False).count() <= 1
+
+
+@pytest.mark.parametrize("bad", ["chr1 0 10 1.5\n", "track type=wiggle_0\nchr1 0 10 1.5\n", "chr1 0 1 1\ntrack type=bedGraph\nchr1 0 10 1.5\n", "track type=bedGraph\nchr1 x 10 1.5\n", "track type=bedGraph\nchr1 1 10\n"])
+def test_bedgraph_faults(spark, tmp_path, bad):
+    (tmp_path / "a.bg").write_text(bad)
+    with pytest.raises(PySparkException):
+        text.read_bedgraph(spark, f"{tmp_path}/a.bg").collect()
+
+
+def test_feature_faults(spark, tmp_path):
+    (tmp_path / "a.bed").write_text("chr1\t1\t2\nchr1\tx\t4\nchr1\n")
+    with pytest.raises(PySparkException):
+        text.read_features(spark, f"{tmp_path}/a.bed").collect()
+    assert [tuple(r) for r in text.read_features(spark, f"{tmp_path}/a.bed", strict=False).collect()] == [("chr1", 1, 2, ""), ("chr1", None, 4, ""), ("chr1", None, None, "")]
 
 
 def test_bedgraph_features_and_sizes(spark, tmp_path):

@@ -51,11 +51,17 @@ def _batch(name: str, first: int, held: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array([0] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array(held, pa.string())], names=["file", "split", "line", "value"])
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """chrom, start, end, rest of feature lines: at most four tab-separated parts."""
+def read_features(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """chrom, start, end, rest of feature lines: at most four tab-separated parts.
+
+    strict: the query fails at lines without a start and an end; else these are null there.
+    """
     parts = F.split("value", "\t", 4)
-    rows = lines(spark, path)
-    return rows.select(parts[0].alias("chrom"), parts[1].try_cast("int").alias("start"), parts[2].try_cast("int").alias("end"), F.coalesce(F.try_element_at(parts, F.lit(4)), F.lit("")).alias("rest"))
+    part = lambda k: F.try_element_at(parts, F.lit(k))
+    rows = lines(spark, path).withColumns({"chrom": parts[0], "start": part(2).try_cast("int"), "end": part(3).try_cast("int"), "rest": F.coalesce(part(4), F.lit(""))})
+    if strict:
+        rows = refused(rows, F.when(F.col("start").isNull() | F.col("end").isNull(), F.concat(F.lit("bad feature: "), "value")))
+    return rows.select("chrom", "start", "end", "rest")
 
 
 def read_sizes(spark: SparkSession, path: str) -> DataFrame:
@@ -83,44 +89,63 @@ def last(c) -> Column:
     return F.last(c, ignorenulls=True)
 
 
-def parse_wig(rows: DataFrame) -> DataFrame:
-    """file, section, chrom, start, end, score of WIG lines (file, split, line, value)."""
+def refused(rows: DataFrame, fault: Column) -> DataFrame:
+    """rows; the query fails where fault, a text, is not null, whatever columns are asked for."""
+    return rows.where(F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(True))
+
+
+def parse_wig(rows: DataFrame, strict: bool = True) -> DataFrame:
+    """file, section, chrom, start, end, score of WIG lines (file, split, line, value).
+
+    strict: the query fails at other tracks, unexpected lines, declarations without what they need, data before a declaration
+    and data that are no numbers; else such lines give no rows. Faults are raised in one place, at the end.
+    """
     text = rows.withColumn("value", F.trim(F.regexp_replace("value", "[\r\t]", " "))).where("value <> '' AND NOT startswith(value, '#')")
-    word = F.substring_index("value", " ", 1)
-    bad_track = (word == "track") & ~F.coalesce(F.try_element_at(parameters(F.col("value")), F.lit("type")) == "wiggle_0", F.lit(False))
-    odd = ~word.isin("track", "browser", "variableStep", "fixedStep") & ~word.rlike(r"^[-+0-9.NI]")
-    text = text.withColumn("word", F.when(bad_track, F.raise_error(F.lit("track is not wiggle_0")).cast("string")).when(odd, F.raise_error(F.concat(F.lit("unexpected line: "), "value")).cast("string")).otherwise(word))
-    data = F.col("word").rlike(r"^[-+0-9.NI]")
-    counted = _running(text, F.when(data, 1).otherwise(0).cast("long"), "_n", F.sum, F.sum)
-    counted = counted.withColumn("nth", F.col("_n") + F.coalesce("_c", F.lit(0))).drop("_v", "_n", "_c")
+    text = text.withColumn("word", F.substring_index("value", " ", 1))
+    word, data = F.col("word"), F.col("word").rlike(r"^[-+0-9.NI]")
     p = parameters(F.col("value"))
     get = lambda k: F.try_element_at(p, F.lit(k))
-    fixed = F.col("word") == "fixedStep"
-    need = F.when(fixed & get("start").isNull(), F.raise_error(F.lit("fixedStep needs a start")).cast("int")).otherwise(get("start").cast("int"))
-    at = F.struct(F.concat_ws(":", F.col("split").cast("string"), F.col("line").cast("string")).alias("section"), "word", get("chrom").alias("chrom"), need.alias("start"), F.coalesce(get("step").cast("int"), F.lit(1)).alias("step"), F.coalesce(get("span").cast("int"), F.lit(1)).alias("span"), F.col("nth").alias("nth"))
-    declared = _running(counted, F.when(F.col("word").isin("variableStep", "fixedStep"), at), "_d", last, last)
-    d = F.coalesce("_d", "_c")
-    found = declared.withColumn("d", d).where(F.col("word").rlike(r"^[-+0-9.NI]"))
-    fixed = F.col("d.word") == "fixedStep"
+    number = lambda k: get(k).try_cast("int")
+    fixed, declares = word == "fixedStep", word.isin("variableStep", "fixedStep")
+    wrong = lambda k: get(k).isNotNull() & number(k).isNull()
+    fault = F.when((word == "track") & ~F.coalesce(get("type") == "wiggle_0", F.lit(False)), F.lit("track is not wiggle_0"))
+    fault = fault.when(~word.isin("track", "browser", "variableStep", "fixedStep") & ~data, F.concat(F.lit("unexpected line: "), "value"))
+    fault = fault.when(fixed & number("start").isNull(), F.lit("fixedStep needs a start"))
+    fault = fault.when(declares & (get("chrom").isNull() | wrong("step") | wrong("span")), F.concat(F.lit("bad declaration: "), "value"))
+    counted = _running(text.withColumn("fault", fault), F.when(data, 1).otherwise(0).cast("long"), "_n", F.sum, F.sum)
+    counted = counted.withColumn("nth", F.col("_n") + F.coalesce("_c", F.lit(0))).drop("_v", "_n", "_c")
+    at = F.struct(F.concat_ws(":", F.col("split").cast("string"), F.col("line").cast("string")).alias("section"), "word", get("chrom").alias("chrom"), number("start").alias("start"), F.coalesce(number("step"), F.lit(1)).alias("step"), F.coalesce(number("span"), F.lit(1)).alias("span"), F.col("nth").alias("nth"))
+    declared = _running(counted, F.when(declares, at), "_d", last, last).withColumn("d", F.coalesce("_d", "_c"))
     two = F.split("value", r"\s+")
+    fixed = F.col("d.word") == "fixedStep"
     start = F.when(fixed, F.col("d.start") - 1 + (F.col("nth") - F.col("d.nth") - 1) * F.col("d.step")).otherwise(two[0].try_cast("int") - 1)
-    score = F.when(fixed, two[0]).otherwise(F.try_element_at(two, F.lit(2)))
-    return found.select("file", F.col("d.section").alias("section"), F.col("d.chrom").alias("chrom"), start.cast("int").alias("start"), (start + F.col("d.span")).cast("int").alias("end"), score.cast("float").alias("score"))
+    score = F.when(fixed, two[0]).otherwise(F.try_element_at(two, F.lit(2))).try_cast("float")
+    found = declared.where(data | F.col("fault").isNotNull()).withColumns({"start": start.cast("int"), "score": score})
+    fault = F.coalesce("fault", F.when(F.col("d").isNull(), F.concat(F.lit("data before a declaration: "), "value")).when(F.col("start").isNull() | F.col("score").isNull(), F.concat(F.lit("bad data: "), "value")))
+    found = refused(found, fault) if strict else found.where(fault.isNull())
+    return found.select("file", F.col("d.section").alias("section"), F.col("d.chrom").alias("chrom"), "start", (F.col("start") + F.col("d.span")).cast("int").alias("end"), "score")
 
 
-def read_wig(spark: SparkSession, path: str) -> DataFrame:
-    return parse_wig(lines(spark, path))
+def read_wig(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    return parse_wig(lines(spark, path), strict)
 
 
 def parse_bedgraph(rows: DataFrame) -> DataFrame:
-    """chrom, start, end, score of bedGraph lines; the file must hold a track line of that type."""
+    """chrom, start, end, score of bedGraph lines.
+
+    The query fails if the first line of a file, after comments and browser lines, is no track line, if a track line
+    has another type, and at data that are no numbers.
+    """
     text = rows.withColumn("value", F.trim("value")).where("value <> '' AND NOT startswith(value, '#') AND NOT startswith(value, 'browser')")
     kind = F.try_element_at(parameters(F.col("value")), F.lit("type"))
     track = F.startswith("value", F.lit("track"))
-    bad = track & ~F.coalesce(F.lower(kind) == "bedgraph", F.lit(False))
+    first = text.groupBy("file").agg(F.min_by("value", F.struct("split", "line")).alias("first"))
     parts = F.split("value", r"\s+")
-    chrom = F.when(bad, F.raise_error(F.lit("track is not bedGraph")).cast("string")).otherwise(parts[0])
-    return text.where(~track | bad).select(chrom.alias("chrom"), F.try_element_at(parts, F.lit(2)).cast("int").alias("start"), F.try_element_at(parts, F.lit(3)).cast("int").alias("end"), F.try_element_at(parts, F.lit(4)).cast("float").alias("score"))
+    part = lambda k, to: F.try_element_at(parts, F.lit(k)).try_cast(to)
+    found = text.where(~track | ~F.coalesce(F.lower(kind) == "bedgraph", F.lit(False))).withColumns({"chrom": parts[0], "start": part(2, "int"), "end": part(3, "int"), "score": part(4, "float")})
+    fault = F.when(track, F.lit("track is not bedGraph")).when(~F.startswith("first", F.lit("track")), F.lit("no track line"))
+    fault = fault.when(F.col("start").isNull() | F.col("end").isNull() | F.col("score").isNull(), F.concat(F.lit("bad data: "), "value"))
+    return refused(found.join(first, "file"), fault).select("chrom", "start", "end", "score")
 
 
 def read_bedgraph(spark: SparkSession, path: str) -> DataFrame:
