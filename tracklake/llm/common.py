@@ -48,6 +48,27 @@ def drop(df: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Ids that are broadcast at most: 16 MB of them.
+BROADCAST_IDS = 2_000_000
+
+
+def own_name() -> str:
+    """A column name that no table has."""
+    return f"_{uuid.uuid4().hex}"
+
+
+def picked(documents: DataFrame, ids: DataFrame, how: str = "left_semi", column: str = "doc_id", most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of documents whose id is among ids (a written table with one column), or with left_anti is not; nulls are equal.
+
+    Up to `most` ids go to the tasks that read documents, so that no text moves; more are joined by a shuffle.
+    """
+    name = own_name()
+    ids = ids.toDF(name)
+    if ids.count() <= most:
+        ids = F.broadcast(ids)
+    return documents.join(ids, documents[column].eqNullSafe(F.col(name)), how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
