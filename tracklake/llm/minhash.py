@@ -14,14 +14,14 @@ BANDS bands of ROWS slots miss a pair at a Jaccard similarity of 0.85 with proba
 copies cost nothing further. Links are found in three steps, and each link is confirmed on the
 full shingle sets:
 1. every bucket's members are compared with its smallest id;
-2. buckets that still hold several components compare their members with another member
-   drawn at random, in as many rounds as asked for;
+2. large buckets that still hold several components compare their members with another member
+   drawn at random, in as many rounds as asked for, while that finds links;
 3. in buckets that still hold several components, every pair of members of different
    components is compared, in blocks of BLOCK members by BLOCK members outside the
    bucket's largest component, with the sets in the task; a task returns links only where
-   they connect what it has not connected yet.
+   they connect what it has not connected yet. A block has fewer members where sets are large.
 Step 3 leaves no colliding pair undecided, so no bucket is capped; steps 1 and 2 exist so that it
-meets few members where a group of near copies is very large.
+meets few members where a group of near copies is very large. Of buckets with the same members one is taken.
 
 Defined cases: null and empty texts have no shingles, component_id is their own id and they are kept;
 rows without doc_id take no part in links and come back with a null component_id, kept; repeated
@@ -39,11 +39,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.llm.bpe import steps
-from tracklake.llm.common import components, drop, hashes_of, mix, rolling, row_slices, save, words_of
+from tracklake.llm.common import components, drop, hashes_of, mix, picked, rolling, row_slices, save, words_of
 
 SHINGLE = 5
 M, ROWS, BANDS = 149, 5, 29
-BLOCK = 512
+#: Members, and shingles of all members, that one side of a block holds about.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 ROUNDS = 2
 #: A link: PERCENT * intersection size >= ... as in 100 * intersection >= PERCENT * union.
 PERCENT = 85
@@ -178,11 +179,21 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     owner: what must differ within a bucket for it to count, if not the id.
     """
     plain = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    owner = F.col("id") if owner is None else owner
-    full = plain.groupBy("bucket").agg(F.count("*").alias("m"), F.min("id").alias("least"), F.min(owner).alias("o1"), F.max(owner).alias("o2")).where("o1 <> o2").select("bucket", "m", "least")
+    counts = [F.count("*").alias("m"), F.min("id").alias("least")]
+    if owner is None:
+        full = plain.groupBy("bucket").agg(*counts).where("m > 1")
+    else:
+        full = plain.groupBy("bucket").agg(*counts, F.min(owner).alias("o1"), F.max(owner).alias("o2")).where("o1 <> o2").select("bucket", "m", "least")
     full = save(full, "buckets")
     member = save(plain.join(full, "bucket").select("bucket", "id", "n", "m", "least"), "members")
-    sets = save(sets_of(member.select("id").distinct()), "sets")
+    drop(full)
+    # of buckets with the same members one is enough
+    alike = member.groupBy("bucket").agg(F.first("m").alias("m"), F.first("least").alias("least"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2"))
+    alike = save(alike.groupBy("m", "least", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
+    every, member = member, save(member.join(alike, "bucket", "left_semi"), "members")
+    for old in (every, alike):
+        drop(old)
+    sets = save(sets_of(save(member.select("id").distinct(), "wanted")), "sets")
     near = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     sizes = member.groupBy("id").agg(F.first("n").alias("n"))
     size_of = lambda c: sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
@@ -191,22 +202,23 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     found = save(confirm(pairs, sets, percent), "links")
     comp = _labels(sizes, found)
     larger = member.where("m > 2")  # step 1 has decided the only pair of the others
-    for k in range(rounds + 1):
-        now = larger.join(comp, "id")
+    for k in range(rounds):
+        now = larger.where(F.col("m") > block // 8).join(comp, "id")
         several = now.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))).alias("x")).where("c1 <> c2")
         several = save(several.select("bucket", "x.a", "x.ca", "x.na"), "open")
         if several.isEmpty():
             break
-        if k == rounds:
-            break
         pairs = now.join(several, "bucket").where((F.col("comp") != F.col("ca")) & near(F.col("n"), F.col("na"))).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         fresh = save(confirm(pairs, sets, percent), "links")
-        if not fresh.isEmpty():
-            found = save(found.union(fresh), "links")
-            comp = _labels(sizes, found)
+        if fresh.isEmpty():
+            break
+        found = save(found.union(fresh), "links")
+        comp = _labels(sizes, found)
+    now = larger.join(comp, "id")
+    several = save(now.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket"), "open")
     if not several.isEmpty():
-        found = save(found.union(_rest(larger.join(several.select("bucket"), "bucket", "left_semi").join(comp, "id"), sets, percent, block)), "links")
-    for old in (full, member, sets, several, comp):
+        found = save(found.union(_rest(larger.join(several, "bucket", "left_semi").join(comp, "id"), sets, percent, block)), "links")
+    for old in (member, sets, several, comp):
         drop(old)
     return found
 
@@ -218,8 +230,10 @@ def _labels(sizes: DataFrame, found: DataFrame) -> DataFrame:
 
 def _rest(now: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Step 3 over members (bucket, id, n, m, comp) of the buckets with several components."""
-    share = now.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-    top = share.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m")).select("bucket", F.col("top.comp").alias("main"), F.ceil(F.col("m") / block).cast("int").alias("blocks"), F.ceil((F.col("m") - F.col("top.k")) / block).cast("int").alias("minors"))
+    share = now.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("e"))
+    top = share.groupBy("bucket").agg(F.max(F.struct("k", "comp", "e")).alias("top"), F.sum("k").alias("m"), F.sum("e").alias("e"))
+    parts = lambda k, e: F.ceil(F.greatest(k / block, e / BLOCK_SHINGLES)).cast("int")
+    top = save(top.select("bucket", F.col("top.comp").alias("main"), parts(F.col("m"), F.col("e")).alias("blocks"), parts(F.col("m") - F.col("top.k"), F.col("e") - F.col("top.e")).alias("minors")), "top")
     x = save(now.select("bucket", "id", "n", "comp").join(top, "bucket"), "rest")
     salt = lambda c, k: F.pmod(F.xxhash64("id", F.lit(k)), F.col(c)).cast("int")
     spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -236,8 +250,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, rounds: int =
     classes = save(able.groupBy("n_shingles", "f1", "f2").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select(F.col("r.doc_id").alias("id"), F.col("n_shingles").alias("n"), "f1", "f2", F.col("r.bands").alias("bands")), "classes")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        some = documents.select("doc_id", "text").join(ids, documents.doc_id == ids.id, "left_semi")
-        return some.mapInArrow(_sets, "id long, s array<long>").dropDuplicates(["id"])
+        return picked(documents.select("doc_id", "text"), ids).mapInArrow(_sets, "id long, s array<long>").dropDuplicates(["id"])
 
     found = links(classes.select("id", "n", "bands"), sets_of, percent, rounds, block)
     got = components(found)
@@ -248,12 +261,15 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, rounds: int =
 
 
 def keep(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of documents that stay, one of each component; of repeated rows of an id one stays."""
-    stay = save(near_duplicates(documents, percent).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n_copies"), F.max("n_shingles").alias("n")), "kept")
-    joined = documents.join(stay, documents.doc_id.eqNullSafe(F.col("_id")))
+    """The rows of documents that stay, one of each component; of repeated rows of an id one stays.
+
+    Rows without doc_id or without words stay all. Other columns may have any name.
+    """
+    judged = near_duplicates(documents, percent).groupBy("doc_id").agg(F.max("kept").alias("stays"), (F.col("doc_id").isNotNull() & (F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("again"))
+    gone = save(judged.where("NOT stays OR again"), "gone")
     # an id's repeated rows are one document, unless they have no id or no words to compare
-    again = F.col("_id").isNotNull() & (F.col("n_copies") > 1) & (F.col("n") > 0)
-    single = joined.where(~again).select(*documents.columns)
-    if stay.where("_id IS NOT NULL AND n_copies > 1 AND n > 0").isEmpty():
+    again = save(gone.where("stays AND again").select("doc_id"), "again")
+    single = picked(documents, gone.select("doc_id"), "left_anti")
+    if again.isEmpty():
         return single
-    return single.unionByName(joined.where(again).dropDuplicates(["_id"]).select(*documents.columns))
+    return single.unionByName(picked(documents, again).dropDuplicates(["doc_id"]))
