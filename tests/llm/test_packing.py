@@ -45,6 +45,24 @@ def test_pieces_and_bins(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_ids_equal_the_library():
+    from tokenizers import Tokenizer
+
+    library, t = Tokenizer.from_file(bpe.vocabulary_path()), packing.Tokenizer(bpe.vocabulary_path())
+    assert t.fast is not None
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["the", "ing", " ", "  ", "\n", "\t", "é", "日本", "'s", "'T", "1", "23", ".", "\x85", "\u3000", "👍🏽", "<|endoftext|>", "\u0301"]) for _ in range(40)) for _ in range(2000)]
+    texts += ["", "a" * 100_000, "ab " * 50_000, " " * 2_000_000 + "x"]  # the last is too much white space for the fast pattern
+    for x in texts:
+        assert t.ids(x).tolist() == library.encode(x, add_special_tokens=False).ids
+    # every token comes back alone from its own bytes, which makes merging by tokens' ranks the library's order
+    v = bpe.vocabulary(bpe.vocabulary_path())
+    words = [w for w in v.ids if w.decode("utf-8", "replace") not in v.special]
+    data, size = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+    ids, width = v.merge_many(data, np.cumsum(size) - size, size)
+    assert (width == 1).all() and ids.tolist() == [v.ids[w] for w in words]
+
+
 def test_best_fit_fills_exactly():
     lengths = np.array([60, 50, 40, 30, 20, 10, 100, 100])
     place, offset, fill = packing.best_fit(lengths, 100)
