@@ -20,14 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.llm.bpe import steps
-from tracklake.llm.common import hashes_of, mix, words_of
+from tracklake.llm.common import hashes_of, mix, save, words_of
 
 BITS = 17
-TRAIN_ROWS = 3000
+TRAIN_ROWS, TRAIN_VALUES = 3000, 32 << 20
 LEAST_PROBABILITY = 0.7
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: The characters that count as symbols.
@@ -169,11 +169,15 @@ def platt(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model | None:
-    """The model of at most `most` labelled rows."""
+    """The model of at most `most` labelled rows and TRAIN_VALUES feature values; of repeated rows of an id one is taken."""
     some = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded by `most`, so small enough to broadcast
     found = documents.where("doc_id IS NOT NULL").select("doc_id", "text").join(F.broadcast(some.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality"))), F.col("doc_id") == F.col("_id"))
-    got = found.select("doc_id", "quality", "text").mapInArrow(_featured, "doc_id long, quality int, slots array<int>, counts array<float>").toArrow().sort_by("doc_id")
+    made = save(found.select("doc_id", "quality", "text").mapInArrow(_featured, "doc_id long, quality int, slots array<int>, counts array<float>"), "features")
+    made = made.dropDuplicates(["doc_id"])
+    sizes = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over `most` rows at most
+    fits = save(made.select("doc_id", F.sum(F.size("slots")).over(sizes).alias("values")).where(F.col("values") <= TRAIN_VALUES).select("doc_id"), "sample")
+    got = made.join(F.broadcast(fits), "doc_id", "left_semi").toArrow().sort_by("doc_id")
     parts = []
     for lo in range(0, len(got), 256):
         part = got.slice(lo, 256).combine_chunks()
