@@ -53,7 +53,7 @@ def table(n=150):
     return rows + [(None, "the cat"), (7, "the cat"), (7, "the cat"), (900, None), (901, ""), (902, "\x0b ")]
 
 
-@pytest.mark.parametrize("order,size", [(2, 1 << 20), (3, 500)])
+@pytest.mark.parametrize("order,size", [(1, 1 << 20), (2, 1 << 20), (2, 200), (3, 500), (4, 1 << 20)])
 def test_scores_equal_the_plain_model(spark, order, size):
     rows = table()
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string").repartition(3)
@@ -61,6 +61,40 @@ def test_scores_equal_the_plain_model(spark, order, size):
     assert sorted(got, key=str) == sorted(plain(rows, order, 3.0), key=str)
 
 
+def test_automaton_has_states_and_failure_arcs():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.array(["a b c", "a b d", "x"], pa.large_string())
+    t = lm.Tokens([1, 2, 10], texts, 3)
+    found = lm.uniques(t)
+    totals = [np.bincount(back[t.at < 2], minlength=len(keys)).astype(float) for keys, back in found]  # the first two texts train
+    m = lm.Automaton(t, found, totals, int(totals[0].sum()), int((totals[0] > 0).sum()), 2, 3.0)
+    tokens = found[0][1]
+    a, b, c, end = tokens[0], tokens[1], tokens[2], tokens[3]
+    # states: empty, two marks, then a b c d, then the pairs of training texts that do not end them
+    assert len(m.fail) == 3 + 4 + 4 and m.start == 2
+    arc = dict(zip(m.key.tolist(), zip(m.to.tolist(), m.log.tolist()), strict=True))
+    state = m.start
+    for x in (a, b, c, end):
+        assert state * m.tokens + x in arc
+        state = arc[state * m.tokens + x][0]
+    # "a b" fails to "b", which fails to the empty context; weights are those of interpolation
+    ab = arc[arc[m.start * m.tokens + a][0] * m.tokens + b][0]
+    only_b = arc[0 * m.tokens + b][0]
+    assert m.fail[ab] == only_b and m.fail[only_b] == 0 and m.backoff[ab] == pytest.approx(math.log10(3 / 5))
+    # every state's probabilities over the vocabulary and one unknown token sum to one
+    known = np.flatnonzero(totals[0] > 0)
+    for s in range(len(m.fail)):
+        total = 0.0
+        for x in [*known, tokens[t.at == 2][0]]:
+            at, log = s, 0.0
+            while at * m.tokens + x not in arc:
+                at, log = m.fail[at], log + m.backoff[at]
+            total += 10 ** (log + arc[at * m.tokens + x][1])
+        assert total == pytest.approx(1)
+
+
 def test_empty_table_and_packing_of_numbers(spark):
     import numpy as np
 

@@ -4,15 +4,17 @@ Tokens are the words of a text, A-Z lower-cased, and one end. States are the con
 fewer than `order` tokens that training texts hold; the state of order k reads x with probability
 (c(context x) + MU * p(x | shorter context)) / (c(context) + MU), its failure arc leads to the state of the shorter
 context with weight MU / (c(context) + MU), and the empty context reads x with (c(x) + 0.1) / (N + 0.1 (V + 1)).
-Every state's probabilities sum to one over the vocabulary and one unknown token. Scoring goes from
-left to right once; a block's texts advance together, as arrays.
+Every state's probabilities sum to one over the vocabulary and one unknown token. So an arc holds the probability of a token
+that training texts hold after the state's context; any other token takes the failure arc's weight and is read by the state
+there. Scoring goes from left to right once and carries the state; a block's texts advance together, token by token.
 
 No vocabulary or n-gram table is ever in one place. The corpus is written in blocks of about BLOCK_BYTES of text.
 1. Each block sends its distinct n-grams, 64-bit hashes in ascending order with their counts in its
    training texts, to shards by ranges of the hash.
 2. A shard adds up the counts of all blocks and answers each block with the totals of its n-grams,
    in the same order, so that hashes travel once.
-3. Each block scores its texts with the answers it has got, which hold just the states that it visits.
+3. Each block builds the automaton of the states and arcs that its texts can meet, from the answers it has got, and its texts
+   go through it.
 A frequent word or pair is one entry for each block, so no shard is hot, and all that is
 gathered grows with the corpus. No n-gram is cut off.
 
@@ -163,6 +165,80 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf.block, "n": pdf.n, "shard": pdf.shard, "totals": [planes(x) for x in np.split(total, cuts)], "v": np.where(first, int((sums > 0).sum()), 0), "c": np.where(first, int(sums.sum()), 0)})
 
 
+class Automaton:
+    """The weighted backoff automaton of a block's n-grams.
+
+    State 0 is the empty context, state k the k marks that stand before a text; then come the contexts
+    of 1, 2, ... tokens that training texts hold. `fail` and `backoff` are each state's failure arc; an arc, found by
+    `key` (state and token, ascending), has a log-probability and leads to the longest state that its words end with.
+    """
+
+    def __init__(self, t: Tokens, found: list[tuple[np.ndarray, np.ndarray]], totals: list[np.ndarray], n_train: int, v: int, n_docs: int, mu: float):
+        order, self.tokens = len(totals), max(1, len(totals[0]))
+        back = [b for _, b in found]
+        at = [np.unique(b, return_index=True)[1] for b in back]  # where each n-gram ends for the first time
+        begins = np.zeros(len(t.at), bool)
+        begins[np.cumsum(t.size) - t.size] = True
+        closed = np.roll(begins, -1)  # after an end nothing is read
+        marks = np.arange(order) if n_docs else np.zeros(order, np.int64)
+        self.start = int(marks[-1])
+        size = [np.full(order, n_docs, np.float64)]
+        fail = [np.maximum(np.arange(order) - 1, 0)]
+        node, states = [np.zeros(1, np.int64)], order
+        for k in range(1, order):
+            below = node[k - 1][back[k - 2][at[k - 1]]] if k > 1 else np.zeros(len(totals[0]), np.int64)
+            known = (totals[k - 1] > 0) & ~closed[at[k - 1]]
+            own = below.copy()
+            own[known] = states + np.arange(known.sum())
+            states += int(known.sum())
+            node.append(own)
+            size.append(totals[k - 1][known])
+            fail.append(below[known])
+        self.fail, self.size = np.concatenate(fail), np.concatenate(size)
+        self.backoff = np.log10(mu / (self.size + mu))
+        keys, logs, to = [], [], []
+        p = (totals[0] + 0.1) / (n_train + 0.1 * (v + 1))
+        for k in range(order):
+            end = at[k]
+            if k:
+                before = np.where(begins[end], marks[k], node[k][back[k - 1][end - 1]])
+                context = np.where(begins[end], n_docs, totals[k - 1][back[k - 1][end - 1]])
+                lower = p[back[k - 1][end]]
+                p = np.where(context > 0, (totals[k] + mu * lower) / (context + mu), lower)
+                arcs = totals[k] > 0
+            else:
+                before, arcs = np.zeros(len(end), np.int64), np.ones(len(end), bool)  # the empty context reads every token
+            keys.append(before[arcs] * self.tokens + back[0][end[arcs]])
+            logs.append(np.log10(p[arcs]))
+            longest = min(k + 1, order - 1)
+            to.append(node[longest][back[longest - 1][end[arcs]]] if longest else np.zeros(int(arcs.sum()), np.int64))
+        keys, logs, to = (np.concatenate(x) for x in (keys, logs, to))
+        rank = np.argsort(keys, kind="stable")
+        self.key, self.log, self.to = keys[rank], logs[rank], to[rank]
+
+    def read(self, tokens: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The log-probability of each text: size tokens each, one text after the other."""
+        rank = np.argsort(-size, kind="stable")
+        begin, left = (np.cumsum(size) - size)[rank], -size[rank]
+        total, state = np.zeros(len(size)), np.full(len(size), self.start, np.int64)
+        for step in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(left, -step, "left"))  # texts with a token here come first
+            token, now, todo = tokens[begin[:n] + step], state[:n], np.arange(n)
+            while len(todo):
+                key = now[todo] * self.tokens + token[todo]
+                k = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+                hit = self.key[k] == key
+                read, k = todo[hit], k[hit]
+                total[read] += self.log[k]
+                now[read] = self.to[k]
+                todo = todo[~hit]
+                total[todo] += self.backoff[now[todo]]
+                now[todo] = self.fail[now[todo]]
+        out = np.empty(len(size))
+        out[rank] = total
+        return out
+
+
 def _score(order: int, mu: float, folder: str, n_train: int, v: int, n_docs: int):
     def answers(block: int) -> list[np.ndarray]:
         fs, root = pa.fs.FileSystem.from_uri(folder)
@@ -174,17 +250,13 @@ def _score(order: int, mu: float, folder: str, n_train: int, v: int, n_docs: int
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, texts in _block_runs(batches):
             t = Tokens(ids, texts, order)
-            count = [totals[back] for totals, (_, back) in zip(answers(block), uniques(t), strict=True)]
-            p = (count[0] + 0.1) / (n_train + 0.1 * (v + 1))
-            base = np.bincount(t.at, np.log10(p), t.n)
-            begin = np.cumsum(t.size) - t.size
-            for k in range(1, order):
-                # the state before a token is the n-gram that ended one token earlier
-                state = np.concatenate([[0.0], count[k - 1][:-1]])
-                state[begin] = n_docs
-                p = np.where(state > 0, (count[k] + mu * p) / (state + mu), p)
+            found, totals = uniques(t), answers(block)
+            tokens = found[0][1]
+            count = totals[0][tokens]
+            base = np.bincount(t.at, np.log10((count + 0.1) / (n_train + 0.1 * (v + 1))), t.n)
+            score = Automaton(t, found, totals, n_train, v, n_docs, mu).read(tokens, t.size)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(t.held), pa.array(t.size.astype(np.int64)), pa.array(np.bincount(t.at, count[0] > 0, t.n).astype(np.int64)), pa.array(np.full(t.n, n_train, np.int64)), pa.array(base), pa.array(np.bincount(t.at, np.log10(p), t.n))],
+                [pa.array(ids, pa.int64()), pa.array(t.held), pa.array(t.size.astype(np.int64)), pa.array(np.bincount(t.at, count > 0, t.n).astype(np.int64)), pa.array(np.full(t.n, n_train, np.int64)), pa.array(base), pa.array(score)],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
@@ -197,7 +269,8 @@ def score(documents: DataFrame, order: int = ORDER, mu: float = MU, block_bytes:
     texts, n_blocks = blocks(documents, block_bytes)
     shards = max(12, n_blocks // 2)
     sent = texts.mapInArrow(_send(order, shards), "shard int, n int, block long, grams binary, counts binary")
-    answered = sent.groupBy("n", "shard").applyInPandas(_answer, "block long, n int, shard int, totals binary, v long, c long")
+    # as many partitions as groups, so that no task gathers many
+    answered = sent.repartition(order * shards, "n", "shard").groupBy("n", "shard").applyInPandas(_answer, "block long, n int, shard int, totals binary, v long, c long")
     folder = new_path(spark, "answers")
     answered.repartition(max(12, n_blocks), "block").write.partitionBy("block").option("compression", "zstd").parquet(folder)
     if n_blocks:
