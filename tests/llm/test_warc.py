@@ -20,6 +20,33 @@ def test_round_trip(spark, compress):
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
+def test_a_large_group_of_equal_pages_and_the_shuffled_way(spark, monkeypatch):
+    rows = [(k, "u", LONG) for k in range(3000, 0, -1)] + [(5000 + k, "u", LONG + str(k % 7)) for k in range(50)] + [(1, "v", LONG + "0")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    least = {}
+    for p, _, h in rows:
+        least[h] = min(p, least.get(h, p))
+    want = sorted((p, least[h] if p != least[h] else -1) for p, _, h in rows)
+    for most in (warc.BROADCAST_REVISITS, 0):
+        monkeypatch.setattr(warc, "BROADCAST_REVISITS", most)
+        assert sorted((r.page_id, -1 if r.refers_to is None else r.refers_to) for r in warc.round_trip(spark, pages).collect()) == want
+
+
+def test_damaged_plain_archives_are_searched_once():
+    class Counting(warc.Bytes):
+        read_bytes = 0
+
+        def read(self, n):
+            part = super().read(n)
+            self.read_bytes += len(part)
+            return part
+
+    f = Counting(b"".join(x[:-4] + b"~~~~" for x in records(4000, compress=False)))
+    got = list(warc.salvage(warc.Source(f, len(f.data))))
+    assert [bool(r["fault"]) for r in got] == [True]
+    assert f.read_bytes < 40 * len(f.data)
+
+
 def rows_of(data):
     return list(warc.salvage(warc.Source(warc.Bytes(data), len(data))))
 

@@ -11,7 +11,8 @@ searches for the next gzip member or version line whose record passes, reads on
 between as a quarantined gap. A record that is framed rightly but has a wrong digest is passed over as a whole.
 A gzip member is inflated bit by bit and searched in the same way, so its good records before and after a
 fault are kept, and those before a break of its stream, if the stream went on behind them. Records of
-a member begin where it does and end where reading stood. One record is in memory at a time.
+a member begin where it does and end where reading stood. One record is in memory at a time, and what of a
+member is searched for the next version line after a fault.
 
 Defined cases: null html is the empty payload; a null url gives a record without target; rows
 without page_id are written under an id of their own, revisit others but are no originals
@@ -39,6 +40,8 @@ MIN_REVISIT = 100
 #: Bytes of a file after which the next one begins.
 ROLL = 32 << 20
 CHUNK = 1 << 20
+#: Revisits that are broadcast at most: about 100 MB; more are joined by a shuffle on page_id.
+BROADCAST_REVISITS = 500_000
 #: Bytes of a gzip member that are inflated at once.
 STEP = 1 << 14
 LEVEL = 4
@@ -50,13 +53,21 @@ RECORD = "archive string, begin long, end long, fault string, page_id long, reco
 
 
 def marked(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest, refers_to (null: a response)."""
+    """page_id, url, html, payload_bytes, payload_digest, refers_to (null: a response).
+
+    Groups are formed of ids and digests alone; what refers to another page is then met by its own id and digest, so a large group
+    of equal pages moves no payload and is no hot key.
+    """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html")).withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha2("html", 256)})
-    equal = rows.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
-    equal = save(equal.where("n > 1 AND least IS NOT NULL").select("payload_digest", "payload_bytes", "least"), "equal")
-    found = rows.join(equal, ["payload_digest", "payload_bytes"], "left")
-    return found.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least")).alias("refers_to"))
+    keys = save(rows.where(F.col("payload_bytes") >= MIN_REVISIT).select("page_id", F.unhex("payload_digest").alias("digest"), F.col("payload_bytes").alias("size")), "keys")
+    equal = keys.groupBy("digest", "size").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1 AND least IS NOT NULL").select("digest", "size", "least")
+    again = keys.join(save(equal, "equal"), ["digest", "size"]).where(~F.col("page_id").eqNullSafe(F.col("least")))
+    again = save(again.select(F.col("page_id").alias("_page"), F.hex("digest").alias("_digest"), "least").distinct(), "revisits")
+    if again.count() <= BROADCAST_REVISITS:
+        again = F.broadcast(again)
+    found = rows.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.upper("payload_digest") == F.col("_digest")), "left")
+    return found.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.col("least").alias("refers_to"))
 
 
 def record(page_id, url, html: str, size: int, digest: str, refers_to) -> bytes:
@@ -123,6 +134,7 @@ class Source:
 
     def __init__(self, f, size: int):
         self.f, self.size, self.at, self.held = f, size, 0, b""
+        self.marks: dict[bytes, tuple[int, int]] = {}
 
     def get(self, lo: int, n: int) -> bytes:
         """Up to n bytes from lo on."""
@@ -132,14 +144,22 @@ class Source:
         return self.held[lo - self.at : lo - self.at + n]
 
     def find(self, mark: bytes, lo: int) -> int:
-        """The first place of mark at or after lo, or -1."""
+        """The first place of mark at or after lo, or -1; what the last search for it passed over is not read again."""
+        begun, place = self.marks.get(mark, (0, 0))
+        if mark not in self.marks or lo < begun or 0 <= place < lo:
+            begun, place = lo, self._search(mark, lo)
+            self.marks[mark] = begun, place
+        return place
+
+    def _search(self, mark: bytes, lo: int) -> int:
         while lo < self.size:
-            part = self.get(lo, CHUNK)
-            if (k := part.find(mark)) >= 0:
-                return lo + k
-            if len(part) < CHUNK:
+            if lo < self.at or lo + len(mark) > self.at + len(self.held):
+                self.get(lo, CHUNK)
+            if (k := self.held.find(mark, lo - self.at)) >= 0:
+                return self.at + k
+            lo = self.at + len(self.held) - len(mark) + 1
+            if lo + len(mark) > self.size:
                 return -1
-            lo += len(part) - len(mark) + 1
         return -1
 
 
@@ -158,8 +178,7 @@ def header_of(head: bytes) -> dict[str, str]:
 
 def framed(s: Source, lo: int) -> tuple[dict[str, str], bytes, int]:
     """Header, block and end of the plain record at lo."""
-    end = s.find(b"\r\n\r\n", lo)
-    if s.get(lo, 5) != b"WARC/" or end < 0:
+    if s.get(lo, 5) != b"WARC/" or (end := s.find(b"\r\n\r\n", lo)) < 0:
         raise Fault("no version line")
     head = header_of(s.get(lo, end - lo))
     if not head.get("content-length", "").isdigit():
@@ -199,6 +218,7 @@ class Member(Source):
 
     def __init__(self, s: Source, start: int):
         self.s, self.end, self.z, self.at, self.held, self.fault, self.size = s, start, zlib.decompressobj(31), 0, bytearray(), None, math.inf
+        self.marks = {}
 
     def more(self) -> None:
         data = self.s.get(self.end, STEP)
