@@ -47,8 +47,11 @@ def _rules(rules) -> tuple[str, str]:
     return (f"CASE {' '.join(rule)} END", f"CASE {' '.join(verdict)} END") if rule else ("CAST(NULL AS STRING)", "CAST(NULL AS STRING)")
 
 
-def sql(duck: bool = False, rules=RULES, pages: str = "pages", grams: str = "") -> str:
-    """The whole judgement as SQL; duck: in DuckDB's dialect; grams: a table to read the n-gram counts from."""
+def sql(duck: bool = False, rules=RULES, pages: str = "pages", grams: str = "", parts: int = 1) -> str:
+    """The whole judgement as SQL; duck: in DuckDB's dialect; grams: a table to read the n-gram counts from.
+
+    parts: URLs are dealt to so many tasks before each becomes a row a character, which small tables need most.
+    """
     rule, verdict = _rules(rules)
     digits = "translate(translate(url, '" + UPPER + "', '" + LOWER + "'), '123456789', '000000000')"
     fold = f"regexp_replace({digits}, '[^a-z0/.-]', '_', 'g')" if duck else f"regexp_replace({digits}, '[^a-z0/.-]', '_')"
@@ -56,6 +59,7 @@ def sql(duck: bool = False, rules=RULES, pages: str = "pages", grams: str = "")
     symbol = lambda k: f"(instr('{SYMBOLS}', substr(folded, i + {k}, 1)) - 1)"
     div = (lambda n: f"g // {n}") if duck else (lambda n: f"g div {n}")
     hint = "" if duck else "/*+ BROADCAST(model) */"
+    dealt = "" if duck else f"/*+ REPARTITION({parts}, url) */"
     held = "substr(md5(url), 1, 1) IN ('0', '1', '2', '3')"
 
     def order(k: int) -> str:
@@ -74,7 +78,8 @@ WITH cut_up AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut_up),
   ruled AS (SELECT page_id, url, host, path, {rule} AS rule, {verdict} AS said FROM parts),
   urls AS (SELECT url, max(said) AS said, count(*) AS n, concat('^^^', {fold}) AS folded, {held} AS held FROM ruled WHERE length(url) > 0 GROUP BY url),
-  places AS (SELECT url, said, n, held, folded, {spread} AS i FROM urls),
+  dealt AS (SELECT {dealt} url, said, n, held, folded FROM urls),
+  places AS (SELECT url, said, n, held, folded, {spread} AS i FROM dealt),
   coded AS (SELECT url, said, n, held, ((({symbol(0)} * 32 + {symbol(1)}) * 32 + {symbol(2)}) * 32 + {symbol(3)}) AS g FROM places),
   grams AS ({grams and f"SELECT * FROM {grams}" or COUNTED}),
   total AS (SELECT sum(na) AS ta, sum(nr) AS tr FROM grams),
@@ -95,6 +100,7 @@ FROM ruled r LEFT JOIN scored s ON r.url = s.url"""
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages (page_id, url)."""
     spark, pages = pages.sparkSession, pages.select("page_id", "url")
-    head = sql(rules=rules, pages="{pages}").partition("  total AS (")[0].rstrip().rstrip(",")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    head = sql(rules=rules, pages="{pages}", parts=parts).partition("  total AS (")[0].rstrip().rstrip(",")
     grams = save(spark.sql(head + " SELECT * FROM grams", pages=pages), "grams")
-    return spark.sql(sql(rules=rules, pages="{pages}", grams="{grams}"), pages=pages, grams=grams)
+    return spark.sql(sql(rules=rules, pages="{pages}", grams="{grams}", parts=parts), pages=pages, grams=grams)
