@@ -51,6 +51,29 @@ def test_long_words_merge_alike():
         assert list(v.merge(w)) == library().encode(w, add_special_tokens=False).ids == list(v._merge_long([v.bytes_ids[b] for b in w.encode()]))
 
 
+def test_many_words_merge_and_look_up_like_one(tmp_path):
+    v = bpe.vocabulary(bpe.vocabulary_path())
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list(" abcdeinrstéß日."), n)) for n in rng.integers(1, 90, 3000)] + ["a" * 64, "the", " the"]
+    data, begin, size = bpe.spelled(pa.array(words, pa.large_string()))
+    ids, width = v.merge_many(data, begin, size)
+    ends = np.cumsum(width)
+    assert [tuple(ids[b - n : b].tolist()) for b, n in zip(ends, width, strict=True)] == [v.merge(w) for w in words]
+    some = sorted({w.encode() for w in words[::3] if len(w.encode()) <= bpe.LONG})
+    path = tmp_path / "x"
+    path.write_bytes(bpe.compile_lexicon([(w, v.merge(w.decode())) for w in some]))
+    place = {w: k for k, w in enumerate(some)}
+    assert bpe.Lexicon(str(path)).many(data, begin, size).tolist() == [place.get(w.encode(), -1) for w in words]
+
+
+def test_pieces_of_words():
+    v = bpe.vocabulary(bpe.vocabulary_path())
+    words = ["", " ", "a", " don't", " x1,y", "<|endoftext|>", " a", "a", " é日", "\n\n x", " a."]
+    names, pieces, count = bpe.pieces_of(words, v)
+    names, at = names.to_pylist(), np.cumsum(count)
+    assert [[names[k] for k in pieces[b - n : b]] for b, n in zip(at, count, strict=True)] == [v.pieces(w) for w in words]
+
+
 def test_cutting_at_spaces_changes_nothing():
     v = bpe.vocabulary(bpe.vocabulary_path())
     rng = np.random.default_rng(2)

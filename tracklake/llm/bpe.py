@@ -5,8 +5,8 @@ all word occurrences (so at most 1 / MIN_SHARE words, whatever the input) are me
 and compiled on the driver into a minimal acyclic automaton: states with equal right languages are shared,
 and each arc holds the number of words that sort before those below it, so the sum along a path is the
 word's ordinal and points at its ids. The automaton is three integer arrays in one file, which Spark ships to every
-executor and every task maps into memory. All other words are merged exactly by rank when
-they are met; each batch looks a distinct word up once.
+executor and every task maps into memory. All other words are merged exactly by rank, those of a step
+together; a step looks each distinct word up once.
 
 The added special token of the vocabulary file is cut out first, as the tokenizers library does.
 Defined cases: a null text counts as empty and has no ids; repeated rows come back as often; rows
@@ -34,13 +34,16 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import drop, new_path, own_copy, save
+from tracklake.llm.common import drop, own_copy, save, shared_dir
 
 #: Fixed value: the pre-tokenisation pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MIN_SHARE = 2e-5
-#: The rank of a pair that never merges.
+#: The rank of a pair that never merges, in merge() and in arrays.
 NEVER = (1 << 30, -1)
+NO_RANK = np.iinfo(np.int32).max
+#: Words of more bytes are merged with a heap; the lexicon has none of them.
+LONG = 64
 #: Bytes of text that one step holds at once; encoding gains from larger ones, as words come back within a step.
 STEP, ENCODE_STEP = 4_000_000, 8_000_000
 
@@ -72,13 +75,16 @@ class Vocabulary:
         self.bytes_ids = [self.ids[bytes([b])] for b in range(256)]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.of_id = {v: k for k, v in self.ids.items()} | {v: k.encode() for k, v in self.special.items()}
+        self.keys = np.array(sorted(a << 32 | b for a, b in self.ranks), np.int64)
+        self.rank_of = np.array([self.ranks[k >> 32, k & 0xFFFFFFFF][0] for k in self.keys.tolist()], np.int32)
+        self.made = np.array([m for _, m in self.ranks.values()], np.int32)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
 
     def merge(self, word: str) -> tuple[int, ...]:
         """Exact merging: the adjacent pair of lowest rank first, the leftmost of equals."""
         ids = list(map(self.bytes_ids.__getitem__, word.encode()))
-        if len(ids) > 64:
+        if len(ids) > LONG:
             return self._merge_long(ids)
         rank = self.ranks.get
         found = list(map(rank, zip(ids, ids[1:]), repeat(NEVER)))
@@ -92,6 +98,55 @@ class Vocabulary:
                 found[k] = rank((ids[k], ids[k + 1]), NEVER)
         return tuple(ids)
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The merge rank of each pair, NO_RANK for pairs that never merge."""
+        key = a.astype(np.int64) << 32 | b
+        if not len(self.keys):
+            return np.full(key.shape, NO_RANK, np.int32)
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[k] == key, self.rank_of[k], NO_RANK)
+
+    def merge_many(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many words, given by their bytes: all ids, and the number of ids of each word.
+
+        Words of one length are the rows of a matrix. A round merges in every row the leftmost pair of lowest
+        rank, so rows keep one length, and rows without a pair that merges leave.
+        """
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        bytes_ids = np.array(self.bytes_ids, np.int32)
+        for n in np.unique(size[size <= LONG]).tolist():
+            who = np.flatnonzero(size == n)
+            tok = bytes_ids[data[begin[who][:, None] + np.arange(n)]]
+            rank = self._ranks(tok[:, :-1], tok[:, 1:])
+            while rank.shape[1] and len(who):
+                row = np.arange(len(who))
+                best = rank.argmin(axis=1)
+                low = rank[row, best]
+                live = low < NO_RANK
+                if not live.all():
+                    done.append((who[~live], tok[~live]))
+                    who, tok, rank, best, low, row = who[live], tok[live], rank[live], best[live], low[live], np.arange(live.sum())
+                at = best[:, None]
+                cols = np.arange(tok.shape[1] - 1)
+                tok = np.take_along_axis(tok, cols + (cols > at), 1)
+                tok[row, best] = self.made[low]
+                rank = np.take_along_axis(rank, cols[:-1] + (cols[:-1] >= at), 1)
+                left, right = np.flatnonzero(best > 0), np.flatnonzero(best < rank.shape[1])
+                rank[left, best[left] - 1] = self._ranks(tok[left, best[left] - 1], tok[left, best[left]])
+                rank[right, best[right]] = self._ranks(tok[right, best[right]], tok[right, best[right] + 1])
+            done.append((who, tok))
+        for k in np.flatnonzero(size > LONG):
+            ids = self._merge_long(bytes_ids[data[begin[k] : begin[k] + size[k]]].tolist())
+            done.append((np.array([k]), np.array([ids], np.int32)))
+        width = np.zeros(len(size), np.int64)
+        for who, tok in done:
+            width[who] = tok.shape[1]
+        start = np.cumsum(width) - width
+        out = np.empty(int(width.sum()), np.int32)
+        for who, tok in done:
+            out[start[who][:, None] + np.arange(tok.shape[1])] = tok
+        return out, width
+
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         """The same with a heap over a linked list, for very long words."""
         import heapq
@@ -202,6 +257,26 @@ class Lexicon:
         return tuple(self.ids[self.start[ordinal] : self.start[ordinal + 1]])
 
 
+    def many(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ordinal of each word, given by its bytes, or -1: all words go through the automaton together."""
+        label, target, skip, first, final = (np.asarray(x) for x in (self.label, self.target, self.skip, self.first, self.final))
+        keys = np.repeat(np.arange(len(first) - 1, dtype=np.int64) << 8, np.diff(first)) | label
+        out = np.full(len(size), -1, np.int64)
+        who = np.flatnonzero(size <= LONG)
+        state, ordinal, k = np.full(len(who), self.root, np.int64), np.zeros(len(who), np.int64), 0
+        while len(who) and len(keys):
+            ended = size[who] == k
+            accepted = ended & (final[state] > 0)
+            out[who[accepted]] = ordinal[accepted]
+            who, state, ordinal = who[~ended], state[~ended], ordinal[~ended]
+            arc = state << 8 | data[begin[who] + k]
+            at = np.minimum(np.searchsorted(keys, arc), len(keys) - 1)
+            found = keys[at] == arc
+            who, at = who[found], at[found]
+            state, ordinal, k = target[at].astype(np.int64), ordinal[found] + skip[at], k + 1
+        return out
+
+
 @lru_cache(maxsize=2)
 def lexicon(path: str) -> Lexicon:
     return Lexicon(path)
@@ -262,26 +337,54 @@ def split_words(texts: pa.Array, v: Vocabulary) -> tuple[np.ndarray, list[str],
     return codes, words, counts
 
 
+#: Words of letters alone, after a space or none, which the pattern leaves whole.
+WHOLE = r"^ ?\pL+$"
+
+
+def pieces_of(words: list[str], v: Vocabulary) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct pieces that the pattern makes of words, the pieces of all words in order, and their number for each word."""
+    names = pa.array(words, pa.large_string())
+    whole = np.asarray(pc.match_substring_regex(names, WHOLE), bool) if words else np.zeros(0, bool)
+    rest = np.flatnonzero(~whole)
+    parts = [[w] if (w := words[k]) in v.special else v.pattern.findall(w) for k in rest]
+    count = np.ones(len(words), np.int64)
+    count[rest] = list(map(len, parts))
+    coded = pa.concat_arrays([names.filter(pa.array(whole)), pa.array(chain.from_iterable(parts), pa.large_string())]).dictionary_encode()
+    codes = np.asarray(coded.indices).astype(np.int64)
+    out = np.empty(len(codes), np.int64)
+    inside = np.repeat(whole, count)
+    out[inside], out[~inside] = codes[: whole.sum()], codes[whole.sum() :]
+    return coded.dictionary, out, count
+
+
+def spelled(names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all names, and where each begins and how many it has."""
+    offsets = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1] if len(names) else np.zeros(1, np.int64)
+    data = np.frombuffer(names.buffers()[2], np.uint8) if len(names) and names.buffers()[2] else np.zeros(0, np.uint8)
+    return data, offsets[:-1], np.diff(offsets)
+
+
 def word_counts(documents: DataFrame, path: str, min_share: float) -> DataFrame:
-    """word, n and total: words that make up min_share of all occurrences, or nearly so.
+    """word, n and total: words of up to LONG bytes that make up min_share of all occurrences, or nearly so.
 
-    Lossy counting: a task drops a word only while its count is below an eighth of that share of
-    what the task has read, so no count is short by more than that, and memory stays in proportion
-    to 1 / min_share. Counts of all tasks are then summed.
+    Lossy counting: a step leaves out words whose count in it is below an eighth of that share of its
+    occurrences, so memory stays in proportion to 1 / min_share. A task that holds many words drops the rare ones by the same rule. Counts of
+    all tasks are then summed; none is short by more than a quarter of the share.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, seen, total, last = vocabulary(path), Counter(), 0, 0
+        v, seen, total = vocabulary(path), Counter(), 0
         for batch in batches:
             for _, texts in steps(batch, most=ENCODE_STEP):
                 codes, words, _ = split_words(texts, v)
-                for w, n in zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True):
-                    for x in (w,) if w in v.special else v.pattern.findall(w):
-                        seen[x] += n
-                        total += n
-                if total > 1.5 * last:
-                    last, least = total, min_share / 8 * total
-                    seen = Counter({w: n for w, n in seen.items() if n >= least})
+                names, pieces, width = pieces_of(words, v)
+                n = np.bincount(pieces, np.repeat(np.bincount(codes, minlength=len(words)), width), len(names)).astype(np.int64)
+                total += int(n.sum())
+                often = np.flatnonzero((n >= min_share / 8 * n.sum()) & (spelled(names)[2] <= LONG))
+                for w, k in zip(names.take(pa.array(often)).to_pylist(), n[often].tolist(), strict=True):
+                    seen[w] += k
+                if len(seen) > 16 / min_share:
+                    seen = Counter({w: k for w, k in seen.items() if k >= min_share / 8 * total})
         yield pa.RecordBatch.from_arrays([pa.array([*seen, None], pa.string()), pa.array([*seen.values(), total], pa.int64())], names=["word", "n"])
 
     return documents.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -290,75 +393,69 @@ def word_counts(documents: DataFrame, path: str, min_share: float) -> DataFrame:
 def build_lexicon(documents: DataFrame, vocabulary_file: str, min_share: float = MIN_SHARE) -> str:
     """Compile the frequent words and ship the file to the executors; returns its name there.
 
-    At most 1.15 / min_share words come to the driver.
+    At most 1.34 / min_share words of up to LONG bytes come to the driver. The file is named by its content, so the
+    same lexicon is shipped once.
     """
     spark = documents.sparkSession
     seen = save(word_counts(documents, vocabulary_file, min_share), "words")
     total = seen.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
-    frequent = [r.word for r in seen.where(F.col("word").isNotNull() & (F.col("n") >= F.lit(0.87 * min_share * total))).select("word").collect()]
+    frequent = [r.word for r in seen.where(F.col("word").isNotNull() & (F.col("n") >= F.lit(0.75 * min_share * total))).select("word").collect()]
     drop(seen)
     v = vocabulary(vocabulary_file)
     words = sorted((w.encode(), v.merge(w)) for w in frequent if w and w not in v.special)
     data = compile_lexicon(words)
-    path = new_path(spark, "lexicon") + ".bin"
+    name = f"lexicon-{hashlib.sha256(data).hexdigest()}.bin"
+    path = f"{shared_dir(spark)}/{name}"
     fs, at = pa.fs.FileSystem.from_uri(path)
     fs.create_dir(at.rpartition("/")[0], recursive=True)
     with fs.open_output_stream(at, compression=None) as out:
         out.write(data)
     spark.sparkContext.addFile(path)
-    return path.rpartition("/")[2]
+    return name
 
 
 class Encoder:
-    """Ids of words, by the lexicon or by merging; keeps the words that it has met last, up to a bound.
-
-    When `most` words are held, they become the older half, of which only what is met again stays.
-    """
-
-    def __init__(self, path: str, name: str | None, most: int = 250_000):
-        self.v, self.lexicon, self.most = vocabulary(path), lexicon(SparkFiles.get(name)) if name else None, most
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def many(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of distinct words."""
-        found = list(map(self.known.get, words))
-        missing = [k for k, x in enumerate(found) if x is None]
-        if len(self.known) + len(missing) > self.most:
-            self.older, self.known = self.known, {}
-        if missing:
-            self.fill(words, missing, found)
-        return found
-
-    def fill(self, words: list[str], missing: list[int], found: list) -> None:
-        for k in missing:
-            w = words[k]
-            ids = self.older.get(w)
-            found[k] = self.known[w] = self.ids(w) if ids is None else ids
-
-    def ids(self, word: str) -> tuple[int, ...]:
-        if word in self.v.special:
-            return (self.v.special[word],)
-        parts = [self.piece(w) for w in self.v.pattern.findall(word)]
-        return parts[0] if len(parts) == 1 else tuple(x for p in parts for x in p)
-
-    def piece(self, word: str) -> tuple[int, ...]:
-        found = self.lexicon.get(word.encode()) if self.lexicon else None
-        return self.v.merge(word) if found is None else found
+    """Ids of words: frequent ones by the lexicon, all others by merging."""
+
+    def __init__(self, path: str, name: str):
+        self.v, self.lexicon = vocabulary(path), lexicon(SparkFiles.get(name))
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, one word after the other, and the number of ids of each."""
+        names, pieces, count = pieces_of(words, self.v)
+        data, begin, size = spelled(names)
+        ordinal = self.lexicon.many(data, begin, size)
+        for token, k in self.v.special.items():
+            ordinal[np.asarray(pc.equal(names, token), bool)] = -2 - k
+        unseen = np.flatnonzero(ordinal == -1)
+        merged, merged_width = self.v.merge_many(data, begin[unseen], size[unseen])
+        starts, ids = np.asarray(self.lexicon.start).astype(np.int64), np.asarray(self.lexicon.ids)
+        tokens = np.arange(max(self.v.of_id) + 1, dtype=np.int32)  # a special token's id stands at its own place
+        table = np.concatenate([ids, merged, tokens])
+        first, width = np.empty(len(names), np.int64), np.ones(len(names), np.int64)
+        known = ordinal >= 0
+        first[known], width[known] = starts[ordinal[known]], (starts[1:] - starts[:-1])[ordinal[known]]
+        first[unseen], width[unseen] = len(ids) + np.cumsum(merged_width) - merged_width, merged_width
+        special = ordinal < -1
+        first[special] = len(ids) + len(merged) - 2 - ordinal[special]
+        ends = np.concatenate([[0], np.cumsum(width[pieces])])
+        word_ends = np.concatenate([[0], np.cumsum(count)])
+        return gathered(table, first[pieces], width[pieces]), np.diff(ends[word_ends])
+
+
+def gathered(table: np.ndarray, first: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The runs of a table that begin at `first`, one after the other."""
+    ends = np.cumsum(width)
+    return table[np.repeat(first - (ends - width), width) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 def encode_texts(texts: pa.Array, e: Encoder) -> tuple[np.ndarray, np.ndarray]:
     """All ids, one text after the other, and the bounds of the texts."""
     codes, words, counts = split_words(texts, e.v)
-    own = e.many(words)
-    size = np.fromiter(map(len, own), np.int64, len(own))
-    flat = np.fromiter(chain.from_iterable(own), np.int32, int(size.sum()))
-    begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    flat, size = e.words(words)
     width = size[codes]
-    ends = np.cumsum(width)
-    out = flat[np.repeat(begin[codes] - (ends - width), width) + np.arange(int(ends[-1]) if len(ends) else 0)]
-    word_ends = np.cumsum(counts)
-    return out, np.concatenate([[0], np.concatenate([[0], ends])[word_ends]]).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(width)])
+    return gathered(flat, (np.cumsum(size) - size)[codes], width), ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int64)
 
 
 def decode_ids(ids: np.ndarray, v: Vocabulary) -> str:
@@ -396,6 +493,15 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(work, "doc_id long, text string")
 
 
+def runs(names: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> Iterator[memoryview]:
+    """For each text the names of its ids, joined."""
+    each = names.take(pa.array(ids))
+    at = np.frombuffer(each.buffers()[1], np.int64)[: len(each) + 1] if len(each) else np.zeros(1, np.int64)
+    data = memoryview(each.buffers()[2] or b"") if len(each) else memoryview(b"")
+    for a, b in zip(at[bounds[:-1]].tolist(), at[bounds[1:]].tolist(), strict=True):
+        yield data[a:b]
+
+
 def digests(documents: DataFrame, path: str | None = None, min_share: float = MIN_SHARE) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of documents."""
     path = path or vocabulary_path()
@@ -403,15 +509,14 @@ def digests(documents: DataFrame, path: str | None = None, min_share: float = MI
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(path, name)
-        decimal = [str(k) for k in range(max(e.v.of_id) + 1)]
+        every = range(max(e.v.of_id) + 1)
+        decimal = pa.array([f"{k},".encode() for k in every], pa.large_binary())
+        spelling = pa.array([e.v.of_id.get(k, b"") for k in every], pa.large_binary())
         for batch in batches:
             for lo, texts in steps(batch, most=ENCODE_STEP):
                 ids, bounds = encode_texts(texts, e)
-                said, back = [], []
-                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    own = ids[a:b].tolist()
-                    said.append(hashlib.sha256(",".join(map(decimal.__getitem__, own)).encode()).hexdigest())
-                    back.append(hashlib.sha256(b"".join(map(e.v.of_id.__getitem__, own)).decode("utf-8", "replace").encode()).hexdigest())
+                said = [hashlib.sha256(x[:-1]).hexdigest() for x in runs(decimal, ids, bounds)]
+                back = [hashlib.sha256(str(x, "utf-8", "replace").encode()).hexdigest() for x in runs(spelling, ids, bounds)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(texts)).cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(said), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents.select("doc_id", "text").mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
