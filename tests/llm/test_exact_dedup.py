@@ -44,6 +44,27 @@ def test_groups_equal_plain_grouping(spark, options):
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_keep_with_clashing_columns_and_repeated_rows(spark, monkeypatch, most):
+    from tracklake.llm import common, minhash
+
+    monkeypatch.setattr(common.picked, "__defaults__", ("left_semi", "doc_id", most))
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long, 1), (2, long.replace(" ", "\n"), 2), (2, "other", 3), (3, "other", 4), (4, "alone", 5), (4, "alone", 6), (None, "alone", 7), (None, "none", 8), (None, "none", 9), (5, None, 10), (6, "", 11)]
+    columns = ["n_copies", "_id", "n", "_sha", "_text_sha", "_cuts", "kept", "row", "component_id", "bands"]
+    docs = spark.createDataFrame([(d, t, *[k] * len(columns)) for d, t, k in rows], "doc_id long, text string, " + ", ".join(f"{c} int" for c in columns))
+    kept = exact_dedup.keep(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert all(len({r[c] for c in columns}) == 1 for r in got)
+    assert sorted((str(r.doc_id), r.text) for r in got if r.text) == sorted([("1", long), ("2", "other"), ("4", "alone"), ("None", "none")])
+    assert [r.doc_id for r in got if not r.text] == [5]
+    near = minhash.keep(docs)
+    assert near.columns == docs.columns
+    # one row of each id with words, null ids, and texts without words stay; ids with an earlier near copy go
+    assert sorted((str(r.doc_id), r.text or "") for r in near.where("doc_id IS NULL OR text IS NULL OR text = '' OR doc_id = 1").collect()) == sorted([("1", long), ("None", "alone"), ("None", "none"), ("None", "none"), ("5", ""), ("6", "")])
+
+
 def test_chunks_rebuild_the_text_and_empty_table(spark):
     rows = [(1, "Lorem ipsum dolor. " * 40 + "end"), (2, "é" * 5000), (3, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
