@@ -460,9 +460,32 @@ def bed_text_scan(spark: SparkSession, sf: str) -> DataFrame:
     return text.read_features(spark, path)
 
 
+@query(f"""WITH {FEATURES} SELECT chrom, start, "end", {PACKED} AS rest FROM features""")
+def bed_gzip_scan(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "features")
+    rows = bed.pack(features(spark, sf))
+    rows.select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), "rest").alias("value")).write.option("compression", "gzip").text(path)
+    return text.read_features(spark, path)
+
+
+@query(f"""WITH {SIGNAL} SELECT chrom, CAST(max("end") AS INTEGER) AS size FROM signal GROUP BY chrom""")
+def sizes_file_scan(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "sizes")
+    sizes = signal(spark, sf).groupBy("chrom").agg(F.max("end").alias("size"))
+    sizes.select("chrom", "size").write.option("sep", "\t").csv(path)
+    return text.read_sizes(spark, path).select("chrom", "size")
+
+
 # ------------------------------------------------------------------ indexed files and streams
 
 
+@query(f"WITH {SIGNAL} SELECT 'bigwig' AS kind, 'deflate' AS compression, chrom FROM signal GROUP BY chrom")
+def bigwig_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "bigwig")
+    indexed.write(signal(spark, sf), path, "bigwig", codec="deflate")
+    return indexed.metadata(spark, path).select("kind", "compression", F.explode(F.map_values("chromosomes")).alias("chrom")).distinct()
+
+
 @query(f"WITH {SIGNAL} SELECT {ROW} FROM signal WHERE chrom = 'R' AND start >= 300 AND \"end\" <= 1500")
 def bigwig_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_path(spark, "bigwig")
