@@ -59,7 +59,7 @@ def sql(duck: bool = False, rules=RULES, pages: str = "pages", grams: str = "",
     symbol = lambda k: f"(instr('{SYMBOLS}', substr(folded, i + {k}, 1)) - 1)"
     div = (lambda n: f"g // {n}") if duck else (lambda n: f"g div {n}")
     hint = "" if duck else "/*+ BROADCAST(model) */"
-    dealt = "" if duck else f"/*+ REPARTITION({parts}, url) */"
+    dealt = "" if duck else f"/*+ REPARTITION({parts}, url, folded) */"
     held = "substr(md5(url), 1, 1) IN ('0', '1', '2', '3')"
 
     def order(k: int) -> str:
