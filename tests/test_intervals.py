@@ -85,6 +85,15 @@ def test_interval_join(spark, mode):
     assert got == sorted((x[0], x[1], x[2], y[1], y[2]) for x in a for y in b if x[0] == y[0] and fits(x, y))
 
 
+def test_interval_join_of_very_long_intervals(spark):
+    a = some(40, 11) + [("A", 0, 2_000_000_000, 1.0), ("A", 5, 70_000, 1.0), ("B", 3, 3, 1.0)]
+    b = some(40, 12, longest=9) + [("A", 10, 1_900_000_000, 1.0), ("A", 1_999_999_990, 1_999_999_999, 1.0)]
+    for tile in (16, None):
+        got = sorted((r.l_chrom, r.l_start, r.l_end, r.r_start, r.r_end) for r in joins.interval_join(frame(spark, a), frame(spark, b), tile=tile).collect())
+        assert got == sorted((x[0], x[1], x[2], y[1], y[2]) for x in a for y in b if x[0] == y[0] and x[1] < x[2] and x[1] < y[2] and y[1] < x[2])
+    assert joins.interval_join(frame(spark, []), frame(spark, [])).count() == 0
+
+
 def test_join_plan_is_an_equi_join(spark):
     d = frame(spark, some(10, 6)).hint("shuffle_merge")
     plan = joins.interval_join(d, frame(spark, some(10, 7)))._jdf.queryExecution().toString()
@@ -134,6 +143,28 @@ def test_sections(spark):
     assert max(r["count"] for r in cut.groupBy("chrom", "section", "part").count().collect()) == 7 and cut.count() == 100
 
 
+def test_ranks_across_parts(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 2, None]), k, rng.choice(["a", "b", None]), rng.randrange(50)) for k in range(400)]
+    d = spark.createDataFrame(rows, "u int, k int, c string, start int")
+    runs, violations, slots = {}, [], {}
+    for u in (1, 2, None):
+        own, run, before = [r for r in rows if r[0] == u], 0, None
+        for n, r in enumerate(own):
+            run += before is None or before[2] is None or before[2] != r[2]
+            runs.setdefault((u, run, r[2]), []).append(r[1])
+            slots.setdefault((u, n // 7), []).append(r[1])
+            if before is not None and r[3] < before[3]:
+                violations.append((*r, before[3]))
+            before = r
+    key = lambda x: repr(x)
+    assert sorted(((r.u, r.run, r.c, r.first, r["size"]) for r in sections.consecutive(d, "u", "k", "c").collect()), key=key) == sorted(((*k, min(v), len(v)) for k, v in runs.items()), key=key)
+    assert sorted((tuple(r) for r in sections.order_violations(d, "k", "u").collect()), key=key) == sorted(violations, key=key)
+    got = sections.fixed_slots(d.select("u", F.col("k").alias("start"), F.col("k").alias("end")), 7, "u", ("start",)).collect()
+    assert sorted(((r.u, r.slot, r.start, r["size"]) for r in got), key=key) == sorted(((*k, min(v), len(v)) for k, v in slots.items()), key=key)
+    assert sections.consecutive(d.limit(0), "u", "k", "c").count() == 0
+
+
 def test_range_filter_reaches_the_scan(spark, tmp_path):
     frame(spark, some(50, 10)).write.parquet(f"{tmp_path}/t")
     plan = ranges.range_query(spark.read.parquet(f"{tmp_path}/t"), "A", 5, 50).select("score")._jdf.queryExecution().executedPlan().toString()

@@ -8,22 +8,48 @@ from pyspark.sql import functions as F
 from tracklake.functions import intervals as iv
 
 
-def interval_join(left: DataFrame, right: DataFrame, mode: str = "overlaps", tile: int = 128) -> DataFrame:
+#: A level's tiles are so many times as long as those of the level below.
+FAN = 16
+
+
+def interval_join(left: DataFrame, right: DataFrame, mode: str = "overlaps", tile: int | None = None) -> DataFrame:
     """Pairs of one chromosome that overlap, or whose right side lies within the left (contains).
 
-    Both sides go to the tiles they touch and meet on (chrom, tile), which deals even a single chromosome to many
+    Both sides go to the tiles they touch and meet on (chrom, level, tile), which deals even a single chromosome to many
     tasks; a pair counts in the tile where its intersection begins. Columns of the sides get the
-    prefixes l_ and r_. A tile should be about as long as the longer side's usual interval.
+    prefixes l_ and r_. One pass over both sides measures their lengths: the tiles of level 0 are about twice the usual
+    length, unless `tile` gives theirs, and an interval longer than a tile belongs to the first level whose tiles hold it. A pair meets
+    at the level of its longer side, so a side touches two tiles a level at most, however long it is; where
+    no interval is longer than a tile there is one level.
     """
     if mode not in ("overlaps", "contains"):
         raise ValueError(mode)
-    named = lambda d, p: d.where("start < end").select(*(F.col(c).alias(p + c) for c in d.columns))
-    tiles = lambda p: F.explode(F.sequence(F.floor(F.col(p + "start") / tile), F.floor((F.col(p + "end") - 1) / tile)))
-    a = named(left, "l_").withColumn("_tile", tiles("l_"))
-    b = named(right, "r_").withColumn("_tile2", tiles("r_"))
+    length = (F.col("end") - F.col("start")).cast("long").alias("n")
+    found = left.select(length).union(right.select(length)).where("n > 0").agg(F.max("n").alias("most"), F.avg("n").alias("usual")).first()
+    tile = tile or max(128, 1 << int(2 * (found.usual or 0)).bit_length())
+    top = 0
+    while tile * FAN**top < (found.most or 0):
+        top += 1
+
+    def side(d: DataFrame, p: str) -> DataFrame:
+        named = d.where("start < end").select(*(F.col(c).alias(p + c) for c in d.columns))
+        start, end = F.col(p + "start"), F.col(p + "end")
+        if top:
+            own = sum((F.when(end - start > tile * FAN**k, 1).otherwise(0) for k in range(top)), F.lit(0))
+            named = named.withColumn(p + "_own", own).withColumn(p + "_level", F.explode(F.sequence(p + "_own", F.lit(top))))
+        wide = width(p + "_level")
+        return named.withColumn(p + "_tile", F.explode(F.sequence(F.floor(start / wide), F.floor((end - 1) / wide))))
+
+    def width(level: str):
+        return (tile * F.pow(F.lit(FAN), F.col(level))).cast("long") if top else F.lit(tile)
+
+    a, b = side(left, "l_"), side(right, "r_")
     rule = iv.intersects("l_start", "l_end", "r_start", "r_end") if mode == "overlaps" else iv.contained("r_start", "r_end", "l_start", "l_end")
-    met = (F.col("l_chrom") == F.col("r_chrom")) & (F.col("_tile") == F.col("_tile2")) & (F.col("_tile") == F.floor(F.greatest("l_start", "r_start") / tile)) & rule
-    return a.join(b, met).drop("_tile", "_tile2")
+    met = (F.col("l_chrom") == F.col("r_chrom")) & (F.col("l__tile") == F.col("r__tile"))
+    if top:
+        met = met & (F.col("l__level") == F.col("r__level")) & (F.col("l__level") == F.greatest("l__own", "r__own"))
+    met = met & (F.col("l__tile") == F.floor(F.greatest("l_start", "r_start") / width("l__level"))) & rule
+    return a.join(b, met).drop(*(f"{p}__{c}" for p in "lr" for c in ("own", "level", "tile")))
 
 
 def with_sizes(rows: DataFrame, sizes: DataFrame) -> DataFrame:

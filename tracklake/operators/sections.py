@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklake.operators import ranks
+
 MAX_ITEMS = 32767
 
 
@@ -26,8 +28,7 @@ def properties(rows: DataFrame, section: str = "section") -> DataFrame:
 
 def splice(rows: DataFrame, section: str = "section", most: int = MAX_ITEMS, order: tuple[str, ...] = ("start", "end", "score")) -> DataFrame:
     """part: the number of the sub-section, of at most `most` items in order."""
-    w = Window.partitionBy("chrom", section).orderBy(*order)
-    return rows.withColumn("part", F.floor((F.row_number().over(w) - 1) / most))
+    return ranks.ranked(rows, ("chrom", section), order, "part").withColumn("part", F.floor(F.col("part") / most))
 
 
 def fixed_step(sections: DataFrame) -> DataFrame:
@@ -51,19 +52,16 @@ def bedgraph(sections: DataFrame) -> DataFrame:
 
 def consecutive(rows: DataFrame, by: str, order: str, key: str) -> DataFrame:
     """Runs of equal key in order, within by: run, first, size. A key may come back in a later run."""
-    w = Window.partitionBy(by).orderBy(order)
-    changed = F.coalesce(F.lag(key).over(w) != F.col(key), F.lit(True)).cast("int")
-    runs = rows.withColumn("_new", changed).withColumn("run", F.sum("_new").over(w))
+    runs = ranks.runs(rows.select(*dict.fromkeys((by, order, key))), (by,), (order,), key, "run")
     return runs.groupBy(by, "run", key).agg(F.min(order).alias("first"), F.count("*").alias("size"))
 
 
 def order_violations(rows: DataFrame, position: str, by: str = "chrom") -> DataFrame:
     """Rows whose start is below that of the row before, in the order of position."""
-    w = Window.partitionBy(by).orderBy(position)
-    return rows.withColumn("previous", F.lag("start").over(w)).where("start < previous")
+    return ranks.with_previous(rows, (by,), (position,), "start", "previous").where("start < previous")
 
 
 def fixed_slots(rows: DataFrame, slot: int, by: str = "chrom", order: tuple[str, ...] = ("start", "end")) -> DataFrame:
     """The first item and size of each run of `slot` items in order."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return rows.withColumn("slot", F.floor((F.row_number().over(w) - 1) / slot)).groupBy(by, "slot").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("size"))
+    placed = ranks.ranked(rows, (by,), order, "slot").withColumn("slot", F.floor(F.col("slot") / slot))
+    return placed.groupBy(by, "slot").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("size"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -427,8 +428,9 @@ def zoom_summary(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------ text forms
 
 
-@query(f"""WITH {SIGNAL}, s AS (SELECT *, "end" - start AS span, start // 65536 AS part FROM signal)
-SELECT chrom, CAST(span AS INTEGER) AS span, CAST(part AS BIGINT) AS part, 'variableStep chrom=' || chrom || ' span=' || span || chr(10) || string_agg((start + 1) || ' ' || printf('%.1f', score), chr(10) ORDER BY start, (start + 1) || ' ' || printf('%.1f', score)) AS value FROM s GROUP BY chrom, span, part""")
+@query(f"""WITH {SIGNAL}, l AS (SELECT chrom, start, "end" - start AS span, (start + 1) || ' ' || printf('%.1f', score) AS line FROM signal),
+  s AS (SELECT *, (row_number() OVER (PARTITION BY chrom, span ORDER BY start, line) - 1) // {text.LINES} AS part FROM l)
+SELECT chrom, CAST(span AS INTEGER) AS span, CAST(part AS BIGINT) AS part, 'variableStep chrom=' || chrom || ' span=' || span || chr(10) || string_agg(line, chr(10) ORDER BY start, line) AS value FROM s GROUP BY chrom, span, part""")
 def wig_print(spark: SparkSession, sf: str) -> DataFrame:
     return text.wig_text(signal(spark, sf))
 
@@ -503,19 +505,25 @@ def bigbed_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {SIGNAL}, l AS ({level_sql(40)}) SELECT '/' || chrom || '/z0/mean' AS dataset, CAST(bucket // 16 AS INTEGER) AS tile, CAST(0 AS INTEGER) AS track, CAST(bucket * 40 AS INTEGER) AS start, CAST(bucket * 40 + 40 AS INTEGER) AS "end", CAST(max AS FLOAT) AS value FROM l
 UNION ALL SELECT '/' || chrom || '/z0/mean', CAST(bucket // 16 AS INTEGER), CAST(1 AS INTEGER), CAST(bucket * 40 AS INTEGER), CAST(bucket * 40 + 40 AS INTEGER), CAST(count AS FLOAT) FROM l""")
 def tdf_read(spark: SparkSession, sf: str) -> DataFrame:
-    """Tiles of 640 positions with two tracks, from the 40-position level of the signal (2^31 / 40 rows a chromosome at most; some 70 here)."""
-    level = pyramid.first_level(signal(spark, sf), 40).select("chrom", "bucket", "max", "count").orderBy("chrom", "bucket").collect()
-    sets: dict = {}
-    for r in level:
-        tiles_ = sets.setdefault(f"/{r.chrom}/z0/mean", (640, []))[1]
-        tiles_ += [None] * (r.bucket // 16 + 1 - len(tiles_))
-        tiles_[r.bucket // 16] = [*(tiles_[r.bucket // 16] or []), (r.bucket * 40, r.bucket * 40 + 40, [r["max"], float(r["count"])])]
-    built = {n: (w, [t and tile_fixture.bed_tile(t, 2) for t in ts]) for n, (w, ts) in sets.items()}
-    path = shared_path(spark, "tiles") + ".tdf"
+    """Tiles of 640 positions with two tracks, from the 40-position level of the signal; a task writes the files of 4096 tiles each."""
+    path = shared_path(spark, "tiles")
     fs, at = file_system(path)
-    fs.create_dir(at.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(at) as out:
-        out.write(tile_fixture.encode(built, ["max", "count"]))
+    fs.create_dir(at, recursive=True)
+
+    def write(key: tuple, level: pd.DataFrame) -> pd.DataFrame:
+        tiles: list = [None] * (int(level.tile.max()) + 1)
+        for tile, rows in level.sort_values("bucket").groupby("tile"):
+            tiles[tile] = tile_fixture.bed_tile([(b * 40, b * 40 + 40, [m, float(c)]) for b, m, c in zip(rows.bucket.tolist(), rows["max"].tolist(), rows["count"].tolist(), strict=True)], 2)
+        name = uuid.uuid5(uuid.NAMESPACE_OID, f"{key[0]}/{key[1]}").hex
+        fs, at = file_system(path)
+        attempt = f"{at}/_{uuid.uuid4().hex}"
+        with fs.open_output_stream(attempt) as out:
+            out.write(tile_fixture.encode({f"/{key[0]}/z0/mean": (640, tiles)}, ["max", "count"]))
+        fs.move(attempt, f"{at}/{name}.tdf")  # a later attempt writes the same
+        return pd.DataFrame({"file": [name]})
+
+    level = pyramid.first_level(signal(spark, sf), 40).select("chrom", "bucket", "max", "count").withColumn("tile", F.floor(F.col("bucket") / 16))
+    level.groupBy("chrom", F.floor(F.col("tile") / 4096).alias("block")).applyInPandas(write, "file string").count()
     return indexed.read(spark, path)
 
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracklake.operators import ranks
 from tracklake.schemas import SIZES
 
 
@@ -160,17 +161,18 @@ def shown(score: Column) -> Column:
 def wig_text(rows: DataFrame) -> DataFrame:
     """One variableStep section, as text, for each chromosome and span of signal rows: chrom, span, part, value.
 
-    A section is built in parts of PART positions each, so that no row holds a whole chromosome.
+    A section is built in parts of LINES lines each, so that no row holds a whole chromosome, however many lines a position has.
     """
-    span = F.col("end") - F.col("start")
-    item = F.struct("start", F.concat((F.col("start") + 1).cast("string"), F.lit(" "), shown(F.col("score"))).alias("line"))
-    parts = rows.groupBy("chrom", span.alias("span"), F.floor(F.col("start") / PART).alias("part")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    line = F.concat((F.col("start") + 1).cast("string"), F.lit(" "), shown(F.col("score")))
+    lines = rows.select("chrom", (F.col("end") - F.col("start")).alias("span"), "start", line.alias("line"))
+    placed = ranks.ranked(lines, ("chrom", "span"), ("start", "line"), "place")
+    parts = placed.groupBy("chrom", "span", F.floor(F.col("place") / LINES).alias("part")).agg(F.array_sort(F.collect_list(F.struct("start", "line"))).alias("items"))
     head = F.concat(F.lit("variableStep chrom="), "chrom", F.lit(" span="), F.col("span").cast("string"), F.lit("\n"))
     return parts.select("chrom", "span", "part", F.concat(head, F.array_join(F.transform("items", lambda x: x["line"]), "\n")).alias("value"))
 
 
-#: Positions of one written section.
-PART = 1 << 16
+#: Lines of one written section.
+LINES = 1 << 12
 
 
 def write_wig(rows: DataFrame, path: str, name: str = "track", description: str = "") -> None:
@@ -181,9 +183,10 @@ def write_wig(rows: DataFrame, path: str, name: str = "track", description: str
 
 
 def bedgraph_text(rows: DataFrame) -> DataFrame:
-    """chrom, part, value: the lines of PART positions of a chromosome, in order, as text."""
+    """chrom, part, value: LINES lines of a chromosome, in order, as text."""
+    placed = ranks.ranked(rows.select("chrom", "start", "end", "score"), ("chrom",), ("start", "end", "score"), "place")
     item = F.struct("start", "end", "score", bedgraph_line().alias("line"))
-    parts = rows.groupBy("chrom", F.floor(F.col("start") / PART).alias("part")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    parts = placed.groupBy("chrom", F.floor(F.col("place") / LINES).alias("part")).agg(F.array_sort(F.collect_list(item)).alias("items"))
     return parts.select("chrom", "part", F.array_join(F.transform("items", lambda x: x["line"]), "\n").alias("value"))
 
 
