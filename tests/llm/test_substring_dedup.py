@@ -112,7 +112,9 @@ def test_lines_are_linked_as_brute_force_links_them(spark):
     assert len(want) > 200 and got == want
 
 
-def test_any_doc_id_and_clashing_columns(spark):
+@pytest.mark.parametrize("places", [sd.PLACES, 0])
+def test_any_doc_id_and_clashing_columns(spark, monkeypatch, places):
+    monkeypatch.setattr(sd, "PLACES", places)
     rng = random.Random(12)
     p = words(rng, 60)
     ids = [2**62, -(2**62), 2**62 + 1]

@@ -40,6 +40,8 @@ from tracklake.llm.minhash import links
 SHINGLE, LEAST, WINNOW = 5, 20, 20
 ROWS, BANDS = 2, 7
 PERCENT = 80
+#: Places that are broadcast at most: 32 MB of them.
+PLACES = 1_000_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BASES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 #: Factors of the hash functions whose minima are banded: odd, from a fixed sequence.
@@ -171,9 +173,16 @@ CUT = "doc_id long, place int, size int, f long, g int, fresh boolean, seed bool
 
 
 def asked(docs: DataFrame, places: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """What work makes of the texts of which places (doc_id, at) asks for something, with all its places in one list."""
+    """What work makes of the texts of which places (doc_id, at) asks for something, with all its places in one list.
+
+    Up to PLACES places go to the tasks that read the texts; with more, the texts asked for are moved to them once.
+    """
     places = save(places.groupBy("doc_id").agg(F.collect_set("at").alias("at")), "places")
-    texts = picked(docs, places.select("doc_id")).join(places, "doc_id").select("doc_id", "text", "at")
+    if places.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0] <= PLACES:
+        texts = docs.join(F.broadcast(places), "doc_id")
+    else:
+        texts = picked(docs, places.select("doc_id")).join(places, "doc_id")
+    texts = texts.select("doc_id", "text", "at")
     return texts.mapInArrow(work, schema)
 
 
