@@ -1,6 +1,10 @@
-"""URL filter: parts and rules against plain parsing, the model against its SQL."""
+"""URL filter: parts and rules against plain parsing, the model against plain loops."""
 
+import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -40,3 +44,62 @@ def test_model_learns_what_rules_block(spark):
     rows += [(1000, "http://casino-77.bet.com/win/9"), (1001, "http://school-5.learn.uk/fr/book/7")]
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert got[1000] == (None, "block") and got[1001] == (None, "allow")
+
+
+def plain_verdicts(urls):
+    """Verdicts of URLs by the same two models, from nested loops over characters."""
+    rows = Counter(u for u in urls if u)
+    said = {u: (plain(u)[2] or [None])[0] for u in rows}
+    held = {u: hashlib.md5(u.encode()).hexdigest()[0] in "0123" for u in rows}
+    folded = {u: "^^^" + re.sub("[^a-z0/.-]", "_", re.sub("[1-9]", "0", u.translate(str.maketrans(url_filter.UPPER, url_filter.LOWER)))) for u in rows}
+    counts = {c: [Counter() for _ in range(5)] for c in ("allow", "block")}  # by length of the string
+    for u, n in rows.items():
+        if said[u] and not held[u]:
+            for i in range(3, len(folded[u])):
+                for k in range(5):
+                    counts[said[u]][k][folded[u][i - k + 1 : i + 1] if k else ""] += n
+    contexts = {c: [Counter() for _ in range(4)] for c in counts}
+    for c, tables in counts.items():
+        for k in range(1, 5):
+            for gram, n in tables[k].items():
+                contexts[c][k - 1][gram[:-1]] += n
+
+    def chance(c, gram):
+        if len(gram) == 1:
+            return (counts[c][1][gram] + 1) / (counts[c][0][""] + 32)
+        k, shorter = len(gram) - 1, chance(c, gram[1:])
+        if sum(contexts[x][k][gram[:-1]] for x in contexts) < url_filter.MIN_CONTEXT:
+            return shorter
+        return (counts[c][k + 1][gram] + url_filter.WEIGHT * shorter) / (contexts[c][k][gram[:-1]] + url_filter.WEIGHT)
+
+    bins = {}
+    for u, f in folded.items():
+        w = [math.log(chance("allow", f[i : i + 4])) - math.log(chance("block", f[i : i + 4])) for i in range(len(f) - 3)]
+        bins[u] = math.floor(round(sum(w) / len(w), 9) * url_filter.BINS)
+    calibration = [(bins[u], said[u], n) for u, n in rows.items() if held[u] and said[u]]
+    total = Counter()
+    for _, c, n in calibration:
+        total[c] += n
+    cut, best, prev = 0, None, None
+    for b in sorted({b for b, _, _ in calibration}) if len(total) == 2 else ():
+        below = Counter()
+        for x, c, n in calibration:
+            below[c] += n if x < b else 0
+        good = 1.0 - below["allow"] / total["allow"] + below["block"] / total["block"]
+        if best is None or good > best:
+            cut, best = math.ceil((b + (b if prev is None else prev)) / 2), good
+        prev = b
+    return [said[u] or ("block" if bins[u] < cut else "allow") if u else "allow" for u in urls]
+
+
+@pytest.mark.parametrize("ends", [(".net/", ".org/fr/", ".com/", ".io/Ä/"), (".com/",)])
+def test_verdicts_equal_plain_models(spark, ends):
+    rng = random.Random(len(ends))
+    kinds = {e: [f"{a}{b}" for a in ("shop", "win", "learn", "news") for b in rng.sample("abcdefgh", 4)] for e in ends}
+    urls = [f"http://{rng.choice(kinds[e])}{e}{rng.choice(kinds[rng.choice(ends)])}/{rng.randrange(999)}" for e in rng.choices(ends, k=900)]
+    urls += rng.choices(urls, k=200) + ["http://long.com/" + "path/é" * 5000] + URLS
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(rows).collect()}
+    want = plain_verdicts(urls)
+    assert [got[k] for k in range(len(urls))] == want
+    assert len(ends) == 1 or set(want) == {"allow", "block"}
