@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklake.llm import bpe, conversations, exact_dedup, language_model, minhash, mixing, packing, quality, secrets, substring_dedup, url_filter, warc
+from tracklake.llm import audit, bpe, conversations, exact_dedup, language_model, minhash, mixing, packing, quality, secrets, substring_dedup, url_filter, warc
 from tracklake.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mixing.quality_weights(table(spark, sf_dir, "labels")))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
 
@@ -63,4 +67,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.sql(duck=True), "op4_exact_dedup": exact_dedup.ORACLE, "op10_warc": warc.ORACLE, "op11_source_mixing": mixing.ORACLE, "op13_conversation_repair": conversations.ORACLE}
+    own = {"op1_url_filter": url_filter.sql(duck=True), "op4_exact_dedup": exact_dedup.ORACLE, "op10_warc": warc.ORACLE}
+    return own | {"op11_source_mixing": mixing.ORACLE, "op12_filter_audit": audit.ORACLE, "op13_conversation_repair": conversations.ORACLE}
