@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.functions import intervals as iv
+from tracklake.operators.ranges import small
 
 
 #: A level's tiles are so many times as long as those of the level below.
@@ -54,4 +55,4 @@ def interval_join(left: DataFrame, right: DataFrame, mode: str = "overlaps", til
 
 def with_sizes(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Rows with their chromosome's size; others go."""
-    return rows.join(sizes, "chrom")
+    return rows.join(small(sizes), "chrom")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.functions import intervals as iv
-from tracklake.operators import summary
+from tracklake.operators import loci, summary
 
 GROWTH, LEVELS, MOST = 4, 8, 2**31 - 1
 
@@ -55,6 +55,12 @@ def pick(reductions: list[int], desired: int) -> int | None:
     return max(fit, default=None) if desired > 1 else None
 
 
+def picked(reductions: list[int], desired: Column) -> Column:
+    """pick() as a column expression."""
+    fit = F.array_max(F.array(*(F.when(desired >= r, F.lit(r).cast("long")) for r in sorted(reductions)))) if reductions else F.lit(None).cast("long")
+    return F.when(desired > 1, fit)
+
+
 def pick_all(levels: DataFrame, desired: DataFrame) -> DataFrame:
     """desired, reduction: the level of each of a few desired reductions."""
     fit = (F.col("reduction") <= F.col("desired")) & (F.col("desired") > 1) & (F.col("reduction") > 0)
@@ -80,3 +86,34 @@ def summarize(rows: DataFrame, levels: DataFrame, reductions: list[int], lo: int
     if r is None:
         return summary.spread(rows, lo, hi, n).groupBy("chrom", "bin").agg(*summary.aggregates(value, "overlap"))
     return zoom_summary(levels.where(F.col("reduction") == r), lo, hi, n)
+
+
+def choose(ranges: DataFrame, reductions: list[int]) -> DataFrame:
+    """ranges (start, end, n) with desired, the reduction that gives two buckets to a bin, and reduction, the level that fits it or null."""
+    desired = F.floor((F.col("end") - F.col("start")) / (2 * F.col("n")))
+    return ranges.withColumn("desired", desired).withColumn("reduction", picked(reductions, F.col("desired")))
+
+
+def summarize_ranges(source: loci.Index, path: str, reductions: list[int], ranges: DataFrame) -> DataFrame:
+    """id, bin, reduction and a summary for every bin of each range (id, chrom, start, end, n), each range from its own level.
+
+    path: levels as pyramid() writes them, one Parquet partition a level; only those that some range takes are read.
+    A range meets its level's buckets on (reduction, chrom, bucket), which are a few for each of its bins. Ranges that no level fits
+    are answered from the raw rows, by the loci index. Buckets are weighted by their share in a bin.
+    """
+    spark, chosen = source.pieces.sparkSession, choose(ranges, reductions)
+    used = [r.reduction for r in chosen.select("reduction").distinct().collect()]  # one row a level at most
+    raw = loci.summarize_loci(source, chosen.where("reduction IS NULL").select("id", "chrom", "start", "end", "n"), "n").withColumn("reduction", F.lit(None).cast("long"))
+    coarse = chosen.where("reduction IS NOT NULL").select("id", "chrom", F.col("start").cast("long").alias("lo"), F.col("end").cast("long").alias("hi"), "n", "reduction")
+    level = spark.read.option("basePath", path).parquet(*(f"{path}/reduction={r}" for r in reductions)).where(F.col("reduction").isin([r for r in used if r is not None]))
+    level = level.withColumn("reduction", F.col("reduction").cast("long"))
+    asked = coarse.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / F.col("reduction")), F.floor((F.col("hi") - 1) / F.col("reduction")))))
+    met = asked.join(level, ["reduction", "chrom", "bucket"])
+    placed = met.withColumns({"start": F.col("bucket") * F.col("reduction"), "end": (F.col("bucket") + 1) * F.col("reduction")})
+    each = summary.spread(placed, "lo", "hi", "n")
+    w = F.col("overlap") / F.col("reduction")
+    found = each.select("id", "bin", "reduction", iv.half_up(F.col("count") * w).cast("long").alias("count"), "min", "max", (F.col("sum") * w).alias("sum"), (F.col("sum_squares") * w).alias("sum_squares"))
+    bins = coarse.select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("bin"), "reduction")
+    none = bins.select("*", F.lit(0).cast("long").alias("count"), F.lit(summary.INF).alias("min"), F.lit(-summary.INF).alias("max"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("sum_squares"))
+    zoomed = found.unionByName(none).groupBy("id", "bin", "reduction").agg(*summary.merged())
+    return zoomed.unionByName(raw)

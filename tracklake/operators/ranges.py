@@ -8,13 +8,23 @@ from pyspark.sql import functions as F
 from tracklake.functions import intervals as iv
 
 
+#: Rows of a chromosome dictionary that are broadcast at most: some 40 MB.
+SMALL = 1_000_000
+
+
+def small(dictionary: DataFrame, most: int | None = None) -> DataFrame:
+    """The dictionary, to be broadcast if it was counted and has few rows; else Spark joins it by a shuffle and splits what is skewed."""
+    most = SMALL if most is None else most
+    return F.broadcast(dictionary) if dictionary.limit(most + 1).count() <= most else dictionary
+
+
 def sizes_of(rows: DataFrame) -> DataFrame:
     """chrom, size: the largest end of each chromosome."""
     return rows.groupBy("chrom").agg(F.max("end").alias("size"))
 
 
 def range_query(rows: DataFrame, chrom: str, start: int = 0, end: int = 0, overlaps: bool = False) -> DataFrame:
-    """Rows of one chromosome within [start, end), or overlapping it; end 0 means the chromosome's end.
+    """Rows of one chromosome within [start, end), or overlapping it; end 0 means no bound on the right.
 
     An unknown chromosome gives no rows. The bounds are literals, so they reach the scan.
     """
@@ -53,8 +63,8 @@ def tile_query(tiles: DataFrame, start: int, end: int, width: int, count: int) -
 
 def known_chromosomes(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Rows whose chromosome has a size."""
-    return rows.join(sizes.select("chrom"), "chrom", "left_semi")
+    return rows.join(small(sizes.select("chrom")), "chrom", "left_semi")
 
 
 def unknown_chromosomes(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    return rows.join(sizes.select("chrom"), "chrom", "left_anti")
+    return rows.join(small(sizes.select("chrom")), "chrom", "left_anti")

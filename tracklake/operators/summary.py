@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.functions import intervals as iv
-from tracklake.operators.ranges import sizes_of
+from tracklake.operators.ranges import sizes_of, small
+from tracklake.shared import shared_path
 
 NAN, INF = float("nan"), float("inf")
 FIELDS = ("count", "min", "max", "sum", "sum_squares")
@@ -50,13 +51,20 @@ def filled(bins: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, *(F.coalesce(c, neutral[c]).alias(c) for c in FIELDS))
 
 
+def dictionary(rows: DataFrame) -> DataFrame:
+    """sizes_of(rows), written, so that rows are read once for it however often it is used."""
+    sizes, path = sizes_of(rows), shared_path(rows.sparkSession, "sizes")
+    sizes.write.parquet(path)
+    return rows.sparkSession.read.schema(sizes.schema).parquet(path)
+
+
 def summarize(rows: DataFrame, chrom: str, start: int = 0, end: int = 0, num_bins: int = 1, value: str = "score", sizes: DataFrame | None = None) -> DataFrame:
     """Exactly num_bins summaries of one chromosome's range: bin and FIELDS.
 
     end 0 means the chromosome's size. Unknown chromosomes and more bins than positions raise.
     """
     if not end:
-        known = (sizes_of(rows) if sizes is None else sizes).where(F.col("chrom") == chrom).first()
+        known = (sizes_of(rows.where(F.col("chrom") == chrom)) if sizes is None else sizes.where(F.col("chrom") == chrom)).first()
         if known is None:
             raise KeyError(chrom)
         end = known["size"]
@@ -70,8 +78,8 @@ def summarize(rows: DataFrame, chrom: str, start: int = 0, end: int = 0, num_bin
 
 def summarize_all(rows: DataFrame, num_bins: int, value: str = "score", sizes: DataFrame | None = None) -> DataFrame:
     """Summaries of every chromosome in num_bins bins, empty ones too."""
-    sizes = sizes_of(rows) if sizes is None else sizes
-    sized = rows.join(sizes.where(F.col("size") >= num_bins), "chrom")
+    sizes = dictionary(rows) if sizes is None else sizes
+    sized = rows.join(small(sizes.where(F.col("size") >= num_bins)), "chrom")
     found = spread(sized, 0, "size", num_bins).groupBy("chrom", "bin").agg(*aggregates(value, "overlap"))
     bins = sizes.where(F.col("size") >= num_bins).select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(num_bins - 1).cast("long"))).alias("bin"))
     return filled(bins, found, ["chrom", "bin"])

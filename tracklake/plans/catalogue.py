@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import bed
 from tracklake.functions import intervals as iv
-from tracklake.operators import coverage, joins, pyramid, ranges, sections, summary
+from tracklake.operators import coverage, joins, loci, pyramid, ranges, sections, summary
 from tracklake.plans import tile_fixture
-from tracklake.plans.fixtures import FEATURES, POINTS, REGIONS, SIGNAL, features, points, regions, signal
+from tracklake.plans import fixtures
+from tracklake.plans.fixtures import FEATURES, LOCI, POINTS, REGIONS, SIGNAL, features, points, regions, signal
 from tracklake.schemas import SIGNAL as SIGNAL_SHAPE
 from tracklake.shared import shared_path
 from tracklake.sources import indexed, text
@@ -134,12 +135,14 @@ def tdf_strict_filter(spark: SparkSession, sf: str) -> DataFrame:
     return ranges.track_range(rows, 600, 1000).select("chrom", "start", "end", "score")
 
 
-@query("""WITH q(lo, hi, n) AS (VALUES (0, 10, 2), (0, 9, 2), (0, 5, 4), (-7, 100, 9), (3, 4, 1), (0, 2557, 100)), b AS (SELECT lo, hi, n, unnest(range(n)) AS bin FROM q)
-SELECT lo, hi, n, bin, CAST(floor(lo + bin * (CAST(hi - lo AS DOUBLE) / n) + 0.5) AS BIGINT) AS start, CAST(least(floor(lo + (bin + 1) * (CAST(hi - lo AS DOUBLE) / n) + 0.5), hi) AS BIGINT) AS "end" FROM b""")
+BIN = "CAST(floor(start + {k} * (CAST(\"end\" - start AS DOUBLE) / n) + 0.5) AS BIGINT)"
+LOCI_BINS = f"""{LOCI}, bins AS (SELECT id, chrom, n, start, "end", bin, {BIN.format(k='bin')} AS lo, least({BIN.format(k='(bin + 1)')}, "end") AS hi FROM (SELECT *, unnest(range(n)) AS bin FROM loci))"""
+
+
+@query(f"""WITH {LOCI_BINS} SELECT id, bin, lo, CAST(hi AS BIGINT) AS hi FROM bins""")
 def bin_edges(spark: SparkSession, sf: str) -> DataFrame:
-    q = spark.createDataFrame([(0, 10, 2), (0, 9, 2), (0, 5, 4), (-7, 100, 9), (3, 4, 1), (0, 2557, 100)], "lo int, hi int, n int")
-    b = q.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1).cast("long"))))
-    return b.select("lo", "hi", "n", "bin", iv.bin_start("lo", "hi", "n", "bin").alias("start"), iv.bin_end("lo", "hi", "n", "bin").alias("end"))
+    b = fixtures.loci(spark, sf).withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)))
+    return b.select("id", "bin", iv.bin_start("start", "end", "n", "bin").alias("lo"), iv.bin_end("start", "end", "n", "bin").alias("hi"))
 
 
 # ------------------------------------------------------------------ summaries
@@ -304,11 +307,10 @@ def fixed_step_explode(spark: SparkSession, sf: str) -> DataFrame:
     return sections.fixed_step(t.select("chrom", (F.col("l_orderkey") % 1000 * 100).alias("start"), F.lit(10).alias("step"), F.lit(5).alias("span"), F.col("x.l_quantity").alias("values")))
 
 
-@query("SELECT l_returnflag AS chrom, CAST(l_linenumber * 10 AS INTEGER) AS start, CAST(l_linenumber * 10 + 7 AS INTEGER) AS \"end\", CAST(l_quantity AS FLOAT) AS score FROM (SELECT *, min(l_returnflag) OVER (PARTITION BY l_orderkey) AS f FROM lineitem) WHERE f = l_returnflag")
+@query("SELECT l_returnflag AS chrom, CAST(l_linenumber * 10 AS INTEGER) AS start, CAST(l_linenumber * 10 + 7 AS INTEGER) AS \"end\", CAST(l_quantity AS FLOAT) AS score FROM lineitem")
 def variable_step_explode(spark: SparkSession, sf: str) -> DataFrame:
     t = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_orderkey", F.col("l_returnflag").alias("chrom")).agg(F.collect_list(F.struct((F.col("l_linenumber") * 10).alias("p"), F.col("l_quantity").alias("v"))).alias("x"))
-    least = t.groupBy("l_orderkey").agg(F.min_by(F.struct("chrom", "x"), "chrom").alias("y")).select("y.chrom", "y.x")
-    return sections.variable_step(least.select("chrom", F.lit(7).alias("span"), F.col("x.p").alias("positions"), F.col("x.v").alias("values")))
+    return sections.variable_step(t.select("chrom", F.lit(7).alias("span"), F.col("x.p").alias("positions"), F.col("x.v").alias("values")))
 
 
 @query("""WITH c AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS fresh FROM events),
@@ -409,11 +411,38 @@ def zoom_pyramid(spark: SparkSession, sf: str) -> DataFrame:
     return pyramid.pyramid(signal(spark, sf), 40, 4, path=shared_path(spark, "pyramid"))
 
 
-@query("""WITH l(reduction) AS (VALUES (CAST(3911 AS BIGINT)), (39110), (391100), (3911000)), d(desired) AS (VALUES (CAST(5000000 AS BIGINT)), (1), (0), (1000), (3911), (400000))
-SELECT desired, max(reduction) AS reduction FROM d LEFT JOIN l ON reduction <= desired AND desired > 1 GROUP BY desired""")
+PICKED = "CASE WHEN ({d}) > 1 THEN (SELECT max(r) FROM (VALUES (40), (160), (640), (2560)) l(r) WHERE r <= {d}) END".format(d="(\"end\" - start) // (2 * n)")
+
+
+@query(f"""WITH {LOCI} SELECT id, CAST(("end" - start) // (2 * n) AS BIGINT) AS desired, CAST({PICKED} AS BIGINT) AS reduction FROM loci""")
 def zoom_pick(spark: SparkSession, sf: str) -> DataFrame:
-    levels = spark.createDataFrame([(3911 * 10**k,) for k in range(4)], "reduction long")
-    return pyramid.pick_all(levels, spark.createDataFrame([(5000000,), (1,), (0,), (1000,), (3911,), (400000,)], "desired long"))
+    return pyramid.choose(fixtures.loci(spark, sf), [40, 160, 640, 2560]).select("id", "desired", "reduction")
+
+
+#: Sums of each position of the signal, and of each bin of each locus over its positions.
+PLACES = f"""{SIGNAL}, {LOCI_BINS}, places AS (SELECT chrom, p, count(*) AS c, min(v) AS a, max(v) AS b, sum(v) AS s, sum(v * v) AS q FROM (SELECT chrom, CAST(score AS DOUBLE) AS v, unnest(range(start, "end")) AS p FROM signal) GROUP BY chrom, p),
+  spots AS (SELECT id, chrom, bin, unnest(range(lo, hi)) AS p FROM bins),
+  exact AS (SELECT id, bin, sum(c) AS count, min(a) AS min, max(b) AS max, sum(s) AS sum, sum(q) AS sum_squares FROM spots JOIN places USING (chrom, p) GROUP BY id, bin)"""
+
+
+@query(f"""WITH {PLACES} SELECT id, bin, {FILLED} FROM bins LEFT JOIN exact USING (id, bin)""")
+def loci_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return loci.summarize_loci(loci.index(signal(spark, sf)), fixtures.loci(spark, sf), "n")
+
+
+@query(f"""WITH {PLACES}, levels AS ({" UNION ALL ".join(f"SELECT {r} AS reduction, chrom, p // {r} AS bucket, sum(c) AS c, min(a) AS a, max(b) AS b, sum(s) AS s, sum(q) AS q FROM places GROUP BY chrom, p // {r}" for r in (40, 160, 640, 2560))}),
+  asked AS (SELECT id, chrom, bin, lo, hi, {PICKED} AS reduction FROM bins),
+  met AS (SELECT id, bin, a.reduction, c, a, b, s, q, (least(hi, (bucket + 1) * a.reduction) - greatest(lo, bucket * a.reduction)) / CAST(a.reduction AS DOUBLE) AS w
+    FROM (SELECT *, unnest(range(lo // reduction, (hi - 1) // reduction + 1)) AS bucket FROM asked WHERE reduction IS NOT NULL) a JOIN levels l USING (reduction, chrom, bucket)),
+  found AS (SELECT id, bin, sum(floor(c * w + 0.5)) AS count, min(a) AS min, max(b) AS max, sum(s * w) AS sum, sum(q * w) AS sum_squares FROM met GROUP BY id, bin
+    UNION ALL SELECT id, bin, count, min, max, sum, sum_squares FROM exact JOIN asked USING (id, bin) WHERE reduction IS NULL)
+SELECT id, bin, CAST(reduction AS BIGINT) AS reduction, count, min, max, round(sum, 3) AS sum, round(sum_squares, 3) AS sum_squares FROM (SELECT id, bin, reduction, {FILLED} FROM asked LEFT JOIN found USING (id, bin))""")
+def zoom_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Each locus from the level that fits it, read from Parquet partitions, or from the rows where none does."""
+    path, rows = shared_path(spark, "levels"), signal(spark, sf)
+    pyramid.pyramid(rows, 40, 4, path=path)
+    got = pyramid.summarize_ranges(loci.index(rows), path, [40, 160, 640, 2560], fixtures.loci(spark, sf))
+    return got.select("id", "bin", "reduction", "count", "min", "max", F.round("sum", 3).alias("sum"), F.round("sum_squares", 3).alias("sum_squares"))
 
 
 @query(f"""WITH {SIGNAL}, z AS (SELECT chrom, bucket * 40 AS start, (bucket + 1) * 40 AS "end", count, min, max, sum, sum_squares FROM ({level_sql(40)})),

@@ -54,6 +54,15 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").select(chrom.alias("chrom"), start.alias("start"), (start + 1 + k % 5).cast("int").alias("end"), k.alias("id"))
 
 
+def loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customers as loci of many widths, each with a number of bins: id, chrom, start, end, n."""
+    k = F.col("c_custkey")
+    start = (k * 37 % 2400).cast("int")
+    chrom = F.when(k % 3 == 0, "A").when(k % 3 == 1, "N").otherwise("R")
+    bins = F.when(k % 4 == 0, 1).when(k % 4 == 1, 3).when(k % 4 == 2, 12).otherwise(50)
+    return _table(spark, sf_dir, "customer").select(k.alias("id"), chrom.alias("chrom"), start.alias("start"), (start + 60 + k * 53 % 2500).cast("int").alias("end"), bins.alias("n"))
+
+
 SIGNAL = """signal AS (SELECT l_returnflag AS chrom, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS INTEGER) AS start,
   CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) + l_linenumber AS INTEGER) AS "end", CAST(l_quantity AS FLOAT) AS score, l_orderkey, l_linenumber, l_linestatus FROM lineitem)"""
 FEATURES = """features AS (SELECT o_orderpriority AS chrom, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS start,
@@ -63,3 +72,5 @@ POINTS = """points AS (SELECT event_type AS chrom, CAST(date_diff('second', TIME
   CAST(date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) + 60 AS INTEGER) AS "end", CAST(floor(value) AS FLOAT) AS score, event_id, user_id, event_type FROM events)"""
 REGIONS = """regions AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS chrom, CAST(c_custkey * 37 % 2500 AS INTEGER) AS start,
   CAST(c_custkey * 37 % 2500 + 1 + c_custkey % 5 AS INTEGER) AS "end", c_custkey AS id FROM customer)"""
+LOCI = """loci AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS chrom, CAST(c_custkey * 37 % 2400 AS INTEGER) AS start,
+  CAST(c_custkey * 37 % 2400 + 60 + c_custkey * 53 % 2500 AS INTEGER) AS "end", CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 12 ELSE 50 END AS n FROM customer)"""
