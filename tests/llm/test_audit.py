@@ -44,7 +44,7 @@ def brute(rows, labels):
 
 def table(seed=1, n=250):
     rng = random.Random(seed)
-    texts = ["", " ", "a", "b", "#", "UPPER CASE", "é" * 70, "é" * 69 + "e", "x" * 600, "x" * 599 + "y", "x" * 64 + "y" * 536] + [" ".join(f"{rng.choice('aAbB#')}{rng.randrange(k)}" for _ in range(rng.randrange(260))) for k in (3, 50, 4000, 4000, 90000)]
+    texts = ["", " ", "a", " a\n", "\u00a0", "b", "#", "UPPER CASE", "é" * 70, "é" * 69 + "e", "x" * 600, "x" * 599 + "y", "x" * 64 + "y" * 536] + [" ".join(f"{rng.choice('aAbB#')}{rng.randrange(k)}" for _ in range(rng.randrange(260))) for k in (3, 50, 4000, 4000, 90000)]
     rows = [(k, rng.choice(texts) + rng.choice(["", "", " z"]), rng.choice(["en", "de", None, ""])) for k in range(n)]
     rows += [(3, texts[5], "en"), (3, texts[5], "en"), (None, texts[5], "en"), (None, None, None), (7, "again", "fr"), (900, "Long word %d " * 25_000, "en"), (901, "Long word %d " * 25_000, "en")]
     labels = [(k, rng.choice([0, 1, None]), rng.choice([0, 1])) for k in range(0, n, 2)] + [(4, 1, 0), (4, 0, 1), (None, 1, 1), (10**6, 1, 1)]

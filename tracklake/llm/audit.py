@@ -11,7 +11,7 @@ orders are read off those few counts: what a step removes depends on its filter
 
 Hot classes: classes of more than 1 / HEAVY of the rows are fewer than HEAVY, so they are broadcast; the rows of all
 others are joined by a shuffle, where no class is large. A full text is compared in salted lots of LOT copies, for each of which
-the class's first text is repeated. Only texts of classes with several members move.
+the class's first text is repeated. Only texts of classes with several members move, besides a few that a bit map of their ids lets pass.
 
 Defined cases: a null text is empty, a null lang is the part of the empty string; a document without doc_id is no one's smaller
 copy and is not marked; repeated rows of an id count each and do not mark each other; repeated labels of an id count as 1 where any
@@ -32,19 +32,22 @@ WORDS, DISTINCT, CAPITALS, SYMBOLS = 200, 50, 3, "#$%&*|"
 #: Code points of the first block; the next ones are so many times as long.
 BLOCK, GROWTH, BLOCKS = 64, 8, 8
 HEAVY, LOT = 10_000, 1000
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bits of the map of ids whose texts are asked for: it has at most MAP / 64 rows, of 16 bytes, whatever the input.
+MAP = 1 << 25
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 
 
 def masks(text: Column) -> Column:
     """The bits of filters A to D that a text fails."""
-    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    n, chars = F.size(words), F.char_length(text)
+    words, chars = F.split(text, r"[\x20\x09-\x0D]+"), F.char_length(text)
+    # white space at an end leaves an empty string there
+    ends = (F.element_at(words, 1) == "").cast("int") + ((F.size(words) > 1) & (F.element_at(words, -1) == "")).cast("int")
+    n, distinct = F.size(words) - ends, F.size(F.array_distinct(words)) - F.least(ends, F.lit(1))
     fails = (
         n < WORDS,
-        100 * F.size(F.array_distinct(words)) < DISTINCT * n,
-        100 * (chars - F.char_length(F.translate(text, UPPER, ""))) > CAPITALS * chars,
-        F.char_length(F.translate(text, SYMBOLS, "")) < chars,
+        100 * distinct < DISTINCT * n,
+        100 * F.char_length(F.regexp_replace(text, "[^A-Z]+", "")) > CAPITALS * chars,
+        text.rlike(f"[{SYMBOLS}]"),
     )
     return sum((F.when(f, 1 << k).otherwise(0) for k, f in enumerate(fails)), F.lit(0)).cast("int")
 
@@ -101,32 +104,32 @@ def surviving(rows: DataFrame, total: int) -> DataFrame:
     return alive
 
 
-def text_class(documents: DataFrame, seed: int, bits: int) -> DataFrame:
-    """doc_id, text and final class of each row of documents."""
-    text = F.coalesce("text", F.lit(""))
-    rows = documents.select("doc_id", text.alias("text"), F.char_length(text).alias("chars"))
-    rows = rows.withColumn("blocks", block_hashes(F.col("text"), F.col("chars"), seed, bits)).withColumn("class", F.xxhash64("chars"))
-    folded = F.aggregate("blocks", F.col("class"), lambda c, h: F.xxhash64(c, h))
-    return rows.select("doc_id", "text", folded.alias("class"))
+def hinted(documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of documents whose id may be among those asked for: a bit map of hashed ids keeps most other texts from moving."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(MAP))
+    words = asked.select(bit.alias("b")).select(F.shiftright("b", 6).cast("int").alias("_word"), F.expr("shiftleft(1L, CAST(b % 64 AS INT))").alias("_one")).groupBy("_word").agg(F.bit_or("_one").alias("_bits"))
+    met = documents.withColumn("_b", bit).join(F.broadcast(words), F.shiftright("_b", 6).cast("int") == F.col("_word"))
+    return met.where(F.expr("shiftright(_bits, CAST(_b % 64 AS INT)) & 1 = 1")).drop("_b", "_word", "_bits")
 
 
-def sound(documents: DataFrame, classes: DataFrame, total: int, seed: int, bits: int) -> bool:
-    """Whether the full texts of each class (class, n, least) are equal."""
-    texts = save(met(text_class(documents, seed, bits), classes, total).withColumn("lots", F.ceil(F.col("n") / LOT).cast("int")), "copies")
+def sound(documents: DataFrame, alive: DataFrame, seed: int, bits: int) -> bool:
+    """Whether the full texts of each class of the surviving rows are equal; texts meet their rows by id and length."""
+    asked = alive.select("doc_id", "chars", "class", "n", "least").distinct()
+    text = F.coalesce("text", F.lit(""))
+    texts = hinted(documents.select("doc_id", text.alias("text")), asked).withColumn("chars", F.char_length("text")).join(asked.hint("merge"), ["doc_id", "chars"])
+    # an id whose rows differ meets the classes of all of them
+    own = F.aggregate(block_hashes(F.col("text"), F.col("chars"), seed, bits), F.xxhash64("chars"), lambda c, h: F.xxhash64(c, h))
+    texts = save(texts.where(own == F.col("class")).withColumn("lots", F.ceil(F.col("n") / LOT).cast("int")), "copies")
     other = own_name()
-    first = texts.where("doc_id <=> least").groupBy("class", "lots").agg(F.first("text").alias(other)).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+    first = texts.where("doc_id = least").groupBy("class", "lots").agg(F.first("text").alias(other)).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
     each = texts.withColumn("lot", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.col("lots")).cast("int"))
     return each.join(first, ["class", "lot"]).where(F.col("text") != F.col(other)).isEmpty()
 
 
 def duplicates(documents: DataFrame, rows: DataFrame, seed: int = 0, bits: int = 64) -> DataFrame | None:
     """The rows (judged, written) that repeat the text of a smaller doc_id; None where hashes have met and another seed is needed."""
-    total = rows.count()
-    alive = surviving(rows, total)
-    classes = save(alive.groupBy("class").agg(F.first("n").alias("n"), F.first("least").alias("least")), "classes")
-    if not sound(documents, classes, total, seed, bits):
-        return None
-    return alive.where("doc_id > least")
+    alive = surviving(rows.where("doc_id IS NOT NULL"), rows.count())
+    return alive.where("doc_id > least") if sound(documents, alive, seed, bits) else None
 
 
 def combinations() -> list[tuple[str, int, str, int, int]]:
