@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -531,37 +532,156 @@ def bigbed_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return indexed.read(spark, path)
 
 
-@query(f"""WITH {SIGNAL}, l AS ({level_sql(40)}) SELECT '/' || chrom || '/z0/mean' AS dataset, CAST(bucket // 16 AS INTEGER) AS tile, CAST(0 AS INTEGER) AS track, CAST(bucket * 40 AS INTEGER) AS start, CAST(bucket * 40 + 40 AS INTEGER) AS "end", CAST(max AS FLOAT) AS value FROM l
-UNION ALL SELECT '/' || chrom || '/z0/mean', CAST(bucket // 16 AS INTEGER), CAST(1 AS INTEGER), CAST(bucket * 40 AS INTEGER), CAST(bucket * 40 + 40 AS INTEGER), CAST(count AS FLOAT) FROM l""")
-def tdf_read(spark: SparkSession, sf: str) -> DataFrame:
+@query(f"""WITH {SIGNAL} {" UNION ALL ".join(f'SELECT CAST({r} AS BIGINT) AS reduction, chrom, CAST(bucket * {r} AS INTEGER) AS start, CAST((bucket + 1) * {r} AS INTEGER) AS "end", count, min, max, sum, sum_squares FROM ({level_sql(r)})' for r in (40, 160))}""")
+def zoom_records_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Two zoom levels written into signal files and read back; a bucket at the border of two files is merged."""
+    path = shared_path(spark, "bigwig")
+    indexed.write(signal(spark, sf), path, "bigwig", reduction=40, levels=2, slot=16)
+    both = [indexed.read(spark, path, reduction=r).withColumn("reduction", F.lit(r).cast("long")) for r in (40, 160)]
+    return both[0].unionByName(both[1]).groupBy("reduction", "chrom", "start", "end").agg(*summary.merged())
+
+
+@query(f"""WITH {SIGNAL} SELECT chrom, CAST(bucket * 160 AS INTEGER) AS start, CAST((bucket + 1) * 160 AS INTEGER) AS "end", count, max FROM ({level_sql(160)}) WHERE chrom = 'N' AND bucket * 160 >= 640 AND (bucket + 1) * 160 <= 1600""")
+def zoom_records_range(spark: SparkSession, sf: str) -> DataFrame:
+    """A bounded read of one level of big-endian files: only the blocks of records that meet the bounds are read."""
+    path = shared_path(spark, "bigwig")
+    indexed.write(signal(spark, sf), path, "bigwig", reduction=40, levels=3, slot=8, order="big", codec="none")
+    found = ranges.range_query(indexed.read(spark, path, reduction=160), "N", 640, 1600)
+    return found.groupBy("chrom", "start", "end").agg(F.sum("count").alias("count"), F.max("max").alias("max"))
+
+
+def stepped(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that suit each kind of section: customers in fixed steps, events of one span, order lines of many spans."""
+    k = F.col("c_custkey")
+    fixed = spark.read.parquet(f"{sf}/customer.parquet").select(F.lit("F").alias("chrom"), (k * 10).cast("int").alias("start"), (k * 10 + 10).cast("int").alias("end"), F.col("c_nationkey").cast("float").alias("score"))
+    variable = points(spark, sf).select(F.lit("V").alias("chrom"), "start", "end", "score")
+    return fixed.unionByName(variable).unionByName(signal(spark, sf).withColumn("chrom", F.lit("B")))
+
+
+STEPPED = f"""{SIGNAL}, {POINTS}, stepped AS (SELECT 'F' AS chrom, CAST(c_custkey * 10 AS INTEGER) AS start, CAST(c_custkey * 10 + 10 AS INTEGER) AS "end", CAST(c_nationkey AS FLOAT) AS score FROM customer
+  UNION ALL SELECT 'V', start, "end", score FROM points UNION ALL SELECT 'B', start, "end", score FROM signal)"""
+
+
+@query(f"""WITH {STEPPED} SELECT {ROW} FROM stepped""")
+def bigwig_block_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Fixed step, variable step and bedGraph sections in big-endian files."""
+    path = shared_path(spark, "bigwig")
+    indexed.write(stepped(spark, sf), path, "bigwig", order="big", items=256)
+    return indexed.read(spark, path)
+
+
+@query(f"""WITH {STEPPED} SELECT chrom, CASE chrom WHEN 'F' THEN 'fixedStep' WHEN 'V' THEN 'variableStep' ELSE 'bedGraph' END AS kind, min(start) AS start, max("end") AS "end", count(*) AS items FROM stepped GROUP BY chrom""")
+def bigwig_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """What the heads of the sections say, and the kind that holds most items of each chromosome."""
+    path = shared_path(spark, "bigwig")
+    indexed.write(stepped(spark, sf), path, "bigwig", items=256)
+    kinds = indexed.read(spark, path, sections="true").groupBy("chrom", "kind").agg(F.sum("items").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return kinds.groupBy("chrom").agg(F.max_by("kind", "n").alias("kind"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("items"))
+
+
+@query(f"""WITH {SIGNAL} SELECT {ROW} FROM signal""")
+def bigwig_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """The sink by name, with files closed by size."""
+    path = shared_path(spark, "bigwig")
+    indexed.register(spark)
+    ordered = signal(spark, sf).repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start")
+    ordered.write.format("bigwig").option("fileBytes", 1 << 14).option("items", 512).mode("append").save(path)
+    return spark.read.format("bigwig").load(path)
+
+
+#: The kind of tile of each chromosome's set.
+TILE_KINDS = {"A": "fixedStep", "N": "variableStep", "R": "bed"}
+
+
+def written_tiles(spark: SparkSession, sf: str) -> str:
     """Tiles of 640 positions with two tracks, from the 40-position level of the signal; a task writes the files of 4096 tiles each."""
     path = shared_path(spark, "tiles")
     fs, at = file_system(path)
     fs.create_dir(at, recursive=True)
 
+    def encoded(kind: str, tile: int, rows: pd.DataFrame) -> bytes:
+        b, most, count = rows.bucket.to_numpy(), rows["max"].to_numpy(), rows["count"].to_numpy(float)
+        if kind == "bed":
+            return tile_fixture.bed_tile([(k * 40, k * 40 + 40, [m, c]) for k, m, c in zip(b.tolist(), most, count, strict=True)], 2)
+        if kind == "variableStep":
+            return tile_fixture.variable_tile((b * 40).tolist(), 40.0, [most.tolist(), count.tolist()])
+        full = np.full((2, 16), np.nan)
+        full[:, b - tile * 16] = [most, count]
+        return tile_fixture.fixed_tile(tile * 640, 40, full.tolist())
+
     def write(key: tuple, level: pd.DataFrame) -> pd.DataFrame:
         tiles: list = [None] * (int(level.tile.max()) + 1)
         for tile, rows in level.sort_values("bucket").groupby("tile"):
-            tiles[tile] = tile_fixture.bed_tile([(b * 40, b * 40 + 40, [m, float(c)]) for b, m, c in zip(rows.bucket.tolist(), rows["max"].tolist(), rows["count"].tolist(), strict=True)], 2)
+            tiles[tile] = encoded(TILE_KINDS[key[0]], tile, rows)
         name = uuid.uuid5(uuid.NAMESPACE_OID, f"{key[0]}/{key[1]}").hex
         fs, at = file_system(path)
         attempt = f"{at}/_{uuid.uuid4().hex}"
         with fs.open_output_stream(attempt) as out:
-            out.write(tile_fixture.encode({f"/{key[0]}/z0/mean": (640, tiles)}, ["max", "count"]))
+            out.write(tile_fixture.encode({f"/{key[0]}/z0/mean": (640, tiles)}, ["max", "count"], groups={f"/{key[0]}": {"first": str(int(level.tile.min())), "kind": TILE_KINDS[key[0]]}}))
         fs.move(attempt, f"{at}/{name}.tdf")  # a later attempt writes the same
         return pd.DataFrame({"file": [name]})
 
     level = pyramid.first_level(signal(spark, sf), 40).select("chrom", "bucket", "max", "count").withColumn("tile", F.floor(F.col("bucket") / 16))
     level.groupBy("chrom", F.floor(F.col("tile") / 4096).alias("block")).applyInPandas(write, "file string").count()
-    return indexed.read(spark, path)
+    return path
+
+
+#: The buckets of each tile, and for fixed steps, which have no gaps, those without data too.
+TILES = f"""{SIGNAL}, l AS ({level_sql(40)}), t AS (SELECT DISTINCT chrom, bucket // 16 AS tile FROM l),
+  b AS (SELECT chrom, bucket, max, count FROM l UNION ALL SELECT chrom, bucket, NULL, NULL FROM (SELECT chrom, tile * 16 + unnest(range(16)) AS bucket FROM t WHERE chrom = 'A') x WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.chrom = x.chrom AND l.bucket = x.bucket)),
+  v AS (SELECT '/' || chrom || '/z0/mean' AS dataset, CAST(bucket // 16 AS INTEGER) AS tile, CAST(track AS INTEGER) AS track, CAST(bucket * 40 AS INTEGER) AS start, CAST(bucket * 40 + 40 AS INTEGER) AS "end",
+    CAST(coalesce(CASE track WHEN 0 THEN max ELSE count END, CAST('nan' AS DOUBLE)) AS FLOAT) AS value FROM b, (SELECT unnest([0, 1]) AS track))"""
+
+
+@query(f"""WITH {TILES} SELECT dataset, tile, track, start, "end", value FROM v""")
+def tdf_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles of all three kinds."""
+    return indexed.read(spark, written_tiles(spark, sf))
+
+
+@query(f"""WITH {TILES} SELECT tile, track, start, "end", value FROM v WHERE dataset = '/R/z0/mean' AND start >= 700 AND "end" < 1500""")
+def tdf_range(spark: SparkSession, sf: str) -> DataFrame:
+    """A range of one set; bounds become tile numbers before anything is read."""
+    rows = indexed.read(spark, written_tiles(spark, sf)).where("dataset = '/R/z0/mean'")
+    return ranges.track_range(rows, 700, 1500, "value").select("tile", "track", "start", "end", "value")
+
+
+@query(f"""WITH {TILES} SELECT dataset, tile, min(start) AS start, max("end") AS "end", CAST(count(*) AS INTEGER) AS items FROM v WHERE track = 0 AND dataset = '/N/z0/mean' AND tile BETWEEN 1 AND 3 GROUP BY dataset, tile""")
+def tdf_tiles_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The tiles that a bounded read touches, as the reader reports them: 700 to 1500 lie in tiles 1 to 3 of 640."""
+    return indexed.read(spark, written_tiles(spark, sf), read="tiles").where("dataset = '/N/z0/mean' AND start >= 700 AND end < 1500")
+
+
+@query(f"""WITH {TILES} SELECT dataset, CAST(640 AS INTEGER) AS tile_width, CAST(max(tile) + 1 AS INTEGER) AS tile_count, count(DISTINCT tile) AS tiles, 'test' AS kind FROM v GROUP BY dataset""")
+def tdf_sets(spark: SparkSession, sf: str) -> DataFrame:
+    sets = indexed.tile_sets(spark, written_tiles(spark, sf))
+    return sets.groupBy("dataset").agg(F.max("tile_width").alias("tile_width"), F.max("tile_count").alias("tile_count"), F.sum(F.size("tiles").cast("long")).alias("tiles"), F.max(F.col("attributes")["kind"]).alias("kind"))
+
+
+@query(f"""WITH {TILES} SELECT '/' || chrom AS name, CAST(min(bucket // 16) AS VARCHAR) AS first, CASE chrom WHEN 'A' THEN 'fixedStep' WHEN 'N' THEN 'variableStep' ELSE 'bed' END AS kind FROM l GROUP BY chrom""")
+def tdf_groups(spark: SparkSession, sf: str) -> DataFrame:
+    groups = indexed.tile_groups(spark, written_tiles(spark, sf))
+    return groups.select("name", F.col("attributes")["first"].alias("first"), F.col("attributes")["kind"].alias("kind"))
+
+
+@query(f"""WITH {TILES}, p AS (SELECT *, row_number() OVER (PARTITION BY dataset, tile ORDER BY start) AS i, count(*) OVER (PARTITION BY dataset, tile) AS n FROM v WHERE track = 0 AND dataset = '/R/z0/mean'),
+  w AS (SELECT p.dataset, p.tile, p.start || '-' || p."end" || ': max=' || CAST(p.value AS INTEGER) || ', count=' || CAST(c.value AS INTEGER) AS line FROM p JOIN v c ON c.dataset = p.dataset AND c.track = 1 AND c.start = p.start WHERE i <= 2 OR i > n - 2)
+SELECT dataset, tile, line FROM w""")
+def tdf_dump(spark: SparkSession, sf: str) -> DataFrame:
+    return indexed.dump_tiles(spark, written_tiles(spark, sf), 2).where("dataset = '/R/z0/mean'").select("dataset", "tile", "line")
 
 
 @query(f"WITH {SIGNAL} {level_sql(500)}")
 def streaming_summary(spark: SparkSession, sf: str) -> DataFrame:
     """The signal read as a stream to its end, summed by bucket in complete mode."""
-    path, name = shared_path(spark, "stream"), f"summary_{uuid.uuid4().hex}"
+    path = shared_path(spark, "stream")
     signal(spark, sf).write.parquet(path)
     stream = spark.readStream.schema(SIGNAL_SHAPE).option("maxFilesPerTrigger", 4).parquet(path)
-    job = summaries.bucketed(stream, 500).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", shared_path(spark, "stream-state")).trigger(availableNow=True).start()
+    out = shared_path(spark, "stream-out")
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)  # in complete mode a batch is the whole summary
+
+    job = summaries.bucketed(stream, 500).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", shared_path(spark, "stream-state")).trigger(availableNow=True).start()
     job.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(out)

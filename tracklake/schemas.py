@@ -16,6 +16,9 @@ FEATURE = shape("chrom string, start int, end int, rest string")
 SIGNAL = shape("chrom string, start int, end int, score float")
 SIZES = shape("chrom string, size int")
 TILE = shape("dataset string, tile int, track int, start int, end int, value float")
+ZOOM = shape("chrom string, start int, end int, count long, min double, max double, sum double, sum_squares double")
+SECTION = shape("chrom string, start int, end int, step int, span int, kind string, items int")
+TILES_READ = shape("dataset string, tile int, start int, end int, items int")
 SUMMARY = shape("chrom string, bin long, count long, min double, max double, sum double, sum_squares double")
 
 #: The typed feature: its fields in order, their Spark types, and what a missing field is.

@@ -1,34 +1,48 @@
-"""Spark data sources for the indexed track formats, and writers that make one file a task.
+"""Spark data sources and sinks for the indexed track formats.
 
-Reading: the driver walks each file's index with the pushed bounds and deals the blocks that are left to partitions; tasks
-decode them. Bounds only prune, Spark filters again. Writing: rows are range-partitioned and
-sorted by Spark, each task writes one complete file of its range under a name of its own, and the driver gives
-the files of the tasks that succeeded their final names. A directory of such files reads as one table.
+Reading: the driver reads the root of each file's index and makes a partition of each subtree (or of each lot of blocks, where
+the root is a leaf); tasks walk their subtrees with the pushed bounds and decode the blocks that are left. A directory of more than
+FILES files is not opened on the driver at all: partitions are lots of files. Bounds only prune, Spark filters again.
+
+Writing: a task turns its rows, in order of chromosome and start, into files that it closes by size; blocks leave memory as they
+come. Files lie in a folder of the job until it commits, and the folder goes with a job that fails. A directory of
+such files reads as one table. Signal files can hold zoom levels; a bucket at the border of two files has a record in each.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from tracklake.schemas import FEATURE, SIGNAL, TILE
-from tracklake.sources.layouts import Builder, Indexed, Input, Tiled, feature_items, file_system, kind_of, signal_items
+from tracklake.schemas import FEATURE, SECTION, SIGNAL, TILE, TILES_READ, ZOOM
+from tracklake.shared import shared_path
+from tracklake.sources.layouts import FileWriter, Indexed, Input, Tiled, feature_items, file_system, kind_of, section_of, signal_items, zoom_items
 
 BLOCKS = 64
 ITEMS = {"bigwig": 4096, "bigbed": 1024}
+SUFFIX = {"bigwig": "bw", "bigbed": "bb"}
+#: Files that the driver opens at most, and partitions of files beyond that.
+FILES, LOTS = 1000, 10_000
+#: Bytes of blocks at which a task closes a file.
+FILE_BYTES = 1 << 29
+ORDERS = {"little": "<", "big": ">"}
+
 
+@dataclass
+class Part(InputPartition):
+    """Whole files, or nodes or blocks of one file."""
 
-class Blocks(InputPartition):
-    def __init__(self, path: str, parts: list):
-        self.path, self.parts = path, parts
+    paths: list = field(default_factory=list)
+    nodes: list = field(default_factory=list)
+    blocks: list = field(default_factory=list)
 
 
 def files_of(path: str) -> list[str]:
@@ -41,53 +55,102 @@ def files_of(path: str) -> list[str]:
     return sorted(f"{top}/{f.base_name}" for f in found if f.is_file and not f.base_name.startswith(("_", ".")))
 
 
+def lots(files: list[str]) -> list[Part]:
+    per = -(-len(files) // LOTS)
+    return [Part(files[k : k + per]) for k in range(0, len(files), per)]
+
+
+def compared(filters, columns: dict) -> Iterator[tuple[str, str, object]]:
+    """(column, operation, value) of the filters that compare one of the columns with a value."""
+    names = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+    for f in filters:
+        if type(f) in names and len(f.attribute) == 1 and f.attribute[0] in columns:
+            yield f.attribute[0], names[type(f)], f.value
+
+
 class IndexedReader(DataSourceReader):
-    kind, row = "", None
+    kind = ""
 
     def __init__(self, options: dict):
         self.path = options["path"]
         self.per = int(options.get("blocks", BLOCKS))
+        self.reduction = int(options["reduction"]) if "reduction" in options else None
+        self.sections = options.get("sections", "false").lower() == "true"
         self.chrom, self.low, self.high = None, 0, 2**31 - 1
 
     def pushFilters(self, filters):
-        for f in filters:
-            at = f.attribute[0]
-            if isinstance(f, EqualTo) and at == "chrom":
-                self.chrom = f.value
-            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)) and at in ("start", "end"):
-                self.low = max(self.low, f.value)
-            elif isinstance(f, (LessThan, LessThanOrEqual)) and at in ("start", "end"):
-                self.high = min(self.high, f.value + 1)
-            elif isinstance(f, EqualTo) and at == "start":
-                self.low, self.high = max(self.low, f.value), min(self.high, f.value + 1)
-            yield f
+        filters = list(filters)
+        for at, op, value in compared(filters, {"chrom", "start", "end"}):
+            if at == "chrom":
+                self.chrom = value if op == "=" else self.chrom
+                continue
+            if op in (">", ">=", "="):
+                self.low = max(self.low, value) if (at, op) != ("end", "=") else self.low
+            if op in ("<", "<=", "="):
+                self.high = min(self.high, value + 1)
+        return filters
+
+    def bounds(self, x: Indexed):
+        """(lo, hi) for the index, None where the file lacks the chromosome."""
+        if self.chrom is None:
+            return None, None
+        found = x.find(self.chrom)
+        # an item that begins at the lower bound may sit in a block that ends there
+        return found and ((found[0], self.low - 1), (found[0], self.high))
+
+    def opened(self, f: Input) -> Indexed:
+        x = Indexed(f)
+        if x.kind != self.kind:
+            raise ValueError(f"{f.path} is a {x.kind} file")
+        return x
 
     def partitions(self):
+        files = files_of(self.path)
+        if len(files) > FILES:
+            return lots(files)
         out = []
-        for path in files_of(self.path):
+        for path in files:
             with Input(path) as f:
-                x = Indexed(f)
-                if x.kind != self.kind:
-                    raise ValueError(f"{path} is a {x.kind} file")
-                lo = hi = None
-                if self.chrom is not None:
-                    number = next((k for k, (c, _) in x.chromosomes().items() if c == self.chrom), None)
-                    if number is None:
-                        continue
-                    # an item that begins at the lower bound may sit in a block that ends there
-                    lo, hi = (number, self.low - 1), (number, self.high)
-                found = x.blocks(lo, hi)
-                out += [Blocks(path, found[k : k + self.per]) for k in range(0, len(found), self.per)]
-        return out or [Blocks("", [])]
-
-    def read(self, partition: Blocks) -> Iterator[pa.RecordBatch]:
-        if not partition.parts:
+                x = self.opened(f)
+                top = x.top(x.index_of(self.reduction))
+                bounds = self.bounds(x)
+                if top is None or bounds is None:
+                    continue
+                leaf, entries = x.node(top, *bounds)
+                if leaf:
+                    out += [Part([path], blocks=entries[k : k + self.per]) for k in range(0, len(entries), self.per)]
+                else:
+                    out += [Part([path], nodes=[place]) for place, _ in entries]
+        return out or [Part()]
+
+    def places(self, x: Indexed, part: Part) -> Iterator[tuple[int, int]]:
+        """The blocks of a partition that may hold what was asked for."""
+        bounds = self.bounds(x)
+        if bounds is None:
             return
-        with Input(partition.path) as f:
-            x = Indexed(f)
-            names = {k: c for k, (c, _) in x.chromosomes().items()}
-            for offset, size in partition.parts:
-                yield self.rows(x.block(offset, size), f.order, names)
+        if part.blocks:
+            yield from part.blocks
+        else:
+            for node in part.nodes or [x.top(x.index_of(self.reduction))]:
+                yield from x.walk(node, *bounds)
+
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        for path in partition.paths:
+            with Input(path) as f:
+                x, names = self.opened(f), None
+                for offset, size in self.places(x, partition):
+                    names = names or {k: c for k, (c, _) in x.chromosomes().items()}
+                    data = x.block(offset, size)
+                    yield self.zoomed(data, f.order, names) if self.reduction is not None else self.section(data, f.order, names) if self.sections else self.rows(data, f.order, names)
+
+    def zoomed(self, data: bytes, order: str, names: dict) -> pa.RecordBatch:
+        x = zoom_items(data, order)
+        columns = [pa.array([names[c] for c in x["chrom"].tolist()], pa.string()), *(pa.array(x[c].astype(k)) for c, k in (("start", np.int32), ("end", np.int32), ("count", np.int64), ("min", float), ("max", float), ("sum", float), ("sum_squares", float)))]
+        return pa.RecordBatch.from_arrays(columns, names=ZOOM.names)
+
+    def section(self, data: bytes, order: str, names: dict) -> pa.RecordBatch:
+        chrom, *rest = section_of(data, order)
+        return pa.RecordBatch.from_arrays([pa.array([names[chrom]], pa.string()), *(pa.array([v], pa.string() if isinstance(v, str) else pa.int32()) for v in rest)], names=SECTION.names)
 
 
 class SignalReader(IndexedReader):
@@ -108,60 +171,203 @@ class FeatureReader(IndexedReader):
 
 
 class TileReader(DataSourceReader):
+    """Tiles of a set that touch the pushed bounds: the set's width turns positions into tile numbers, and others are not read.
+
+    read "tiles" gives a row for each tile read in place of its values; the bounds then choose tiles only.
+    """
+
     def __init__(self, options: dict):
-        self.path, self.per, self.only = options["path"], int(options.get("blocks", BLOCKS)), None
+        self.path, self.per = options["path"], int(options.get("blocks", BLOCKS))
+        self.report = options.get("read", "values") == "tiles"
+        self.only, self.low, self.high, self.first, self.last = None, 0, None, 0, None
 
     def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("dataset",):
-                self.only = f.value
-            yield f
+        filters = list(filters)
+        least = lambda a, b: b if a is None else min(a, b)
+        for at, op, value in compared(filters, {"dataset", "tile", "start", "end"}):
+            if at == "dataset":
+                self.only = value if op == "=" else self.only
+            elif at == "tile":
+                if op in (">", ">=", "="):
+                    self.first = max(self.first, value + (op == ">"))
+                if op in ("<", "<=", "="):
+                    self.last = least(self.last, value - (op == "<"))
+            else:
+                if op in (">", ">=") or (at, op) == ("start", "="):
+                    self.low = max(self.low, value)
+                if op in ("<", "<=", "="):
+                    self.high = least(self.high, value)
+        return [] if self.report else filters
+
+    def tiles(self, width: int, count: int) -> range:
+        """The tiles of a set that the bounds touch; the last is read though the range may end before it."""
+        first, last = max(self.first, self.low // width), count - 1
+        for most in (self.last, None if self.high is None else -(-self.high // width)):
+            last = last if most is None else min(last, most)
+        return range(max(0, first), last + 1)
 
     def partitions(self):
+        files = files_of(self.path)
+        if len(files) > FILES:
+            return lots(files)
         out = []
-        for path in files_of(self.path):
+        for path in files:
+            with Input(path) as f:
+                parts = list(self.places(Tiled(f)))
+                out += [Part([path], blocks=parts[k : k + self.per]) for k in range(0, len(parts), self.per)]
+        return out or [Part()]
+
+    def places(self, x: Tiled) -> Iterator[tuple[str, int, int, int]]:
+        for name in x.datasets:
+            if self.only is None or name == self.only:
+                width, count = x.shape(name)
+                asked = self.tiles(width, count)
+                yield from ((name, k, *at) for k, at in zip(asked, x.slots(name, asked), strict=True) if at[0] >= 0)
+
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        for path in partition.paths:
             with Input(path) as f:
                 x = Tiled(f)
-                for name in x.datasets:
-                    if self.only is None or name == self.only:
-                        parts = [(name, k, *at) for k, at in enumerate(x.dataset(name)[2]) if at[0] >= 0]
-                        out += [Blocks(path, parts[k : k + self.per]) for k in range(0, len(parts), self.per)]
-        return out or [Blocks("", [])]
-
-    def read(self, partition: Blocks) -> Iterator[pa.RecordBatch]:
-        if not partition.parts:
-            return
-        with Input(partition.path) as f:
-            x = Tiled(f)
-            for name, k, offset, size in partition.parts:
-                s, e, v = x.tile(offset, size)
-                n, t = len(s), len(v)
-                columns = [pa.array([name] * (n * t), pa.string()), pa.array(np.full(n * t, k, np.int32)), pa.array(np.repeat(np.arange(t, dtype=np.int32), n)), pa.array(np.tile(s, t).astype(np.int32)), pa.array(np.tile(e, t).astype(np.int32)), pa.array(v.reshape(-1).astype(np.float32))]
-                yield pa.RecordBatch.from_arrays(columns, names=TILE.names)
-
+                for name, k, offset, size in partition.blocks or self.places(x):
+                    s, e, v = x.tile(offset, size)
+                    n, t = len(s), len(v)
+                    if self.report:
+                        values = [[name], [k], [int(s.min())] if n else [None], [int(e.max())] if n else [None], [n]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if j else pa.string()) for j, c in enumerate(values)], names=TILES_READ.names)
+                        continue
+                    columns = [pa.array([name] * (n * t), pa.string()), pa.array(np.full(n * t, k, np.int32)), pa.array(np.repeat(np.arange(t, dtype=np.int32), n)), pa.array(np.tile(s, t).astype(np.int32)), pa.array(np.tile(e, t).astype(np.int32)), pa.array(v.reshape(-1).astype(np.float32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=TILE.names)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """(name of the attempt, items) of the files of a task."""
+
+    partition: int
+    files: list
+
+
+class TrackWriter(DataSourceArrowWriter):
+    """Files of rows that come sorted by chrom and start within each task."""
+
+    def __init__(self, kind: str, options: dict, overwrite: bool):
+        self.kind, self.path, self.overwrite, self.job = kind, options["path"].rstrip("/"), overwrite, uuid.uuid4().hex
+        self.codec, self.order = options.get("codec", "deflate"), ORDERS[options.get("order", "little")]
+        self.items, self.file_bytes = int(options.get("items", ITEMS[kind])), int(options.get("fileBytes", FILE_BYTES))
+        self.zoom = {"reduction": int(options.get("reduction", 0)), "levels": int(options.get("levels", 0)), "slot": int(options.get("slot", 512))}
+        self.sizes = self._sizes(options["sizes"]) if "sizes" in options else None
+        # made here and not by tasks, so that a task that outlives the job's abort finds no folder to write to
+        fs, top = file_system(self.path)
+        fs.create_dir(f"{top}/_{self.job}", recursive=True)
+
+    @staticmethod
+    def _sizes(path: str) -> list[tuple[str, int]]:
+        """The chromosome dictionary: lines of name, tab and size, in a file or the files of a folder."""
+        found = []
+        for name in files_of(path):
+            fs, at = file_system(name)
+            with fs.open_input_stream(at) as f:
+                found += [(c, int(n)) for c, n in (line.split("\t")[:2] for line in f.read().decode().splitlines() if line)]
+        return sorted(found, key=lambda x: x[0].encode())
+
+    def _new(self) -> FileWriter:
+        return FileWriter(self.kind, self.sizes, self.codec, self.order, **self.zoom)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        from pyspark import TaskContext
+
+        fs, top = file_system(f"{self.path}/_{self.job}")
+        done: list[tuple[str, int]] = []
+        file, held, known = self._new(), [], None if self.sizes is None else {c for c, _ in self.sizes}
+
+        def close() -> None:
+            if file.items:
+                own = uuid.uuid4().hex
+                done.append((own, file.items))
+                with fs.open_output_stream(f"{top}/{own}", compression=None) as out:
+                    for chunk in file.chunks():
+                        out.write(chunk)
+
+        def flush(final: bool) -> None:
+            """Blocks of whole size, and the rest where the chromosome ends."""
+            nonlocal file
+            while held and (final or sum(len(h[1]) for h in held) >= self.items):
+                chrom = held[0][0]
+                s, e, v = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
+                cut = min(self.items, len(s))
+                file.add(chrom, s[:cut], e[:cut], v[:cut] if self.kind == "bigwig" else v[:cut].tolist())
+                held[:] = [(chrom, s[cut:], e[cut:], v[cut:])] if cut < len(s) else []
+                if file.size >= self.file_bytes:
+                    close()
+                    file = self._new()
+
+        try:
+            for batch in iterator:
+                chroms = batch.column(0).dictionary_encode()
+                codes, names = np.asarray(chroms.indices), chroms.dictionary.to_pylist()
+                cuts = np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1, [len(codes)]]) if len(codes) else [0]
+                s, e = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+                v = batch.column(3).to_numpy(zero_copy_only=False)
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                    chrom = names[codes[lo]]
+                    if known is None or chrom in known:
+                        if held and held[0][0] != chrom:
+                            flush(True)
+                        held.append((chrom, s[lo:hi], e[lo:hi], v[lo:hi]))
+                        flush(False)
+            flush(True)
+            close()
+        except BaseException:
+            for own, _ in done:
+                if fs.get_file_info(f"{top}/{own}").is_file:
+                    fs.delete_file(f"{top}/{own}")
+            raise
+        return Written(TaskContext.get().partitionId(), done)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        fs, top = file_system(self.path)
+        names = sorted((m.partition, k, own) for m in messages if m for k, (own, _) in enumerate(m.files))
+        if not names:
+            names = [(0, 0, "none")]
+            with fs.open_output_stream(f"{top}/_{self.job}/none", compression=None) as out:
+                for chunk in self._new().chunks():
+                    out.write(chunk)
+        if self.overwrite:
+            for old in files_of(self.path):
+                fs.delete_file(f"{top}/{old.rpartition('/')[2]}")
+        for partition, k, own in names:
+            fs.move(f"{top}/_{self.job}/{own}", f"{top}/part-{partition:06d}-{k:05d}-{self.job[:8]}.{SUFFIX[self.kind]}")
+        fs.delete_dir(f"{top}/_{self.job}")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        fs, top = file_system(f"{self.path}/_{self.job}")
+        if fs.get_file_info(top).type == pa.fs.FileType.Directory:
+            fs.delete_dir(top)
+
+
+class Track(DataSource):
+    kind, row, reads = "", None, None
 
-class BigWig(DataSource):
     @classmethod
     def name(cls):
-        return "bigwig"
+        return cls.kind
 
     def schema(self):
-        return SIGNAL
+        return ZOOM if "reduction" in self.options else SECTION if self.options.get("sections", "false").lower() == "true" else self.row
 
     def reader(self, schema):
-        return SignalReader(self.options)
+        return self.reads(self.options)
 
+    def writer(self, schema, overwrite):
+        return TrackWriter(self.kind, self.options, overwrite)
 
-class BigBed(DataSource):
-    @classmethod
-    def name(cls):
-        return "bigbed"
 
-    def schema(self):
-        return FEATURE
+class BigWig(Track):
+    kind, row, reads = "bigwig", SIGNAL, SignalReader
 
-    def reader(self, schema):
-        return FeatureReader(self.options)
+
+class BigBed(Track):
+    kind, row, reads = "bigbed", FEATURE, FeatureReader
 
 
 class Tdf(DataSource):
@@ -170,7 +376,7 @@ class Tdf(DataSource):
         return "tdf"
 
     def schema(self):
-        return TILE
+        return TILES_READ if self.options.get("read") == "tiles" else TILE
 
     def reader(self, schema):
         return TileReader(self.options)
@@ -182,24 +388,91 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def read(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """A file or directory of one of the formats; without kind the first file's magic number decides."""
+def read(spark: SparkSession, path: str, kind: str | None = None, **options: str) -> DataFrame:
+    """A file or directory of one of the formats; without kind the first file's magic number decides.
+
+    options: reduction (records of a zoom level), sections ("true": a row for each section), read ("tiles": a row for each tile).
+    """
     register(spark)
     kind = kind or kind_of(files_of(path)[0])
     if kind is None:
         raise ValueError(f"{path}: unknown format")
-    return spark.read.format(kind).load(path)
+    return spark.read.format(kind).options(**{k: str(v) for k, v in options.items()}).load(path)
+
+
+def in_tasks(spark: SparkSession, path: str, schema: str, rows) -> DataFrame:
+    """rows(path) of each file, made in tasks, as a table with the path before them."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                found = [(p, *r) for r in rows(p)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), arrow.types, strict=True)], names=arrow.names)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    shape = StructType.fromDDL(f"path string, {schema}")
+    arrow = to_arrow_schema(shape)
+    files = spark.createDataFrame([(p,) for p in files_of(path)], "path string")
+    return files.repartition("path").mapInArrow(work, shape)
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
     """path, kind, version, compression, chromosomes, zoom_levels, total_count of each signal or feature file."""
-    rows = []
-    for p in files_of(path):
+
+    def rows(p: str) -> list[tuple]:
         with Input(p) as f:
             x = Indexed(f)
             total = x.total()
-            rows.append((p, x.kind, x.version, x.codec, {k: c for k, (c, _) in x.chromosomes().items()}, x.zoom_levels(), total[0] if total else None))
-    return spark.createDataFrame(rows, "path string, kind string, version int, compression string, chromosomes map<int, string>, zoom_levels array<int>, total_count long")
+            return [(x.kind, x.version, x.codec, list({k: c for k, (c, _) in x.chromosomes().items()}.items()), x.zoom_levels(), total[0] if total else None)]
+
+    return in_tasks(spark, path, "kind string, version int, compression string, chromosomes map<int, string>, zoom_levels array<int>, total_count long", rows)
+
+
+def tile_sets(spark: SparkSession, path: str) -> DataFrame:
+    """path, dataset, attributes, tile_width, tile_count, tiles (the numbers of those that hold data) of each set of each tiled file."""
+
+    def rows(p: str) -> Iterator[tuple]:
+        with Input(p) as f:
+            x = Tiled(f)
+            for name in x.datasets:
+                attributes, width, slots = x.dataset(name)
+                yield name, list(attributes.items()), width, len(slots), [k for k, at in enumerate(slots) if at[0] >= 0]
+
+    return in_tasks(spark, path, "dataset string, attributes map<string, string>, tile_width int, tile_count int, tiles array<int>", rows)
+
+
+def tile_groups(spark: SparkSession, path: str) -> DataFrame:
+    """path, name, attributes of each group of each tiled file."""
+
+    def rows(p: str) -> Iterator[tuple]:
+        with Input(p) as f:
+            x = Tiled(f)
+            for name in x.groups:
+                yield name, list(x.group(name).items())
+
+    return in_tasks(spark, path, "name string, attributes map<string, string>", rows)
+
+
+def tile_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, version, window_functions, track_type, track_line, tracks, build, compressed of each tiled file."""
+
+    def rows(p: str) -> list[tuple]:
+        with Input(p) as f:
+            x = Tiled(f)
+            return [(x.version, x.window_functions, x.track_type, x.track_line, x.tracks, x.build, x.compressed)]
+
+    return in_tasks(spark, path, "version int, window_functions array<string>, track_type string, track_line string, tracks array<string>, build string, compressed boolean", rows)
+
+
+def named(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """The rows of that name; the query fails where there are none."""
+    fault = F.raise_error(F.lit(f"no {column} {name}")).cast("boolean")
+    found = rows.where(F.col(column) == name)
+    none = found.agg(F.count("*").alias("n")).where(F.when(F.col("n") == 0, fault).otherwise(False))
+    return found.unionByName(none.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema)))
 
 
 def describe_tiles(path: str) -> dict:
@@ -210,60 +483,47 @@ def describe_tiles(path: str) -> dict:
         return {"version": x.version, "window_functions": x.window_functions, "track_type": x.track_type, "track_line": x.track_line, "tracks": x.tracks, "build": x.build, "compressed": x.compressed, "datasets": {n: {"attributes": a, "tile_width": w, "tiles": [k for k, t in enumerate(ts) if t[0] >= 0], "tile_count": len(ts)} for n, (a, w, ts) in sets.items()}, "groups": {n: x.group(n) for n in x.groups}}
 
 
-def write(rows: DataFrame, path: str, kind: str, sizes: DataFrame | None = None, codec: str = "deflate") -> DataFrame:
+def dump_tiles(spark: SparkSession, path: str, number: int = 3) -> DataFrame:
+    """path, dataset, tile, line: the contents of each tile as text, its first and last `number` items in full, made in tasks."""
+
+    def rows(p: str) -> Iterator[tuple]:
+        with Input(p) as f:
+            x = Tiled(f)
+            for name in x.datasets:
+                for k, (offset, size) in enumerate(x.dataset(name)[2]):
+                    if offset < 0:
+                        continue
+                    s, e, v = x.tile(offset, size)
+                    for i in range(len(s)):
+                        if i < number or i >= len(s) - number:
+                            yield name, k, f"{s[i]}-{e[i]}: " + ", ".join(f"{t}={v[j][i]:g}" for j, t in enumerate(x.tracks))
+
+    return in_tasks(spark, path, "dataset string, tile int, line string", rows)
+
+
+def write(rows: DataFrame, path: str, kind: str, sizes: DataFrame | None = None, codec: str = "deflate", mode: str = "append", **options) -> DataFrame:
     """Write signal (bigwig) or feature (bigbed) rows as a directory of files; returns path and items of each.
 
     Rows of chromosomes without a size are dropped. sizes (chrom, size) is the chromosome dictionary, which
-    every file holds whole.
+    every file holds whole; without it a file holds its own chromosomes. options: those of the sink: order ("big"), items, fileBytes,
+    and reduction, levels and slot for zoom levels.
     """
-    from tracklake.operators.ranges import known_chromosomes, sizes_of
+    from tracklake.operators.ranges import known_chromosomes
 
     spark = rows.sparkSession
-    sizes = sizes_of(rows) if sizes is None else sizes
-    dictionary = [(r["chrom"], r["size"]) for r in sizes.select("chrom", "size").orderBy("chrom").collect()]
-    last, n_items = rows.columns[3] if kind == "bigwig" else "rest", ITEMS[kind]
-    ordered = known_chromosomes(rows, sizes).select("chrom", "start", "end", last)
-    ordered = ordered.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start", "end")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, held = Builder(kind, dictionary, codec), []
-
-        def flush(final: bool):
-            """Blocks of whole size, and the rest where the chromosome ends."""
-            while held and (final or sum(len(h[1]) for h in held) >= n_items):
-                chrom = held[0][0]
-                s, e, v = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
-                cut = min(n_items, len(s))
-                (b.add_signal if kind == "bigwig" else b.add_features)(chrom, s[:cut], e[:cut], v[:cut] if kind == "bigwig" else v[:cut].tolist())
-                held[:] = [(chrom, s[cut:], e[cut:], v[cut:])] if cut < len(s) else []
+    register(spark)
+    ordered = rows if sizes is None else known_chromosomes(rows, sizes)
+    last = rows.columns[3] if kind == "bigwig" else "rest"
+    ordered = ordered.select("chrom", "start", "end", last).repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start", "end")
+    sink = ordered.write.format(kind).option("codec", codec).options(**{k: str(v) for k, v in options.items()})
+    if sizes is not None:
+        names = shared_path(spark, "dictionary")
+        sizes.select("chrom", "size").write.option("sep", "\t").csv(names)
+        sink = sink.option("sizes", names)
+    sink.mode(mode).save(path)
+
+    def counted(p: str) -> list[tuple]:
+        with Input(p) as f:
+            return [(Indexed(f).items(),)]
 
-        for batch in batches:
-            chroms = batch.column(0).to_pylist()
-            cuts = [0, *(k for k in range(1, len(chroms)) if chroms[k] != chroms[k - 1]), len(chroms)]
-            s, e = np.asarray(batch.column(1)), np.asarray(batch.column(2))
-            v = batch.column(3).to_numpy(zero_copy_only=False)
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if lo < hi:
-                    if held and held[0][0] != chroms[lo]:
-                        flush(True)
-                    held.append((chroms[lo], s[lo:hi], e[lo:hi], v[lo:hi]))
-                    flush(False)
-        flush(True)
-        if b.items:
-            fs, at = file_system(path)
-            fs.create_dir(at, recursive=True)
-            name = f"part-{TaskContext.get().partitionId():05d}"
-            own = f"_{name}-{uuid.uuid4().hex}"
-            with fs.open_output_stream(f"{at.rstrip('/')}/{own}", compression=None) as out:
-                out.write(b.content())
-            yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([f"{name}.{'bw' if kind == 'bigwig' else 'bb'}"]), pa.array([b.items], pa.int64())], names=["own", "name", "items"])
-
-    done = ordered.mapInArrow(work, "own string, name string, items long").collect()
-    fs, at = file_system(path)
-    fs.create_dir(at, recursive=True)
-    for r in done:
-        fs.move(f"{at.rstrip('/')}/{r['own']}", f"{at.rstrip('/')}/{r['name']}")
-    if not done:
-        with fs.open_output_stream(f"{at.rstrip('/')}/part-00000.{'bw' if kind == 'bigwig' else 'bb'}", compression=None) as out:
-            out.write(Builder(kind, dictionary, codec).content())
-    return spark.createDataFrame([(f"{path.rstrip('/')}/{r['name']}", r["items"]) for r in done], "path string, items long").orderBy(F.col("path"))
+    return in_tasks(spark, path, "items long", counted).where("items > 0").orderBy(F.col("path"))
