@@ -412,12 +412,14 @@ def zoom_pyramid(spark: SparkSession, sf: str) -> DataFrame:
     return pyramid.pyramid(signal(spark, sf), 40, 4, path=shared_path(spark, "pyramid"))
 
 
-PICKED = "CASE WHEN ({d}) > 1 THEN (SELECT max(r) FROM (VALUES (40), (160), (640), (2560)) l(r) WHERE r <= {d}) END".format(d="(\"end\" - start) // (2 * n)")
+#: Reductions of the levels that loci choose from; shares of such buckets are exact.
+STEPS = [32, 128, 512, 2048]
+PICKED = "CASE WHEN ({d}) > 1 THEN (SELECT max(r) FROM (SELECT unnest([32, 128, 512, 2048]) AS r) WHERE r <= {d}) END".format(d="(\"end\" - start) // (2 * n)")
 
 
 @query(f"""WITH {LOCI} SELECT id, CAST(("end" - start) // (2 * n) AS BIGINT) AS desired, CAST({PICKED} AS BIGINT) AS reduction FROM loci""")
 def zoom_pick(spark: SparkSession, sf: str) -> DataFrame:
-    return pyramid.choose(fixtures.loci(spark, sf), [40, 160, 640, 2560]).select("id", "desired", "reduction")
+    return pyramid.choose(fixtures.loci(spark, sf), STEPS).select("id", "desired", "reduction")
 
 
 #: Sums of each position of the signal, and of each bin of each locus over its positions.
@@ -431,7 +433,7 @@ def loci_summary(spark: SparkSession, sf: str) -> DataFrame:
     return loci.summarize_loci(loci.index(signal(spark, sf)), fixtures.loci(spark, sf), "n")
 
 
-@query(f"""WITH {PLACES}, levels AS ({" UNION ALL ".join(f"SELECT {r} AS reduction, chrom, p // {r} AS bucket, sum(c) AS c, min(a) AS a, max(b) AS b, sum(s) AS s, sum(q) AS q FROM places GROUP BY chrom, p // {r}" for r in (40, 160, 640, 2560))}),
+@query(f"""WITH {PLACES}, levels AS ({" UNION ALL ".join(f"SELECT {r} AS reduction, chrom, p // {r} AS bucket, sum(c) AS c, min(a) AS a, max(b) AS b, sum(s) AS s, sum(q) AS q FROM places GROUP BY chrom, p // {r}" for r in STEPS)}),
   asked AS (SELECT id, chrom, bin, lo, hi, {PICKED} AS reduction FROM bins),
   met AS (SELECT id, bin, a.reduction, c, a, b, s, q, (least(hi, (bucket + 1) * a.reduction) - greatest(lo, bucket * a.reduction)) / CAST(a.reduction AS DOUBLE) AS w
     FROM (SELECT *, unnest(range(lo // reduction, (hi - 1) // reduction + 1)) AS bucket FROM asked WHERE reduction IS NOT NULL) a JOIN levels l USING (reduction, chrom, bucket)),
@@ -441,8 +443,8 @@ SELECT id, bin, CAST(reduction AS BIGINT) AS reduction, count, min, max, round(s
 def zoom_ranges(spark: SparkSession, sf: str) -> DataFrame:
     """Each locus from the level that fits it, read from Parquet partitions, or from the rows where none does."""
     path, rows = shared_path(spark, "levels"), signal(spark, sf)
-    pyramid.pyramid(rows, 40, 4, path=path)
-    got = pyramid.summarize_ranges(loci.index(rows), path, [40, 160, 640, 2560], fixtures.loci(spark, sf))
+    pyramid.pyramid(rows, STEPS[0], len(STEPS), path=path)
+    got = pyramid.summarize_ranges(loci.index(rows), path, STEPS, fixtures.loci(spark, sf))
     return got.select("id", "bin", "reduction", "count", "min", "max", F.round("sum", 3).alias("sum"), F.round("sum_squares", 3).alias("sum_squares"))
 
 
