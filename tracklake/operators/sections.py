@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracklake.functions import intervals as iv
 from tracklake.operators import ranks
 
 MAX_ITEMS = 32767
@@ -65,3 +66,69 @@ def fixed_slots(rows: DataFrame, slot: int, by: str = "chrom", order: tuple[str,
     """The first item and size of each run of `slot` items in order."""
     placed = ranks.ranked(rows, (by,), order, "slot").withColumn("slot", F.floor(F.col("slot") / slot))
     return placed.groupBy(by, "slot").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("size"))
+
+
+# ------------------------------------------------------------------ queries on sections that stay arrays
+
+
+def lower_bound(values: Column, least) -> Column:
+    """How many of the ascending values are below least, by halving; about log2(n) steps, no row a value."""
+    least = iv.col(least)
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+    at = F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi"))
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+        below = (span["lo"] < span["hi"]) & (F.get(values, middle) < least)
+        return F.struct(F.when(below, middle + 1).otherwise(span["lo"]).alias("lo"), F.when(below, span["hi"]).otherwise(F.least(span["hi"], middle)).alias("hi"))
+
+    return F.aggregate(steps, at, halve)["lo"]
+
+
+def _cut(values: Column, first: Column, last: Column) -> Column:
+    """values[first:last], empty where last <= first."""
+    return F.slice(values, first + 1, F.greatest(last - first, F.lit(0)))
+
+
+def fixed_range(sections: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Sections (chrom, start, step, span, values) cut to the items within [lo, hi), by arithmetic on the grid; empty ones go."""
+    start, step, n = F.col("start").cast("long"), F.col("step"), F.size("values")
+    first = F.least(n, F.greatest(F.lit(0), F.ceil((F.lit(lo) - start) / step))).cast("int")
+    last = F.least(n, F.floor((F.lit(hi) - F.col("span") - start) / step) + 1).cast("int")
+    cut = sections.withColumns({"values": _cut(F.col("values"), first, last), "start": (start + first * step).cast("int")})
+    return cut.where(F.size("values") > 0)
+
+
+def variable_range(sections: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Sections (chrom, span, positions, values), positions ascending, cut to the items within [lo, hi); empty ones go."""
+    first, last = lower_bound(F.col("positions"), lo), lower_bound(F.col("positions"), F.lit(hi) - F.col("span") + 1)
+    cut = sections.withColumns({"_first": first, "_last": last})
+    cut = cut.withColumns({c: _cut(F.col(c), F.col("_first"), F.col("_last")) for c in ("positions", "values")}).drop("_first", "_last")
+    return cut.where(F.size("values") > 0)
+
+
+def bedgraph_range(sections: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Sections (chrom, starts, ends, values), starts ascending, cut to the items within [lo, hi); empty ones go."""
+    first, last = lower_bound(F.col("starts"), lo), lower_bound(F.col("starts"), hi)
+    cut = sections.withColumns({"_first": first, "_last": last})
+    items = F.filter(F.arrays_zip(*(_cut(F.col(c), F.col("_first"), F.col("_last")).alias(c) for c in ("starts", "ends", "values"))), lambda x: x["ends"] <= hi)
+    cut = cut.withColumn("_items", items).where(F.size("_items") > 0)
+    return cut.withColumns({c: F.col(f"_items.{c}") for c in ("starts", "ends", "values")}).drop("_first", "_last", "_items")
+
+
+def fixed_at(position) -> Column:
+    """The value that begins at a position of a fixed-step section; null where none does."""
+    off = iv.col(position).cast("long") - F.col("start")
+    index = (off / F.col("step")).cast("int")
+    return F.when((off >= 0) & (off % F.col("step") == 0), F.get("values", index))
+
+
+def variable_at(position) -> Column:
+    """The value that begins at a position of a variable-step section; null where none does."""
+    at = lower_bound(F.col("positions"), position)
+    return F.when(F.get("positions", at) == iv.col(position), F.get("values", at))
+
+
+def required(value: Column, position) -> Column:
+    """The value of a point lookup; the query fails where there is none."""
+    return F.coalesce(value, F.raise_error(F.concat(F.lit("nothing begins at "), iv.col(position).cast("string"))).cast("float"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import bed
 from tracklake.functions import intervals as iv
-from tracklake.operators import coverage, joins, loci, pyramid, ranges, sections, summary
+from tracklake.operators import coverage, joins, loci, profile, pyramid, ranges, sections, summary
 from tracklake.plans import tile_fixture
 from tracklake.plans import fixtures
 from tracklake.plans.fixtures import FEATURES, LOCI, POINTS, REGIONS, SIGNAL, features, points, regions, signal
@@ -314,6 +314,54 @@ def variable_step_explode(spark: SparkSession, sf: str) -> DataFrame:
     return sections.variable_step(t.select("chrom", F.lit(7).alias("span"), F.col("x.p").alias("positions"), F.col("x.v").alias("values")))
 
 
+@query(f"""WITH s AS ({BY_ORDER}), x AS (SELECT l_orderkey, chrom, unnest(range(len(vals))) AS i, unnest(vals) AS v FROM s), y AS (SELECT l_orderkey, chrom, CAST(l_orderkey % 100 + i * 10 AS INTEGER) AS start, v FROM x)
+SELECT l_orderkey, min(start) AS start, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total FROM y WHERE start >= 35 AND start + 5 <= 90 GROUP BY l_orderkey""")
+def section_range_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Fixed-step sections cut by arithmetic on their grid; they stay arrays."""
+    t = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("x"))
+    cut = sections.fixed_range(t.select("l_orderkey", (F.col("l_orderkey") % 100).cast("int").alias("start"), F.lit(10).alias("step"), F.lit(5).alias("span"), F.col("x.l_quantity").alias("values")), 35, 90)
+    return cut.select("l_orderkey", "start", F.size("values").cast("long").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, v: a + v.cast("double")).alias("total"))
+
+
+def positioned(spark: SparkSession, sf: str) -> DataFrame:
+    """The signal as variable-step sections, one for each chromosome, span and 512 positions."""
+    rows = signal(spark, sf).groupBy("chrom", (F.col("end") - F.col("start")).alias("span"), F.floor(F.col("start") / 512).alias("part")).agg(F.array_sort(F.collect_list(F.struct("start", "score"))).alias("x"))
+    return rows.select("chrom", "span", "part", F.col("x.start").alias("positions"), F.col("x.score").alias("values"))
+
+
+@query(f"""WITH {SIGNAL} SELECT chrom, "end" - start AS span, start // 512 AS part, min(start) AS start, max(start) AS last, count(*) AS n, CAST(sum(score) AS DOUBLE) AS total FROM signal WHERE start >= 300 AND "end" <= 1500 GROUP BY chrom, "end" - start, start // 512""")
+def section_range_variable(spark: SparkSession, sf: str) -> DataFrame:
+    """Variable-step sections cut by binary search; they stay arrays."""
+    cut = sections.variable_range(positioned(spark, sf), 300, 1500)
+    return cut.select("chrom", "span", F.col("part").cast("int").alias("part"), F.element_at("positions", 1).alias("start"), F.element_at("positions", -1).alias("last"), F.size("values").cast("long").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, v: a + v.cast("double")).alias("total"))
+
+
+@query(f"""WITH {SIGNAL} SELECT chrom, min(start) AS start, max("end") AS "end", count(*) AS n, CAST(sum(score) AS DOUBLE) AS total FROM signal WHERE start >= 300 AND "end" <= 1500 GROUP BY chrom, start // 512""")
+def section_range_bedgraph(spark: SparkSession, sf: str) -> DataFrame:
+    """bedGraph sections of 512 positions, cut by binary search on their starts and a filter of the ends."""
+    rows = signal(spark, sf).groupBy("chrom", F.floor(F.col("start") / 512).alias("part")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "score"))).alias("x"))
+    cut = sections.bedgraph_range(rows.select("chrom", F.col("x.start").alias("starts"), F.col("x.end").alias("ends"), F.col("x.score").alias("values")), 300, 1500)
+    return cut.select("chrom", F.array_min("starts").alias("start"), F.array_max("ends").alias("end"), F.size("values").cast("long").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, v: a + v.cast("double")).alias("total"))
+
+
+@query(f"""WITH {SIGNAL}, s AS (SELECT chrom, "end" - start AS span, start, first(score ORDER BY score) AS value FROM signal WHERE start = 1000 GROUP BY ALL) SELECT chrom, span, value FROM s""")
+def section_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The value that begins at position 1000 of each variable-step section; of several the least."""
+    found = positioned(spark, sf).select("chrom", "span", sections.variable_at(1000).alias("value"))
+    return found.where("value IS NOT NULL")
+
+
+@query(f"""WITH {SIGNAL}, n AS (SELECT l_returnflag AS chrom, start, "end", row_number() OVER () - 1 AS row FROM (SELECT *, chrom AS l_returnflag FROM signal)),
+  m AS (SELECT *, lag(chrom) OVER (ORDER BY row) AS c, lag(start) OVER (ORDER BY row) AS s, min(row) OVER (PARTITION BY chrom) AS first FROM n),
+  f AS (SELECT row, CASE WHEN chrom <> c AND first < row THEN 'must be sorted by chromosome' WHEN chrom = c AND start < s THEN 'must be sorted by start' END AS reason FROM m)
+SELECT (SELECT count(DISTINCT chrom) FROM n) AS chroms, (SELECT count(*) FROM n) AS items, CAST((SELECT sum("end" - start) FROM n) AS BIGINT) AS total_length, false AS sorted, min(row) AS row, arg_min(reason, row) AS reason FROM f WHERE reason IS NOT NULL""")
+def input_profile_ordered(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of the lines as they are written, and the first that breaks the order, in one pass."""
+    start = F.datediff(F.col("l_shipdate").cast("date"), F.lit(fixtures.EPOCH).cast("date"))
+    rows = profile.as_written(spark, f"{sf}/lineitem.parquet", F.col("l_returnflag").alias("chrom"), start.alias("start"), (start + F.col("l_linenumber")).cast("int").alias("end"))
+    return profile.profile(rows).drop("file")
+
+
 @query("""WITH c AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS fresh FROM events),
   r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM c)
 SELECT user_id, CAST(run AS BIGINT) AS run, event_type, min(event_id) AS first, count(*) AS size FROM r GROUP BY user_id, run, event_type""")
