@@ -112,3 +112,26 @@ def field(i: int, n: int = 12, extra: int | None = None) -> Column:
         c = F.col(NAMES[i])
         return F.array_join(F.transform(c, lambda x: x.cast("string")), ",") if TYPES[NAMES[i]].startswith("array") else c.cast("string")
     return F.when(F.lit(i) < n + count, F.try_element_at("extra_fields", F.lit(i - n + 1)))
+
+
+TYPED = tuple(name for name, _, _ in FEATURE12)
+
+
+def typed(prefix: str = "") -> Column:
+    """All fields of a typed feature, arrays and nulls too, as one value."""
+    return F.struct(*(F.col(prefix + c).alias(c) for c in TYPED))
+
+
+def same(left: str, right: str) -> Column:
+    """Whether the typed features in the columns with two prefixes are equal in every field; null equals null."""
+    return typed(left).eqNullSafe(typed(right))
+
+
+def hashed(prefix: str = "") -> Column:
+    """A hash that equal typed features share."""
+    return F.xxhash64(typed(prefix))
+
+
+def described(prefix: str = "") -> Column:
+    """A typed feature as text, for reading: its fields by name, without those that are null."""
+    return F.to_json(typed(prefix))

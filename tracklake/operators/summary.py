@@ -27,6 +27,11 @@ def aggregates(value, overlap) -> list[Column]:
     return [F.sum(ov).alias("count"), nan_min(v).alias("min"), F.max(v).alias("max"), F.sum(v * ov).alias("sum"), F.sum(v * v * ov).alias("sum_squares")]
 
 
+def is_empty() -> Column:
+    """Whether a summary holds no data."""
+    return F.col("count") == 0
+
+
 def merged() -> list[Column]:
     """Aggregates over summaries."""
     return [F.sum("count").alias("count"), nan_min(F.col("min")).alias("min"), F.max("max").alias("max"), F.sum("sum").alias("sum"), F.sum("sum_squares").alias("sum_squares")]

@@ -163,6 +163,11 @@ def bin_summary_empty_bins(spark: SparkSession, sf: str) -> DataFrame:
     return summary.summarize(signal(spark, sf), "N", 2000, 6000, 40)
 
 
+@query(f"""WITH {SIGNAL}, p AS (SELECT DISTINCT unnest(range(start, "end")) AS p FROM signal WHERE chrom = 'N') SELECT CAST(b.bin AS BIGINT) AS bin, NOT EXISTS (SELECT 1 FROM p WHERE p.p >= 2000 + b.bin * 100 AND p.p < 2100 + b.bin * 100) AS empty FROM (SELECT unnest(range(40)) AS bin) b""")
+def summary_emptiness(spark: SparkSession, sf: str) -> DataFrame:
+    return summary.summarize(signal(spark, sf), "N", 2000, 6000, 40).select("bin", summary.is_empty().alias("empty"))
+
+
 @query(f"""WITH {SIGNAL}, z AS (SELECT chrom, max("end") AS hi FROM signal GROUP BY chrom), r AS (SELECT s.chrom, start, "end", CAST(score AS DOUBLE) AS v, hi FROM signal s JOIN z USING (chrom)),
   f AS (SELECT chrom, bin, {SUMS} FROM {bins_sql('r', '0', 'hi', '16')} GROUP BY chrom, bin)
 SELECT b.chrom, CAST(b.bin AS BIGINT) AS bin, {FILLED} FROM (SELECT chrom, unnest(range(16)) AS bin FROM z) b LEFT JOIN f ON b.chrom = f.chrom AND b.bin = f.bin""")
@@ -432,6 +437,24 @@ def bed_unpack_errors(spark: SparkSession, sf: str) -> DataFrame:
     return bed.unpack(rows, 6, strict=False).select("chrom", "start", "end", F.col("error.field").alias("field"), F.col("error.reason").alias("reason"))
 
 
+@query(f"""WITH {FEATURES} SELECT name, o_orderkey % 5 <> 0 AS same FROM features""")
+def bed_equality(spark: SparkSession, sf: str) -> DataFrame:
+    """Features beside their packed and unpacked copies, of which every fifth has another score."""
+    rows = features(spark, sf)
+    back = bed.unpack(bed.pack(rows)).withColumn("score", F.when(F.substring("name", 2, 30).cast("long") % 5 == 0, F.col("score") + 1).otherwise(F.col("score")))
+    both = rows.select(*(F.col(c).alias(f"a_{c}") for c in bed.TYPED)).join(back.select(*(F.col(c).alias(f"b_{c}") for c in bed.TYPED)), F.col("a_name") == F.col("b_name"))
+    return both.select(F.col("a_name").alias("name"), bed.same("a_", "b_").alias("same"))
+
+
+@query(f"""WITH {FEATURES} SELECT chrom, count(*) AS n, count(*) AS alike FROM features GROUP BY chrom""")
+def bed_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """Features whose hash is that of their packed and unpacked copy."""
+    rows = features(spark, sf)
+    back = bed.unpack(bed.pack(rows)).select("name", bed.hashed().alias("back"))
+    met = rows.select("chrom", "name", bed.hashed().alias("own")).join(back, "name")
+    return met.groupBy("chrom").agg(F.count("*").alias("n"), F.count_if(F.col("own") == F.col("back")).alias("alike"))
+
+
 # ------------------------------------------------------------------ zoom
 
 
