@@ -95,3 +95,54 @@ def test_shingle_sets_count():
     texts = ["a b c d e f g", "a b c d e a b c d e", "", "x y", "é\x0bÉ \x85"]
     s, bounds = minhash.shingle_sets(pa.array(texts, pa.large_string()))
     assert np.diff(bounds).tolist() == [len(shingles(t)) for t in texts]
+
+
+def rowwise(rows, percent=85):
+    """(component_id of each row, rows that stay) by loops over rows, ids apart from texts."""
+    sets = [shingles(t) for _, t in rows]
+    comp = list(range(len(rows)))
+
+    def root(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    takes = [d is not None and bool(s) for (d, _), s in zip(rows, sets)]
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if takes[i] and takes[j] and 100 * both >= percent * len(sets[i] | sets[j]):
+                comp[max(root(i), root(j))] = min(root(i), root(j))
+    least, first = {}, {}
+    for i, (d, _) in enumerate(rows):
+        if takes[i]:
+            least[root(i)] = min(least.get(root(i), d), d)
+    stay = sum(not t for t in takes) + len(least)
+    for i, (d, t) in enumerate(rows):
+        if takes[i] and d == least[root(i)]:
+            first.setdefault(root(i), []).append((d, t))
+    return [least[root(i)] if takes[i] else d for i, (d, _) in enumerate(rows)], stay, list(first.values())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeated_ids_with_other_texts(spark, seed):
+    rng = random.Random(seed)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [words(60) for _ in range(6)]
+    near = lambda t: " ".join(t[:-1] + [f"x{rng.randrange(10**6)}"])
+    rows = [(rng.randrange(1, 12) if rng.random() < 0.95 else None, rng.choice([" ".join(t), near(t), "", "few words"])) for t in (rng.choice(texts) for _ in range(60))]
+    if seed == 0:
+        a, b, c = (" ".join(t) for t in texts[:3])
+        rows = [(1, a), (1, b), (2, b), (3, a), (4, c)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, f1 int")
+    want, stay, firsts = rowwise(rows)
+    got = minhash.near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted(((d, len(shingles(t)), w) for (d, t), w in zip(rows, want)), key=str)
+    kept = minhash.keep(docs)
+    assert kept.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(left) == stay
+    for group in firsts:
+        assert sum(x in group for x in left) == 1 or len({t for _, t in group}) > 1
+    if seed == 0:
+        assert sorted(left) == sorted([(1, a), (1, b), (4, c)])

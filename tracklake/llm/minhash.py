@@ -23,9 +23,12 @@ full shingle sets:
 Step 3 leaves no colliding pair undecided, so no bucket is capped; steps 1 and 2 exist so that it
 meets few members where a group of near copies is very large. Of buckets with the same members one is taken.
 
+What is linked are sets, not ids: a class has a number of its own, so rows that share an id but not a text are linked
+by nothing but their texts. A component's id is the least doc_id of its rows.
+
 Defined cases: null and empty texts have no shingles, component_id is their own id and they are kept;
 rows without doc_id take no part in links and come back with a null component_id, kept; repeated
-rows of one id with one text share a class. Other columns are ignored.
+rows of one id with one text share a class; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,9 +40,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklake.llm.bpe import steps
-from tracklake.llm.common import components, drop, hashes_of, mix, picked, rolling, row_slices, save, words_of
+from tracklake.llm.common import BROADCAST_IDS, components, drop, hashes_of, mix, own_name, picked, rolling, row_slices, save, words_of
 
 SHINGLE = 5
 M, ROWS, BANDS = 149, 5, 29
@@ -114,22 +118,45 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, bounds = shingle_sets(texts)
             bands = bands_of(signatures(s, bounds))
             size = np.diff(bounds)
-            with np.errstate(over="ignore"):
-                total = np.concatenate([[np.uint64(0)], np.cumsum(mix(s ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)])
-                other = np.concatenate([[np.uint64(0)], np.cumsum(mix(s ^ np.uint64(0xE7037ED1A0B428DB)), dtype=np.uint64)])
-                one, two = total[bounds[1:]] - total[bounds[:-1]], other[bounds[1:]] - other[bounds[:-1]]
+            one, two = fingerprint(s, bounds)
             flat = pa.array(bands.reshape(-1).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * bands.shape[1]), flat)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], names=["doc_id", "n_shingles", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(one), pa.array(two), lists], names=["doc_id", "n_shingles", "f1", "f2", "bands"])
+
+
+def fingerprint(s: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set."""
+    with np.errstate(over="ignore"):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(s ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)])
+        other = np.concatenate([[np.uint64(0)], np.cumsum(mix(s ^ np.uint64(0xE7037ED1A0B428DB)), dtype=np.uint64)])
+        return (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64), (other[bounds[1:]] - other[bounds[:-1]]).view(np.int64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, s of the texts that have the set asked for: rows of text, id, n, f1, f2."""
     for batch in batches:
         for lo, texts in steps(batch):
             part = batch.slice(lo, len(texts))
             s, bounds = shingle_sets(texts)
+            one, two = fingerprint(s, bounds)
+            n, f1, f2 = (np.asarray(part.column(c)) for c in ("n", "f1", "f2"))
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(s.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), lists], names=["id", "s"])
+            meant = pa.array((np.diff(bounds) == n) & (one == f1) & (two == f2))
+            yield pa.RecordBatch.from_arrays([part.column("id").filter(meant), lists.filter(meant)], names=["id", "s"])
+
+
+def _marked(names: tuple[str, str, str]):
+    """The rows with three more columns: n, f1, f2 of their texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, texts in steps(batch):
+                part = batch.slice(lo, len(texts))
+                s, bounds = shingle_sets(texts)
+                more = (np.diff(bounds).astype(np.int64), *fingerprint(s, bounds))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x) for x in more)], names=[*part.schema.names, *names])
+
+    return work
 
 
 def _connect(percent: int):
@@ -243,33 +270,60 @@ def _rest(now: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFram
     return both.groupBy("bucket", "i", "j").applyInPandas(_connect(percent), "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of documents."""
+def labelled(documents: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, f1, f2, class, component (numbers, null for rows that take no part) and component_id of each row; written."""
     signed = save(documents.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "signed")
     able = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = save(able.groupBy("n_shingles", "f1", "f2").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select(F.col("r.doc_id").alias("id"), F.col("n_shingles").alias("n"), "f1", "f2", F.col("r.bands").alias("bands")), "classes")
+    classes = able.groupBy("n_shingles", "f1", "f2").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select(F.col("r.doc_id").alias("doc_id"), F.col("n_shingles").alias("n"), "f1", "f2", F.col("r.bands").alias("bands"))
+    classes = save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbers hold once they are written
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return picked(documents.select("doc_id", "text"), ids).mapInArrow(_sets, "id long, s array<long>").dropDuplicates(["id"])
+        wanted = save(classes.select("id", "doc_id", "n", "f1", "f2").join(ids, "id", "left_semi").select(F.col("doc_id").alias("_doc"), "id", "n", "f1", "f2"), "wanted")
+        near = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        texts = documents.select("doc_id", "text").join(near, F.col("doc_id") == F.col("_doc")).select("text", "id", "n", "f1", "f2")
+        return texts.mapInArrow(_sets, "id long, s array<long>").dropDuplicates(["id"])
 
     found = links(classes.select("id", "n", "bands"), sets_of, percent, rounds, block)
-    got = components(found)
-    label = classes.join(got, classes.id == got.node, "left").select("f1", "f2", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("class_component"))
-    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(label, ["f1", "f2", "n_shingles"], "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    got = save(components(found), "components")
+    label = save(classes.join(got, classes.id == got.node, "left").select("id", "doc_id", "n", "f1", "f2", F.coalesce("component", "id").alias("component")), "label")
+    least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = label.join(least, "component").select("f1", "f2", F.col("n").alias("n_shingles"), F.col("id").alias("class"), "component", "component_id")
+    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
+    takes_part = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    only = lambda c: F.when(takes_part, F.col(c))
+    out = save(out.select("doc_id", "n_shingles", "f1", "f2", only("class").alias("class"), only("component").alias("component"), F.when(takes_part, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "labelled")
+    for old in (signed, classes, found, got, label):
+        drop(old)
+    return out
+
+
+def near_duplicates(documents: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of documents."""
+    rows = labelled(documents, percent, rounds, block)
+    return rows.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of documents that stay, one of each component; of repeated rows of an id one stays.
+def keep(documents: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+    """The rows of documents that stay: of each component the row of the least doc_id, one if it has several.
 
-    Rows without doc_id or without words stay all. Other columns may have any name.
+    Rows without doc_id or without words stay all. Only ids move; where rows share an id, they are told apart by
+    their sets. Other columns may have any name.
     """
-    judged = near_duplicates(documents, percent).groupBy("doc_id").agg(F.max("kept").alias("stays"), (F.col("doc_id").isNotNull() & (F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("again"))
-    gone = save(judged.where("NOT stays OR again"), "gone")
-    # an id's repeated rows are one document, unless they have no id or no words to compare
-    again = save(gone.where("stays AND again").select("doc_id"), "again")
+    rows = labelled(documents, percent, rounds, block)
+    winner = save(rows.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "class")).alias("w")).select("w.doc_id", "w.class"), "winners")
+    every = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count("component").alias("able"))
+    won = winner.groupBy("doc_id").agg(F.count("*").alias("won"))
+    judged = every.join(won, "doc_id", "left").where("able > 0 AND (won IS NULL OR rows > 1)")
+    gone = save(judged.select("doc_id", (F.col("rows") > 1).alias("several")), "gone")
+    several = save(gone.where("several").select("doc_id"), "several")
     single = picked(documents, gone.select("doc_id"), "left_anti")
-    if again.isEmpty():
+    if several.isEmpty():
         return single
-    return single.unionByName(picked(documents, again).dropDuplicates(["doc_id"]))
+    n, f1, f2, own = (own_name() for _ in range(4))
+    schema = T.StructType([*documents.schema, *(T.StructField(c, T.LongType()) for c in (n, f1, f2))])
+    apart = picked(documents, several).mapInArrow(_marked((n, f1, f2)), schema)
+    stays = rows.join(several, "doc_id", "left_semi").join(winner, ["doc_id", "class"], "left_semi")
+    stays = stays.select(F.col("doc_id").alias(own), F.col("n_shingles").alias(f"{own}n"), F.col("f1").alias(f"{own}1"), F.col("f2").alias(f"{own}2")).distinct()
+    met = (apart["doc_id"] == F.col(own)) & (F.col(n) == F.col(f"{own}n")) & (F.col(f1) == F.col(f"{own}1")) & (F.col(f2) == F.col(f"{own}2"))
+    best = apart.where(F.col(n) > 0).join(stays, met, "left_semi").dropDuplicates(["doc_id", n, f1, f2])
+    return single.unionByName(best.drop(n, f1, f2)).unionByName(apart.where(F.col(n) == 0).drop(n, f1, f2))
