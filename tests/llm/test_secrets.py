@@ -120,3 +120,75 @@ def test_query_rows(spark):
     clean = secrets.redact(docs)
     assert clean.columns == docs.columns and clean.where("doc_id IS NULL AND text IS NULL").count() == 1
     assert secrets.scan(docs.limit(0)).count() == 0
+
+
+SECRET = "password = hunter22hunter"
+
+
+def raw(data, wbits=15):
+    z = zlib.compressobj(wbits=wbits)
+    return z.compress(data) + z.flush()
+
+
+@pytest.mark.parametrize("head", [b"", b"\x00", b"ab", b"abc", b"\xff" * 4, b"12345"])
+@pytest.mark.parametrize("wbits", [9, 11, 13, 15, 25, 31])
+def test_compressed_data_begin_at_any_byte(head, wbits):
+    inner = base64.b64encode(head + raw(SECRET.encode() * 3, wbits)).decode()
+    for text in (f"x {inner} y", f"d/{inner}"):
+        assert any(text.index(inner) <= a < b <= text.index(inner) + len(inner) for _, a, b in secrets.all_spans(text)[1]), text
+
+
+@pytest.mark.parametrize("text", [
+    "q=password+%3D+hunter22hunter&a=1", "".join(f"\\U{ord(c):08x}" for c in SECRET), "".join(f"\\u{{{ord(c):x}}}" for c in SECRET), "".join(f"%u{ord(c):04x}" for c in SECRET),
+    "".join(f"\\{ord(c):03o}" for c in SECRET), "password &equals; hunter22hunter", "password&colon;hunter22hunter", "password\\u003dhunter22hunter",
+    base64.b64encode(SECRET.encode("utf-16-le")).decode(), base64.b64encode(SECRET.encode("utf-16-be")).decode(), base64.b64encode(SECRET.encode("utf-16")).decode(),
+    '{"a": "' + "\\n".join(base64.b64encode(f"{SECRET} and more of it, {SECRET}".encode()).decode()[k : k + 20] for k in range(0, 100, 20)) + '"}', "\\\\u0070assword = hunter22hunter",
+])
+def test_more_escapes(text):
+    text = f"é see {text} end"
+    assert "hunter22hunter" not in secrets.redacted(text)
+    base, every = secrets.all_spans(text)
+    assert every != [] and all(6 <= a < b <= len(text) - 4 for _, a, b in every)
+
+
+def brute_texts(text, depth=4):
+    """Every text that some chain of plain decoders makes of a text, by trying all of them at all places."""
+    import html as entities
+
+    found, work = {text}, [text]
+    for _ in range(depth):
+        fresh = set()
+        for t in work:
+            fresh |= {urllib.parse.unquote(t), urllib.parse.unquote_plus(t), entities.unescape(t), re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), t)}
+            for run in re.findall(r"[A-Za-z0-9+/_-]{16,}", t):
+                run = run.translate(str.maketrans("-_", "+/"))
+                for at in range(4):
+                    part = run[at:][: (len(run) - at) // 4 * 4] or "AAAA"
+                    for data in {base64.b64decode(part), base64.b64decode(run[at:] + "A" * (-(len(run) - at) % 4))}:
+                        fresh.add(data.decode("latin-1"))
+                        for b in range(len(data)):
+                            try:
+                                fresh.add(zlib.decompressobj(47).decompress(data[b:]).decode("latin-1"))
+                            except zlib.error:
+                                pass
+        work = [t for t in fresh - found if t]
+        found |= fresh
+    return found
+
+
+@pytest.mark.parametrize("seed", range(16))
+def test_layers_against_a_brute_force_decoder(seed):
+    import random
+
+    rng = random.Random(seed)
+    coders = [
+        lambda b: base64.b64encode(b), lambda b: base64.urlsafe_b64encode(b).rstrip(b"="), lambda b: base64.b64encode(bytes(rng.randrange(256) for _ in range(rng.randrange(4))) + gzip.compress(b)),
+        lambda b: base64.b64encode(raw(b, rng.choice([9, 12, 15]))), lambda b: urllib.parse.quote(b, safe="").encode(), lambda b: urllib.parse.quote_plus(b).encode(),
+        lambda b: "".join(f"\\u{c:04x}" for c in b).encode(), lambda b: "".join(f"&#{c};" for c in b).encode(), lambda b: b"see " + b + b" there",
+    ]
+    data = rng.choice([b"token=abcdefgh", b"api_key: zyxwvut", b"nothing to hide", b"key 0123456789abcdef01234567 x"])
+    for _ in range(rng.randrange(1, 4)):
+        data = rng.choice(coders)(data)
+    text = rng.choice(["", "é ", "/path/", "v="]) + data.decode() + rng.choice(["", " end", "\n"])
+    holds = any(secrets.base_spans(t) for t in brute_texts(text))
+    assert bool(secrets.all_spans(text)[1]) == holds, text

@@ -1,11 +1,12 @@
 """Secret scan with a worklist of recursively decoded layers.
 
 A text is layer 0. Every layer is scanned with the three patterns, then searched for encoded stretches: runs of
-URL escapes or Unicode escapes, which decode in place, so that the whole layer with its
-escapes undone is the next layer; and runs of base64 characters, over line ends too. A run may hold an encoding
+escapes (of URLs, also %uXXXX; backslash u, U, x, octal and the short ones of JSON; HTML's numbers and names), which decode in place,
+so that the whole layer with its escapes undone is the next layer, once more with + as a space in words that hold URL
+escapes; and runs of base64 characters, over line ends too. A run may hold an encoding
 anywhere (after a path, say), so it is decoded at each of the four alignments: a run that is text as a whole is
-a layer, and of others every stretch of LEAST_TEXT or more ASCII characters is; and gzip or zlib data
-are inflated wherever their first bytes stand, while they begin as such data. Layers go on the worklist until none is left; a
+a layer, and of others every stretch of LEAST_TEXT or more ASCII characters is, in one byte each or two; and gzip or zlib data
+are inflated wherever their first bytes stand among the decoded ones, for every header that zlib takes, while they begin as such data. Layers go on the worklist until none is left; a
 layer whose content was seen before for the same stretch is not entered again, which ends cycles.
 A layer maps each of its characters to a stretch of the text: escapes to the escape, a decoded run to the
 run, stretches of a run to their own characters, inflated data to the compressed ones. Matches of inner layers
@@ -29,6 +30,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,15 +42,22 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 KINDS = (("assign", ASSIGN, 2, 6), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24))
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-ESCAPE = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|(?:&#(?:x[0-9A-Fa-f]{1,6}|[0-9]{1,7});)+")
+ESCAPE = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|(?:&#(?:x[0-9A-Fa-f]{1,6}|[0-9]{1,7});)+"
+                    r"|(?:%u[0-9A-Fa-f]{4})+|(?:\\U[0-9A-Fa-f]{8})+|(?:\\u\{[0-9A-Fa-f]{1,6}\})+|(?:\\[0-3][0-7]{2})+|(?:\\[nrt\"'/\\])+|(?:&[A-Za-z][A-Za-z0-9]{1,31};)+")
+SINGLE = re.compile(r"%u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|\\([0-3][0-7]{2})|\\([nrt\"'/\\])|&([A-Za-z][A-Za-z0-9]{1,31};)")
+SHORT = {"n": "\n", "r": "\r", "t": "\t"}
+#: A word with a URL escape, in which + may stand for a space.
+FORM = re.compile(r"[^\x20\x09-\x0D%]*+(?:%(?![0-9A-Fa-f]{2})[^\x20\x09-\x0D%]*+)*+%[0-9A-Fa-f]{2}[^\x20\x09-\x0D]*+")
 #: The shortest match, token=abcdef, has 12 characters; they encode to 16.
 LEAST_TEXT, LEAST_WORD = 12, 16
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 CORE = re.compile(r"[A-Za-z0-9+/_-]+")
 ASCII = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
-#: How gzip (1f 8b 08) and zlib data (78 and 01, 5e, 9c or da) begin in base64.
-PACKED = re.compile(r"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]")
+WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){12,}|(?:\x00[\t\n\r\x20-\x7e]){12,}")
+#: How gzip data (1f 8b 08) and zlib data begin: method 8, a window of up to 2^15, a sum that 31 divides, no dictionary.
+HEADS = [bytes((c, f)) for c in range(0x08, 0x79, 0x10) for f in range(256) if (256 * c + f) % 31 == 0 and not f & 0x20]
+PACKED = re.compile(b"\x1f\x8b\x08|" + b"|".join(map(re.escape, HEADS)))
 URLSAFE = str.maketrans("-_", "+/")
 #: Characters of inflated data that are scanned at once, and bytes that are inflated at once.
 WINDOW, PIECE = 1 << 20, 1 << 16
@@ -75,7 +84,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def unescape(run: str) -> list[tuple[str, int, int]]:
     """The characters of a run of escapes, with the stretch of the run that each comes from."""
-    if run[0] == "%" or run[:2] == "\\x":
+    if run[0] == "%" and run[1] != "u" or run[:2] == "\\x":
         if run[0] == "%":
             found = [(m[1], m.start(), m.end()) for m in PERCENT.finditer(run)]
         else:
@@ -95,6 +104,15 @@ def unescape(run: str) -> list[tuple[str, int, int]]:
                 k += 1
         return out
     out = []
+    if run[0] == "&" and run[1] != "#" or run[:2] in ("%u", "\\U") or run[0] == "\\" and run[1] not in "ux" or run[:3] == "\\u{":
+        for m in SINGLE.finditer(run):
+            code = next((int(x, 16) for x in m.group(1, 2, 3) if x), int(m[4], 8) if m[4] else None)
+            if code is None:
+                c = SHORT.get(m[5], m[5]) if m[5] else html5.get(m[6], m[0])
+            else:
+                c = chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
+            out.append((c, m.start(), m.end()))
+        return out
     if run[0] == "\\":
         units = [int(run[k + 2 : k + 6], 16) for k in range(0, len(run), 6)]
         k = 0
@@ -129,14 +147,23 @@ def decoded(core: str, at: int = 0) -> bytes:
 
 
 def packed(data: bytes) -> bool:
-    return data[:3] == b"\x1f\x8b\x08" or data[:2] in (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
+    return PACKED.match(data) is not None
+
+
+def begins(data: bytes) -> bool:
+    """Whether data that look like compressed ones can be inflated at all."""
+    try:
+        z = zlib.decompressobj(47)
+        return bool(z.decompress(data[:64], 64)) or not z.eof and len(data) > 64 and bool(z.decompress(data[64:1024], 64)) or z.eof
+    except zlib.error:
+        return False
 
 
-def members(source: Iterator[bytes]) -> Iterator[bytes]:
-    """The content of the gzip or zlib members of a stream, in pieces, up to a fault or other data."""
-    z, data = None, b""
+def members(source: Iterator[bytes], used: list[int] | None = None) -> Iterator[bytes]:
+    """The content of the gzip or zlib members of a stream, in pieces, up to a fault or other data; used[0]: bytes of it that they took."""
+    z, data, read = None, b"", 0
     for more in source:
-        data += more
+        data, read = data + more, read + len(more)
         while True:
             if z is None:
                 data = data.lstrip(b"\0")
@@ -149,6 +176,8 @@ def members(source: Iterator[bytes]) -> Iterator[bytes]:
                 out = z.decompress(data, PIECE)
             except zlib.error:
                 return
+            if used is not None:
+                used[0] = read - len(z.unused_data if z.eof else z.unconsumed_tail)
             if out:
                 yield out
             if z.eof:
@@ -159,13 +188,21 @@ def members(source: Iterator[bytes]) -> Iterator[bytes]:
                 break
 
 
-def inflated(core: str, at: int) -> Iterator[bytes]:
-    """The content of the data that begin at a base64 character, through all compressed layers."""
+def inflated(core: str, at: int, byte: int, used: list[int]) -> Iterator[bytes]:
+    """The content of the data that begin at a byte of the base64 characters from one on, through all compressed layers.
+
+    used[0]: the bytes of the run that the outermost layer took.
+    """
+
+    def stream_of() -> Iterator[bytes]:
+        first, skip = at + byte // 3 * 4, byte % 3
+        for k in range(first, len(core), PIECE):
+            yield decoded(core[k : k + PIECE])[skip if k == first else 0 :]
 
     def level(n: int) -> Iterator[bytes]:
-        stream: Iterator[bytes] = (decoded(core[k : k + PIECE]) for k in range(at, len(core), PIECE))
-        for _ in range(n):
-            stream = members(stream)
+        stream = stream_of()
+        for k in range(n):
+            stream = members(stream, used if k == 0 else None)
         return stream
 
     n, seen = 1, set()
@@ -211,23 +248,30 @@ def windows(stream: Iterator[bytes]) -> Iterator[str]:
 def base64_layers(layer: Layer, places: Sequence[int], core: str, end: int) -> Iterator[Layer]:
     """The layers in a run of base64 characters, which stand at the places and end, with padding, at end."""
     core = core.translate(URLSAFE)
-    for at in range(4):
-        data = decoded(core, at)
+    runs = [decoded(core, at) for at in range(4)]
+    until = 0  # bits of the run that inflated data took; what begins among them is theirs
+    for bit, at, byte in sorted((6 * at + 8 * m.start(), at, m.start()) for at in range(4) for m in PACKED.finditer(runs[at])):
+        if bit >= until and begins(runs[at][byte : byte + 1024]):
+            used = [0]
+            for text in windows(inflated(core, at, byte, used)):
+                yield Layer(text, layer, [(0, places[bit // 6], end, False)])
+            until = bit + 8 * used[0]
+    for at, data in enumerate(runs):
         if at == 0 and (text := readable(data)):
             yield Layer(text, layer, [(0, places[0], end, False)])
             continue
         for m in ASCII.finditer(data):
-            yield Layer(m[0].decode(), layer, [], (places, at, m.start()))
-    for m in PACKED.finditer(core):
-        for text in windows(inflated(core, m.start())):
-            yield Layer(text, layer, [(0, places[m.start()], end, False)])
+            yield Layer(m[0].decode(), layer, [], (places, at, m.start(), 1))
+        if b"\0" in data:
+            for m in WIDE.finditer(data):
+                yield Layer(m[0].replace(b"\0", b"").decode(), layer, [], (places, at, m.start(), 2))
 
 
 class Layer:
     """A decoded text, and where its characters come from in its parent: pieces (place, first, end, plain),
-    or, for a stretch of a base64 run, the run's places, its alignment and the stretch's first byte."""
+    or, for a stretch of a base64 run, the run's places, its alignment, the stretch's first byte and the bytes of a character."""
 
-    def __init__(self, text: str, parent: Layer | None, pieces: list[tuple[int, int, int, bool]], run: tuple[Sequence[int], int, int] | None = None):
+    def __init__(self, text: str, parent: Layer | None, pieces: list[tuple[int, int, int, bool]], run: tuple[Sequence[int], int, int, int] | None = None):
         self.text, self.parent, self.pieces, self.run = text, parent, pieces, run
         self.places = [p[0] for p in pieces]
 
@@ -236,8 +280,8 @@ class Layer:
         now = self
         while now.parent is not None:
             if now.run is not None:
-                places, at, byte = now.run
-                a, b = places[at + (byte + a) * 8 // 6], places[at + ((byte + b) * 8 - 1) // 6] + 1
+                places, at, byte, wide = now.run
+                a, b = places[at + (byte + a * wide) * 8 // 6], places[at + ((byte + b * wide) * 8 - 1) // 6] + 1
                 now = now.parent
                 continue
             place, first, end, plain = now.pieces[bisect_right(now.places, a) - 1]
@@ -248,25 +292,34 @@ class Layer:
         return a, b
 
 
+def undone(layer: Layer, found: list[tuple[int, int, list]]) -> Layer:
+    """The layer with stretches (start, end, characters and the stretches of it that they come from) replaced."""
+    text, parts, pieces, done, place = layer.text, [], [], 0, 0
+    for start, end, characters in found:
+        if done < start:
+            parts.append(text[done:start])
+            pieces.append((place, done, start, True))
+            place += start - done
+        for c, a, b in characters:
+            parts.append(c)
+            pieces.append((place, start + a, start + b, False))
+            place += len(c)
+        done = end
+    parts.append(text[done:])
+    pieces.append((place, done, len(text), True))
+    return Layer("".join(parts), layer, pieces)
+
+
 def inner_layers(layer: Layer) -> Iterator[Layer]:
     """The next layers of one layer."""
     text = layer.text
-    if "%" in text or "\\" in text or "&#" in text:
-        parts, pieces, done, place = [], [], 0, 0
-        for m in ESCAPE.finditer(text):
-            if done < m.start():
-                parts.append(text[done : m.start()])
-                pieces.append((place, done, m.start(), True))
-                place += m.start() - done
-            for c, a, b in unescape(m[0]):
-                parts.append(c)
-                pieces.append((place, m.start() + a, m.start() + b, False))
-                place += len(c)
-            done = m.end()
-        if done:
-            parts.append(text[done:])
-            pieces.append((place, done, len(text), True))
-            yield Layer("".join(parts), layer, pieces)
+    if "%" in text or "\\" in text or "&" in text:
+        found = [(m.start(), m.end(), unescape(m[0])) for m in ESCAPE.finditer(text)]
+        if found:
+            yield undone(layer, found)
+        plus = [(k, k + 1, [(" ", 0, 1)]) for m in FORM.finditer(text) if "+" in m[0] for k in range(m.start(), m.end()) if text[k] == "+"] if "%" in text and "+" in text else []
+        if plus:
+            yield undone(layer, sorted(found + plus))
     for m in BASE64.finditer(text):
         core = m[0].rstrip("=")
         yield from base64_layers(layer, range(m.start(), m.start() + len(core)), core, m.end())
