@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tracklake.operators import ranks
 from tracklake.schemas import SIZES
+from tracklake.sources.layouts import file_system
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -27,15 +28,15 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _zipped(spark: SparkSession, path: str) -> DataFrame:
-    """The first entry of each archive; an archive is read by one task."""
+    """The first entry of each archive; an archive is read by one task, in pieces."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
         import zipfile
 
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z, z.open(z.infolist()[0]) as f:
+            for name in batch.column(0).to_pylist():
+                fs, at = file_system(name)
+                with fs.open_input_file(at) as source, zipfile.ZipFile(source) as z, z.open(z.infolist()[0]) as f:
                     k, held = 0, []
                     for raw in f:
                         held.append(raw.decode().rstrip("\r\n"))
@@ -44,7 +45,9 @@ def _zipped(spark: SparkSession, path: str) -> DataFrame:
                             k, held = k + len(held), []
                     yield _batch(name, k, held)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(work, "file string, split long, line long, value string")
+    # Spark lists the files; without the content column it does not read them
+    names = spark.read.format("binaryFile").load(path).select("path")
+    return names.repartition("path").mapInArrow(work, "file string, split long, line long, value string")
 
 
 def _batch(name: str, first: int, held: list[str]) -> pa.RecordBatch:
@@ -76,14 +79,23 @@ def parameters(value: Column) -> Column:
     return F.map_from_entries(F.array_distinct(F.transform(found, pair)))
 
 
-def _running(rows: DataFrame, value: Column, name: str, how, carry) -> DataFrame:
-    """how(value) up to each line of a file, within splits and over those before."""
-    rows = rows.withColumn("_v", value)
+def _running(rows: DataFrame, counted: Column, declared: Column) -> DataFrame:
+    """nth and d: how many lines of a file up to each are counted, and the last of them that declares, given its nth.
+
+    Both run within splits; what a split takes over from those before it is one prefix over the splits of its file.
+    """
     own = Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    per_split = rows.groupBy("file", "split").agg(carry("_v").alias("_t"))
+    within = rows.withColumns({"_v": counted, "_d": declared}).withColumn("_n", F.sum("_v").over(own))
+    within = within.withColumn("_d", F.when(F.col("_d").isNotNull(), F.struct("_d.*", F.col("_n").alias("_at"), F.col("split").alias("_split"))))
+    per_split = within.groupBy("file", "split").agg(F.sum("_v").alias("_t"), F.max_by("_d", F.when(F.col("_d").isNotNull(), F.col("line"))).alias("_last"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_split.select("file", "split", how("_t").over(before).alias("_c"))
-    return rows.withColumn(name, how("_v").over(own)).join(carried, ["file", "split"])
+    begun = F.coalesce(F.sum("_t").over(before), F.lit(0))
+    carried = per_split.select("file", "split", begun.alias("_begun"), "_last")
+    carried = carried.withColumn("_last", F.when(F.col("_last").isNotNull(), F.struct("_last.*", (F.col("_last._at") + F.col("_begun")).alias("nth"))))
+    carried = carried.select("file", "split", "_begun", last("_last").over(before).alias("_c"))
+    placed = within.withColumn("_own", last("_d").over(own)).join(carried, ["file", "split"])
+    d = F.when(F.col("_own").isNotNull(), F.struct("_own.*", (F.col("_own._at") + F.col("_begun")).alias("nth"))).otherwise(F.col("_c"))
+    return placed.withColumn("nth", F.col("_n") + F.col("_begun")).withColumn("d", d)
 
 
 def last(c) -> Column:
@@ -113,10 +125,8 @@ def parse_wig(rows: DataFrame, strict: bool = True) -> DataFrame:
     fault = fault.when(~word.isin("track", "browser", "variableStep", "fixedStep") & ~data, F.concat(F.lit("unexpected line: "), "value"))
     fault = fault.when(fixed & number("start").isNull(), F.lit("fixedStep needs a start"))
     fault = fault.when(declares & (get("chrom").isNull() | wrong("step") | wrong("span")), F.concat(F.lit("bad declaration: "), "value"))
-    counted = _running(text.withColumn("fault", fault), F.when(data, 1).otherwise(0).cast("long"), "_n", F.sum, F.sum)
-    counted = counted.withColumn("nth", F.col("_n") + F.coalesce("_c", F.lit(0))).drop("_v", "_n", "_c")
-    at = F.struct(F.concat_ws(":", F.col("split").cast("string"), F.col("line").cast("string")).alias("section"), "word", get("chrom").alias("chrom"), number("start").alias("start"), F.coalesce(number("step"), F.lit(1)).alias("step"), F.coalesce(number("span"), F.lit(1)).alias("span"), F.col("nth").alias("nth"))
-    declared = _running(counted, F.when(declares, at), "_d", last, last).withColumn("d", F.coalesce("_d", "_c"))
+    at = F.struct(F.concat_ws(":", F.col("split").cast("string"), F.col("line").cast("string")).alias("section"), "word", get("chrom").alias("chrom"), number("start").alias("start"), F.coalesce(number("step"), F.lit(1)).alias("step"), F.coalesce(number("span"), F.lit(1)).alias("span"))
+    declared = _running(text.withColumn("fault", fault), F.when(data, 1).otherwise(0).cast("long"), F.when(declares, at))
     two = F.split("value", r"\s+")
     fixed = F.col("d.word") == "fixedStep"
     start = F.when(fixed, F.col("d.start") - 1 + (F.col("nth") - F.col("d.nth") - 1) * F.col("d.step")).otherwise(two[0].try_cast("int") - 1)
