@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -259,6 +260,17 @@ def join_overlap_tiled(spark: SparkSession, sf: str) -> DataFrame:
     return met.groupBy(F.col("l_id").alias("id")).agg(F.count("*").alias("n"), F.sum(iv.intersection_length("l_start", "l_end", "r_start", "r_end")).alias("shared"))
 
 
+@query(f"""WITH {REGIONS}, {LOCI}, a AS (SELECT id, chrom, start, "end" FROM regions UNION ALL SELECT -id, chrom, start, "end" FROM loci),
+  b AS (SELECT id, chrom, start, "end" FROM loci UNION ALL SELECT -id, chrom, start, "end" FROM regions)
+SELECT a.id, count(*) AS n, CAST(sum(least(a."end", b."end") - greatest(a.start, b.start)) AS BIGINT) AS shared FROM a JOIN b ON a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" GROUP BY a.id""")
+def join_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Short and long intervals on both sides: the tile length is measured, and long intervals lie on levels of longer tiles."""
+    short, long = regions(spark, sf), fixtures.loci(spark, sf).select("chrom", "start", "end", "id")
+    minus = lambda d: d.withColumn("id", -F.col("id"))
+    met = joins.interval_join(short.unionByName(minus(long)), long.unionByName(minus(short)))
+    return met.groupBy(F.col("l_id").alias("id")).agg(F.count("*").alias("n"), F.sum(iv.intersection_length("l_start", "l_end", "r_start", "r_end")).cast("long").alias("shared"))
+
+
 def some_sizes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("A", 2600), ("R", 2600)], "chrom string, size int")
 
@@ -573,6 +585,30 @@ def bed_gzip_scan(spark: SparkSession, sf: str) -> DataFrame:
     return text.read_features(spark, path)
 
 
+@query(f"""WITH {FEATURES} SELECT chrom, start, "end", {PACKED} AS rest FROM features""")
+def bed_zip_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature lines in zip archives, one a task."""
+    path = shared_path(spark, "zipped")
+    fs, at = file_system(path)
+    fs.create_dir(at, recursive=True)
+
+    def write(batches):
+        import zipfile
+
+        lines = [line for batch in batches for line in batch.column(0).to_pylist()]
+        if lines:
+            name = uuid.uuid4().hex
+            fs, at = file_system(path)
+            with fs.open_output_stream(f"{at}/{name}.zip", compression=None) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("features.bed", "\n".join(lines))
+            yield pa.RecordBatch.from_pydict({"name": [f"{name}.zip"]})
+
+    rows = bed.pack(features(spark, sf))
+    made = rows.select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), "rest").alias("value")).mapInArrow(write, "name string")
+    names = ",".join(r["name"] for r in made.collect())  # of the attempts that succeeded, one a task
+    return text.read_features(spark, f"{path}/{{{names}}}" if "," in names else f"{path}/{names}")
+
+
 @query(f"""WITH {SIGNAL} SELECT chrom, CAST(max("end") AS INTEGER) AS size FROM signal GROUP BY chrom""")
 def sizes_file_scan(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_path(spark, "sizes")
@@ -737,6 +773,16 @@ def tdf_groups(spark: SparkSession, sf: str) -> DataFrame:
     return groups.select("name", F.col("attributes")["first"].alias("first"), F.col("attributes")["kind"].alias("kind"))
 
 
+@query(f"""WITH {SIGNAL} SELECT '/' || chrom || '/z0/mean' AS dataset, 4 AS version, 'OTHER' AS track_type, 'max,count' AS tracks, true AS compressed, CASE WHEN chrom = 'N' THEN '/N/raw' ELSE '/' || chrom || '/z0/mean' END AS path FROM signal GROUP BY chrom""")
+def tdf_files(spark: SparkSession, sf: str) -> DataFrame:
+    """What the files say of their tracks, and the name that each chromosome's set has at a zoom that only some have."""
+    at = written_tiles(spark, sf)
+    files, sets = indexed.tile_files(spark, at), indexed.tile_sets(spark, at)
+    named = indexed.dataset_of(sets.where("dataset <> '/N/z0/mean'"), sets.select(F.split("dataset", "/")[1].alias("chrom"), "dataset", F.col("path").alias("file")), 0)
+    met = named.join(files, F.col("file") == F.col("path"))
+    return met.select("dataset", "version", "track_type", F.array_join("tracks", ",").alias("tracks"), "compressed", F.col("name").alias("path")).distinct()
+
+
 @query(f"""WITH {TILES}, p AS (SELECT *, row_number() OVER (PARTITION BY dataset, tile ORDER BY start) AS i, count(*) OVER (PARTITION BY dataset, tile) AS n FROM v WHERE track = 0 AND dataset = '/R/z0/mean'),
   w AS (SELECT p.dataset, p.tile, p.start || '-' || p."end" || ': max=' || CAST(p.value AS INTEGER) || ', count=' || CAST(c.value AS INTEGER) AS line FROM p JOIN v c ON c.dataset = p.dataset AND c.track = 1 AND c.start = p.start WHERE i <= 2 OR i > n - 2)
 SELECT dataset, tile, line FROM w""")

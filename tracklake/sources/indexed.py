@@ -467,6 +467,13 @@ def tile_files(spark: SparkSession, path: str) -> DataFrame:
     return in_tasks(spark, path, "version int, window_functions array<string>, track_type string, track_line string, tracks array<string>, build string, compressed boolean", rows)
 
 
+def dataset_of(sets: DataFrame, rows: DataFrame, zoom: int = 0) -> DataFrame:
+    """rows (with chrom) and name: the chromosome's set at a zoom, where sets has it, or that of its raw data."""
+    wanted = rows.withColumn("_wanted", F.format_string(f"/%s/z{zoom}/mean", "chrom"))
+    have = sets.select(F.col("dataset").alias("_have")).distinct()
+    return wanted.join(have, F.col("_wanted") == F.col("_have"), "left").withColumn("name", F.coalesce("_have", F.format_string("/%s/raw", "chrom"))).drop("_wanted", "_have")
+
+
 def named(rows: DataFrame, column: str, name: str) -> DataFrame:
     """The rows of that name; the query fails where there are none."""
     fault = F.raise_error(F.lit(f"no {column} {name}")).cast("boolean")
