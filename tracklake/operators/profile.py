@@ -35,32 +35,30 @@ class _Split:
         self.chroms: dict[str, int] = {}
 
     def add(self, row: np.ndarray, chrom: np.ndarray, names: list, start: np.ndarray, end: np.ndarray) -> None:
-        cuts = np.concatenate([[0], np.flatnonzero(chrom[1:] != chrom[:-1]) + 1, [len(chrom)]])
-        falls = np.flatnonzero((start[1:] < start[:-1]) & (chrom[1:] == chrom[:-1])) + 1
-        if self.fault is None and len(falls):
-            fall = int(falls[0])
-        else:
-            fall = None
-        # after the first fault only new chromosomes matter: as many steps as there are chromosomes, not runs
-        for lo in (cuts[:-1] if self.fault is None else [np.flatnonzero(chrom == c)[0] for c in np.unique(chrom) if names[c] not in self.chroms]):
-            lo, name = int(lo), names[chrom[lo]]
-            going_on = lo == 0 and self.last is not None and name == self.last[0]
-            if self.fault is None and fall is not None and fall < lo:
-                self.fault, self.reason = int(row[fall]), START
-            if self.fault is None and going_on and start[0] < self.last[1]:
-                self.fault, self.reason = int(row[0]), START
-            if self.fault is None and not going_on and name in self.chroms:
-                self.fault, self.reason = int(row[lo]), CHROM
-            self.chroms.setdefault(name, int(row[lo]))
-            if self.fault is not None and lo in cuts[:-1]:
-                for c in np.unique(chrom):
-                    self.chroms.setdefault(names[c], int(row[np.flatnonzero(chrom == c)[0]]))
-                break
-        if self.fault is None and fall is not None:
-            self.fault, self.reason = int(row[fall]), START
+        """More rows of the split; chrom: their places in names."""
+        if self.fault is None and (found := self._fault(chrom, names, start)):
+            self.fault, self.reason = int(row[found[0]]), found[1]
+        for code, at in zip(*np.unique(chrom, return_index=True), strict=True):
+            self.chroms.setdefault(names[code], int(row[at]))
         self.last = (names[chrom[-1]], int(start[-1]))
         self.items, self.length = self.items + len(row), self.length + int((end.astype(np.int64) - start).sum())
 
+    def _fault(self, chrom: np.ndarray, names: list, start: np.ndarray) -> tuple[int, str] | None:
+        """The place of the first row that breaks the order, and why."""
+        goes_on = self.last is not None and names[chrom[0]] == self.last[0]
+        if goes_on and start[0] < self.last[1]:
+            return 0, START
+        switches = np.flatnonzero(chrom[1:] != chrom[:-1]) + 1
+        falls = np.flatnonzero((start[1:] < start[:-1]) & (chrom[1:] == chrom[:-1])) + 1
+        found = [(int(falls[0]), START)] if len(falls) else []
+        seen = set(self.chroms)
+        for at in ([] if goes_on else [0]) + switches.tolist():  # ends at the first that comes again, so few steps
+            if names[chrom[at]] in seen:
+                found.append((at, CHROM))
+                break
+            seen.add(names[chrom[at]])
+        return min(found, default=None)
+
     def row(self) -> tuple:
         return (*self.key, self.first, self.items, self.length, *self.head, *self.last, self.fault, self.reason, [{"chrom": c, "at": at} for c, at in self.chroms.items()])
 
