@@ -202,11 +202,13 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = PERCENT, rounds: int = ROUNDS, block: int = BLOCK, owner: Column | None = None) -> DataFrame:
     """Confirmed links (a, b) between class representatives: enough of them for every component.
 
-    classes: id, n (set size), bands. sets_of gives the full sets (id, s) of the ids (id) it is asked for.
+    classes: id, n (set size), bands, and first where what comes first in a bucket is not the least id: the member that the others
+    are compared with should be an original, and copies mostly have larger ids. sets_of gives the full sets (id, s) of the ids (id) it is asked for.
     owner: what must differ within a bucket for it to count, if not the id.
     """
-    plain = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    counts = [F.count("*").alias("m"), F.min("id").alias("least")]
+    first = F.col("first" if "first" in classes.columns else "id")
+    plain = classes.select("id", "n", first.alias("first"), F.explode("bands").alias("bucket"))
+    counts = [F.count("*").alias("m"), F.min(F.struct("first", "id"))["id"].alias("least")]
     if owner is None:
         full = plain.groupBy("bucket").agg(*counts).where("m > 1")
     else:
@@ -283,7 +285,7 @@ def labelled(documents: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS,
         texts = documents.select("doc_id", "text").join(near, F.col("doc_id") == F.col("_doc")).select("text", "id", "n", "f1", "f2")
         return texts.mapInArrow(_sets, "id long, s array<long>").dropDuplicates(["id"])
 
-    found = links(classes.select("id", "n", "bands"), sets_of, percent, rounds, block)
+    found = links(classes.select("id", "n", "bands", F.col("doc_id").alias("first")), sets_of, percent, rounds, block)
     got = save(components(found), "components")
     label = save(classes.join(got, classes.id == got.node, "left").select("id", "doc_id", "n", "f1", "f2", F.coalesce("component", "id").alias("component")), "label")
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
