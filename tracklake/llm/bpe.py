@@ -10,7 +10,7 @@ together; a step looks each distinct word up once.
 
 The added special token of the vocabulary file is cut out first, as the tokenizers library does.
 Defined cases: a null text counts as empty and has no ids; repeated rows come back as often; rows
-without doc_id are encoded too. Other columns are ignored.
+without doc_id are encoded too; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

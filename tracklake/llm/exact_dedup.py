@@ -10,7 +10,8 @@ text is read once and never shuffled. Equal recipes are confirmed by the digest
 
 Defined cases: a null text counts as empty, and all empty texts are equal. A row without doc_id
 stays only if no row of the group has one: then keep_id is null and one such row stays. Of
-repeated rows of the smallest doc_id one is kept. Other columns are ignored, or kept as they are by keep().
+repeated rows of the smallest doc_id one is kept. An empty table gives no rows. Other columns are
+ignored, or kept as they are by keep().
 """
 
 from __future__ import annotations

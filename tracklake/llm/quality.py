@@ -10,7 +10,7 @@ them; weights (2^BITS floats) are all that is sent back to tasks.
 
 Defined cases: a null text has no words and fails the base rules; labels without quality or doc_id,
 or without a document, are not used; repeated rows are judged each; without labels of both classes the
-method keeps what the base rules keep. Other columns are ignored.
+method keeps what the base rules keep; no documents give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

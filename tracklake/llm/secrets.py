@@ -18,7 +18,7 @@ run can go on; a window without such a place grows until one comes, so memory fo
 stretch of that kind. Other layers are no longer than their parents.
 
 Defined cases: a null text counts as empty; repeated rows are scanned each; rows without doc_id
-are scanned too. Other columns are ignored.
+are scanned too; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ touches in one document is joined to stretches.
 
 Defined cases: rows without doc_id, null texts and texts of fewer than LEAST words have no stretches; repeated rows of an id are
 one document; what repeats one word over and over is left to other rules, and so are repeated lines of fewer than LEAST
-words. Other columns are ignored, or kept as they are by remove().
+words. An empty table gives no rows. Other columns are ignored, or kept as they are by remove().
 """
 
 from __future__ import annotations

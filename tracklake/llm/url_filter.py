@@ -12,7 +12,8 @@ A context that fewer than MIN_CONTEXT training characters followed falls back to
 
 Defined cases: null URLs and URLs without '://' have an empty host and path and no rule; a null or
 empty URL has no characters and is allowed. Repeated rows are judged alike, one output row each.
-Without training rows of one class the cut is 0 and ties are allowed. Other columns are ignored.
+Without training rows of one class the cut is 0 and ties are allowed. No pages give no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,8 +16,8 @@ member is searched for the next version line after a fault.
 
 Defined cases: null html is the empty payload; a null url gives a record without target; rows
 without page_id are written under an id of their own, revisit others but are no originals
-unless no row of the group has a page_id; repeated rows of the smallest page_id are all responses. Other columns
-are ignored.
+unless no row of the group has a page_id; repeated rows of the smallest page_id are all responses; no pages
+give no records. Other columns are ignored.
 """
 
 from __future__ import annotations
