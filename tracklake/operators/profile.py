@@ -111,9 +111,11 @@ def profile(rows: DataFrame) -> DataFrame:
     states, path = splits(rows), shared_path(rows.sparkSession, "states")
     states.write.parquet(path)
     states = rows.sparkSession.read.schema(states.schema).parquet(path)
-    counts = states.agg(F.coalesce(F.sum("items"), F.lit(0)).alias("items"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_length"))
-    chroms = states.select(F.explode("chroms.chrom").alias("c")).agg(F.countDistinct("c").alias("chroms"))
-    first = faults(states).agg(F.min(F.struct("nth", "row", "reason", "file")).alias("f"))
-    one = lambda df: df.withColumn("_k", F.lit(0))
-    joined = one(counts).join(one(chroms), "_k").join(one(first), "_k")
-    return joined.select("chroms", "items", "total_length", F.col("f").isNull().alias("sorted"), F.col("f.file").alias("file"), F.col("f.row").alias("row"), F.col("f.reason").alias("reason"))
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
+    place = "struct<nth: bigint, row: bigint, reason: string, file: string>"
+    counts = states.select("items", "length", none.alias("chrom"), F.lit(None).cast(place).alias("f"))
+    chroms = states.select(zero.alias("items"), zero.alias("length"), F.explode("chroms.chrom").alias("chrom"), F.lit(None).cast(place).alias("f"))
+    found = faults(states).select(zero.alias("items"), zero.alias("length"), none.alias("chrom"), F.struct("nth", "row", "reason", "file").cast(place).alias("f"))
+    total = lambda c: F.coalesce(F.sum(c), zero)
+    one = counts.unionByName(chroms).unionByName(found).agg(F.countDistinct("chrom").alias("chroms"), total("items").alias("items"), total("length").alias("total_length"), F.min("f").alias("f"))
+    return one.select("chroms", "items", "total_length", F.col("f").isNull().alias("sorted"), F.col("f.file").alias("file"), F.col("f.row").alias("row"), F.col("f.reason").alias("reason"))
