@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -73,6 +76,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy(work):
+    """The work of a task, which at its end gives back what its worker holds and does not use; workers serve many stages."""
+
+    def run(batches):
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def own_copy(texts: pa.Array) -> pa.Array:
     """The array without an offset; some string kernels go wrong on slices."""
     return texts.take(pa.array(np.arange(len(texts))))

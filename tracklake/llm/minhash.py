@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklake.llm.bpe import steps
-from tracklake.llm.common import BROADCAST_IDS, components, drop, hashes_of, mix, own_name, picked, rolling, row_slices, save, words_of
+from tracklake.llm.common import BROADCAST_IDS, components, drop, hashes_of, mix, own_name, picked, rolling, row_slices, save, tidy, words_of
 
 SHINGLE = 5
 M, ROWS, BANDS = 149, 5, 29
@@ -274,7 +274,7 @@ def _rest(now: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFram
 
 def labelled(documents: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, f1, f2, class, component (numbers, null for rows that take no part) and component_id of each row; written."""
-    signed = save(documents.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "signed")
+    signed = save(documents.select("doc_id", "text").mapInArrow(tidy(_sign), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "signed")
     able = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = able.groupBy("n_shingles", "f1", "f2").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select(F.col("r.doc_id").alias("doc_id"), F.col("n_shingles").alias("n"), "f1", "f2", F.col("r.bands").alias("bands"))
     classes = save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbers hold once they are written
@@ -283,7 +283,7 @@ def labelled(documents: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS,
         wanted = save(classes.select("id", "doc_id", "n", "f1", "f2").join(ids, "id", "left_semi").select(F.col("doc_id").alias("_doc"), "id", "n", "f1", "f2"), "wanted")
         near = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
         texts = documents.select("doc_id", "text").join(near, F.col("doc_id") == F.col("_doc")).select("text", "id", "n", "f1", "f2")
-        return texts.mapInArrow(_sets, "id long, s array<long>").dropDuplicates(["id"])
+        return texts.mapInArrow(tidy(_sets), "id long, s array<long>").dropDuplicates(["id"])
 
     found = links(classes.select("id", "n", "bands", F.col("doc_id").alias("first")), sets_of, percent, rounds, block)
     got = save(components(found), "components")
@@ -323,7 +323,7 @@ def keep(documents: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, blo
         return single
     n, f1, f2, own = (own_name() for _ in range(4))
     schema = T.StructType([*documents.schema, *(T.StructField(c, T.LongType()) for c in (n, f1, f2))])
-    apart = picked(documents, several).mapInArrow(_marked((n, f1, f2)), schema)
+    apart = picked(documents, several).mapInArrow(tidy(_marked((n, f1, f2))), schema)
     stays = rows.join(several, "doc_id", "left_semi").join(winner, ["doc_id", "class"], "left_semi")
     stays = stays.select(F.col("doc_id").alias(own), F.col("n_shingles").alias(f"{own}n"), F.col("f1").alias(f"{own}1"), F.col("f2").alias(f"{own}2")).distinct()
     met = (apart["doc_id"] == F.col(own)) & (F.col(n) == F.col(f"{own}n")) & (F.col(f1) == F.col(f"{own}1")) & (F.col(f2) == F.col(f"{own}2"))

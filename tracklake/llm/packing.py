@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.llm.bpe import PATTERN, steps, vocabulary, vocabulary_path
-from tracklake.llm.common import save
+from tracklake.llm.common import save, tidy
 
 CAPACITY = 2048
 #: Free tokens at which a bin is nearly full.
@@ -161,7 +161,7 @@ def _merge(capacity: int):
 def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY, slack: int = SLACK, fan: int = FAN, group: int = GROUP) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of documents."""
     path = path or vocabulary_path()
-    now = save(documents.select("doc_id", "text").mapInArrow(_first(path, capacity), SCHEMA), "packed")
+    now = save(documents.select("doc_id", "text").mapInArrow(tidy(_first(path, capacity)), SCHEMA), "packed")
     full = F.col("fill") >= capacity - slack
     done, groups, before = [], None, None
     while True:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.llm.bpe import steps
-from tracklake.llm.common import hashes_of, mix, save, words_of
+from tracklake.llm.common import hashes_of, mix, save, tidy, words_of
 
 BITS = 17
 TRAIN_ROWS, TRAIN_VALUES = 3000, 32 << 20
@@ -173,7 +173,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Mo
     some = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded by `most`, so small enough to broadcast
     found = documents.where("doc_id IS NOT NULL").select("doc_id", "text").join(F.broadcast(some.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality"))), F.col("doc_id") == F.col("_id"))
-    made = save(found.select("doc_id", "quality", "text").mapInArrow(_featured, "doc_id long, quality int, slots array<int>, counts array<float>"), "features")
+    made = save(found.select("doc_id", "quality", "text").mapInArrow(tidy(_featured), "doc_id long, quality int, slots array<int>, counts array<float>"), "features")
     made = made.dropDuplicates(["doc_id"])
     sizes = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over `most` rows at most
     fits = save(made.select("doc_id", F.sum(F.size("slots")).over(sizes).alias("values")).where(F.col("values") <= TRAIN_VALUES).select("doc_id"), "sample")
@@ -253,7 +253,7 @@ def judge(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, least
                 s = judged(texts, model, least)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(texts)).cast(pa.int64()), *(pa.array(s[c].astype(np.int64)) for c in counts), pa.array(s["base_failed"]), pa.array(s["kept"]), pa.array(s["probability"])], names=["doc_id", *counts, "base_failed", "kept", "probability"])
 
-    return documents.select("doc_id", "text").mapInArrow(work, "doc_id long, " + ", ".join(f"{c} long" for c in counts) + ", base_failed boolean, kept boolean, probability double")
+    return documents.select("doc_id", "text").mapInArrow(tidy(work), "doc_id long, " + ", ".join(f"{c} long" for c in counts) + ", base_failed boolean, kept boolean, probability double")
 
 
 def keep(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, least: float = LEAST_PROBABILITY) -> DataFrame:
@@ -265,4 +265,4 @@ def keep(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, least:
             for lo, texts in steps(batch):
                 yield batch.slice(lo, len(texts)).filter(pa.array(judged(texts, model, least)["kept"]))
 
-    return documents.mapInArrow(work, documents.schema)
+    return documents.mapInArrow(tidy(work), documents.schema)

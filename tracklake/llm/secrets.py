@@ -35,7 +35,7 @@ from html.entities import html5
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracklake.llm.common import texts_of
+from tracklake.llm.common import texts_of, tidy
 
 #: Kinds in their order: name, pattern, group whose length counts, least length.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -371,7 +371,7 @@ def scan(documents: DataFrame) -> DataFrame:
                 n.append(len(every))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(spans, pa.string()), pa.array(n, pa.int64())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans"])
 
-    return documents.select("doc_id", "text").mapInArrow(work, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long")
+    return documents.select("doc_id", "text").mapInArrow(tidy(work), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long")
 
 
 def redacted(text: str, mark: str = "[secret]") -> str:
@@ -402,4 +402,4 @@ def redact(documents: DataFrame, column: str = "text", length: str | None = None
                 arrays[j] = pa.array([len(n) if c else w.as_py() for n, c, w in zip(new, changed, arrays[j], strict=True)], arrays[j].type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    return documents.mapInArrow(work, schema)
+    return documents.mapInArrow(tidy(work), schema)
