@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -70,3 +71,29 @@ def test_margins_equal_the_feature_matrix():
     at, words = quality.words_of(texts, lower=False)
     h, codes, names = quality.hashes_of(words)
     assert np.allclose(m.margins(h, at, codes, names, 100), np.bincount(r, m.weights[s] * v, 100) + m.bias, atol=1e-3)
+
+
+class _Tasks:
+    """Stands for a table; gives the work of a task itself."""
+
+    schema = None
+
+    def mapInArrow(self, work, schema):  # noqa: N802
+        return work
+
+
+def test_memory_of_a_task_does_not_follow_its_batch(monkeypatch):
+    rng = random.Random(8)
+    vocabulary = [f"{rng.choice('abcdefgh')}{k}" for k in range(5000)]
+    texts = [" ".join(rng.choices(vocabulary, k=600)) for _ in range(2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    monkeypatch.setattr(quality, "train", lambda *_: quality.Model(np.zeros(1 << quality.BITS, np.float32), 1.0, 1.0, 0.0))
+    work = quality.keep(_Tasks(), None)
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in work([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts)
+    assert peak < 40e6  # 18 MB; 73 MB in steps of 4 MB
