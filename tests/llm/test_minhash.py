@@ -146,3 +146,33 @@ def test_repeated_ids_with_other_texts(spark, seed):
         assert sum(x in group for x in left) == 1 or len({t for _, t in group}) > 1
     if seed == 0:
         assert sorted(left) == sorted([(1, a), (1, b), (4, c)])
+
+
+def test_a_block_holds_each_member_once(spark, monkeypatch):
+    plain = minhash._connect
+
+    def once(percent):
+        work = plain(percent)
+
+        def checked(pdf):
+            assert pdf.id.is_unique  # else sets move more than once to one block
+            return work(pdf)
+
+        return checked
+
+    monkeypatch.setattr(minhash, "_connect", once)
+    rows = table(2, 60, 60, 9)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1, block=16).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+def test_every_pair_of_two_components_meets_in_a_block(spark):
+    comp = {k: k % 3 if k < 30 else 50 + k for k in range(40)}  # 0 is the largest
+    rows = [(7, k, 9, c, 0, 3, 2) for k, c in comp.items()]
+    got = minhash.dealt(spark.createDataFrame(rows, "bucket long, id long, n long, comp long, main long, blocks int, minors int")).collect()
+    assert len({(r.i, r.j, r.id) for r in got}) == len(got) == sum(2 if c == 0 else 4 for c in comp.values())
+    block = {}
+    for r in got:
+        block.setdefault((r.i, r.j), []).append(r)
+    met = {(x.id, y.id) for members in block.values() for x in members if x.minor for y in members if x.comp != y.comp}
+    assert met == {(x, y) for x in comp for y in comp if comp[x] != 0 and comp[x] != comp[y]}

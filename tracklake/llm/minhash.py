@@ -163,7 +163,7 @@ def _connect(percent: int):
     """Links between members of different components of one block of a bucket, without those that connect nothing new."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["minor", "id"], kind="stable").drop_duplicates("id", keep="last").reset_index(drop=True)
+        pdf = pdf.sort_values(["minor", "id"], kind="stable").reset_index(drop=True)
         parent = {c: c for c in pdf.comp}
 
         def root(x):
@@ -230,24 +230,32 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     pairs = pairs.join(size_of("a"), "a").where(near(F.col("n_a"), F.col("n_b"))).select("a", "b")
     found = save(confirm(pairs, sets, percent), "links")
     comp = _labels(sizes, found)
-    larger = member.where("m > 2")  # step 1 has decided the only pair of the others
+    # Labels are joined once a round, and only to members of buckets that may still hold several components.
+    small, large = (member.where(F.col("m") > 2).where((F.col("m") > block // 8) == is_large) for is_large in (False, True))
     for k in range(rounds):
-        now = larger.where(F.col("m") > block // 8).join(comp, "id")
+        now, old = save(large.join(comp, "id"), "now"), large
         several = now.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))).alias("x")).where("c1 <> c2")
         several = save(several.select("bucket", "x.a", "x.ca", "x.na"), "open")
+        large = save(now.drop("comp").join(several.select("bucket"), "bucket", "left_semi"), "members")
+        if k:
+            drop(old)
         if several.isEmpty():
             break
         pairs = now.join(several, "bucket").where((F.col("comp") != F.col("ca")) & near(F.col("n"), F.col("na"))).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         fresh = save(confirm(pairs, sets, percent), "links")
+        for old in (now, several):
+            drop(old)
         if fresh.isEmpty():
             break
         found = save(found.union(fresh), "links")
         comp = _labels(sizes, found)
-    now = larger.join(comp, "id")
+    now = save(small.unionByName(large).join(comp, "id"), "now")
     several = save(now.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket"), "open")
     if not several.isEmpty():
-        found = save(found.union(_rest(larger.join(several, "bucket", "left_semi").join(comp, "id"), sets, percent, block)), "links")
-    for old in (member, sets, several, comp):
+        rest = save(now.join(several, "bucket", "left_semi"), "rest")
+        found = save(found.union(_rest(rest, sets, percent, block)), "links")
+        drop(rest)
+    for old in (member, large, sets, several, now, comp):
         drop(old)
     return found
 
@@ -263,15 +271,25 @@ def _rest(now: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFram
     top = share.groupBy("bucket").agg(F.max(F.struct("k", "comp", "e")).alias("top"), F.sum("k").alias("m"), F.sum("e").alias("e"))
     parts = lambda k, e: F.ceil(F.greatest(k / block, e / BLOCK_SHINGLES)).cast("int")
     top = save(top.select("bucket", F.col("top.comp").alias("main"), parts(F.col("m"), F.col("e")).alias("blocks"), parts(F.col("m") - F.col("top.k"), F.col("e") - F.col("top.e")).alias("minors")), "top")
-    x = save(now.select("bucket", "id", "n", "comp").join(top, "bucket"), "rest")
-    salt = lambda c, k: F.pmod(F.xxhash64("id", F.lit(k)), F.col(c)).cast("int")
-    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    every = x.withColumn("i", salt("blocks", "all")).withColumn("j", spread("minors")).withColumn("minor", F.lit(False))
-    few = x.where("comp <> main").withColumn("i", spread("blocks")).withColumn("j", salt("minors", "few")).withColumn("minor", F.lit(True))
-    both = every.unionByName(few).select("bucket", "i", "j", "id", "n", "comp", "minor").join(sets, "id")
+    both = dealt(now.select("bucket", "id", "n", "comp").join(top, "bucket")).join(sets, "id")
     return both.groupBy("bucket", "i", "j").applyInPandas(_connect(percent), "a long, b long")
 
 
+def dealt(members: DataFrame) -> DataFrame:
+    """Members (bucket, id, n, comp, main, blocks, minors) in the blocks (i, j) of their buckets, each once in a block.
+
+    All stand in row i of their own, in each column; those outside the largest component (minor there) also in each row of column j.
+    """
+    salt = lambda c, k: F.pmod(F.xxhash64("id", F.lit(k)), F.col(c)).cast("int")
+    row, column = salt("blocks", "all"), F.when(F.col("comp") != F.col("main"), salt("minors", "few"))
+    spread = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    place = lambda i, j, minor: F.struct(i.alias("i"), j.alias("j"), minor.alias("minor"))
+    across = F.transform(spread("minors"), lambda j: place(F.col("row"), j, F.coalesce(j == F.col("column"), F.lit(False))))
+    down = F.transform(F.filter(spread("blocks"), lambda i: i != F.col("row")), lambda i: place(i, F.col("column"), F.lit(True)))
+    places = F.when(F.col("column").isNull(), across).otherwise(F.concat(across, down))
+    return members.withColumn("row", row).withColumn("column", column).select("bucket", "id", "n", "comp", F.explode(places).alias("p")).select("bucket", "p.i", "p.j", "id", "n", "comp", "p.minor")
+
+
 def labelled(documents: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, f1, f2, class, component (numbers, null for rows that take no part) and component_id of each row; written."""
     signed = save(documents.select("doc_id", "text").mapInArrow(tidy(_sign), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "signed")
