@@ -23,3 +23,12 @@ def test_components_of_paths_stars_and_nothing(spark):
     want = {k: 0 for k in range(61)} | {k: 100 for k in range(100, 140)} | {200: 200, 201: 200}
     assert got == want
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_a_star_take_two_rounds(spark, monkeypatch):
+    written, plain = [], common.save
+    monkeypatch.setattr(common, "save", lambda df, name="table": (written.append(name), plain(df, name))[1])
+    edges = spark.range(2000).selectExpr("1000 AS a", "id AS b")
+    got = common.components(edges)
+    assert got.count() == 2000 and got.where("component <> 0").isEmpty()
+    assert written.count("label") <= 2

@@ -176,3 +176,17 @@ def test_every_pair_of_two_components_meets_in_a_block(spark):
         block.setdefault((r.i, r.j), []).append(r)
     met = {(x.id, y.id) for members in block.values() for x in members if x.minor for y in members if x.comp != y.comp}
     assert met == {(x, y) for x in comp for y in comp if comp[x] != 0 and comp[x] != comp[y]}
+
+
+def test_labels_are_merged_not_found_anew(spark, monkeypatch):
+    given, plain = [], minhash.components
+
+    def seen(edges, *args, **more):
+        given.append({(min(r.a, r.b), max(r.a, r.b)) for r in edges.collect()})
+        return plain(edges, *args, **more)
+
+    monkeypatch.setattr(minhash, "components", seen)
+    rows = table(2, 40, 150, 8)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1, block=16).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+    assert len(given) > 1 and len(set.union(*given)) == sum(map(len, given))  # components() gets no link twice

@@ -153,20 +153,27 @@ def row_slices(at: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(at, np.arange(n + 1))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def edges_of(pairs: DataFrame) -> DataFrame:
+    """The distinct edges (a < b) of pairs (a, b), written."""
+    return save(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+
+
+def components(edges: DataFrame, rounds: int = 60, written: bool = False) -> DataFrame:
     """Connected components of edges (a, b long): node, component (the smallest node reachable).
 
-    Each round every node points to the neighbour, or itself, that is least in an order drawn
-    anew, pointers are followed once, and the edges are contracted; their number falls by a constant
-    factor whatever the shape of the graph. Rounds are written tables. Nulls may not occur.
+    Each round every node points to the neighbour, or itself, that is least in a random order,
+    pointers are followed once, and the edges are contracted. An order is drawn anew every second round, by which their
+    number falls by a constant factor whatever the shape of the graph; the round that keeps an order ends stars,
+    whose middle then is the least. Rounds are written tables. Nulls may not occur. Edges that edges_of() has
+    written are read as they are, and are gone afterwards.
     """
     spark = edges.sparkSession
-    edges = save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    edges = edges if written else edges_of(edges)
     label = None
     for k in range(rounds):
         if edges.isEmpty():
             break
-        rank = lambda c: F.xxhash64(F.col(c), F.lit(k))  # noqa: E731, B023
+        rank = lambda c: F.xxhash64(F.col(c), F.lit(k // 2))  # noqa: E731, B023
         both = edges.select(F.col("a").alias("n"), F.col("b").alias("m")).union(edges.select("b", "a"))
         least = both.groupBy("n").agg(F.min(F.struct(rank("m").alias("r"), F.col("m"))).alias("best"))
         point = save(least.select("n", F.when(F.col("best.r") < rank("n"), F.col("best.m")).otherwise(F.col("n")).alias("to")), "point")

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklake.llm.bpe import steps
-from tracklake.llm.common import BROADCAST_IDS, components, drop, hashes_of, mix, own_name, picked, rolling, row_slices, save, tidy, words_of
+from tracklake.llm.common import BROADCAST_IDS, components, drop, edges_of, hashes_of, mix, own_name, picked, rolling, row_slices, save, tidy, words_of
 
 SHINGLE = 5
 M, ROWS, BANDS = 149, 5, 29
@@ -160,7 +160,7 @@ def _marked(names: tuple[str, str, str]):
 
 
 def _connect(percent: int):
-    """Links between members of different components of one block of a bucket, without those that connect nothing new."""
+    """Links between different components of one block of a bucket, without those that connect nothing new."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["minor", "id"], kind="stable").reset_index(drop=True)
@@ -171,7 +171,7 @@ def _connect(percent: int):
                 parent[x] = x = parent[parent[x]]
             return x
 
-        n, comp, ids, minor = pdf.n.to_numpy(), pdf.comp.to_numpy(), pdf.id.to_numpy(), pdf.minor.to_numpy()
+        n, comp, minor = pdf.n.to_numpy(), pdf.comp.to_numpy(), pdf.minor.to_numpy()
         flat = np.concatenate([np.asarray(x, np.int64) for x in pdf.s])
         owner = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf.s])
         order = np.argsort(flat, kind="stable")
@@ -186,21 +186,21 @@ def _connect(percent: int):
             for j in np.flatnonzero(100 * both >= percent * (n + n[i] - both)):
                 if (a := root(comp[i])) != (b := root(comp[j])):
                     parent[max(a, b)] = min(a, b)
-                    out.append((ids[i], ids[j]))
+                    out.append((comp[i], comp[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return work
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold."""
+    """The pairs (a, b, and more columns) whose full sets meet the threshold."""
     left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("k"), (F.size("sa") + F.size("sb")).alias("t"))
-    return both.where(100 * F.col("k") >= percent * (F.col("t") - F.col("k"))).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").select(*pairs.columns, F.size(F.array_intersect("sa", "sb")).alias("k"), (F.size("sa") + F.size("sb")).alias("t"))
+    return both.where(100 * F.col("k") >= percent * (F.col("t") - F.col("k"))).select(*pairs.columns)
 
 
-def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = PERCENT, rounds: int = ROUNDS, block: int = BLOCK, owner: Column | None = None) -> DataFrame:
-    """Confirmed links (a, b) between class representatives: enough of them for every component.
+def linked(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = PERCENT, rounds: int = ROUNDS, block: int = BLOCK, owner: Column | None = None) -> DataFrame:
+    """Components by confirmed links: id, comp (the least id reachable) of the classes that share a bucket; written. The others are linked with nothing.
 
     classes: id, n (set size), bands, and first where what comes first in a bucket is not the least id: the member that the others
     are compared with should be an original, and copies mostly have larger ids. sets_of gives the full sets (id, s) of the ids (id) it is asked for.
@@ -208,28 +208,21 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     """
     first = F.col("first" if "first" in classes.columns else "id")
     plain = classes.select("id", "n", first.alias("first"), F.explode("bands").alias("bucket"))
-    counts = [F.count("*").alias("m"), F.min(F.struct("first", "id"))["id"].alias("least")]
+    counts = [F.count("*").alias("m"), F.min_by("id", "first").alias("least"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2")]
     if owner is None:
         full = plain.groupBy("bucket").agg(*counts).where("m > 1")
     else:
-        full = plain.groupBy("bucket").agg(*counts, F.min(owner).alias("o1"), F.max(owner).alias("o2")).where("o1 <> o2").select("bucket", "m", "least")
-    full = save(full, "buckets")
+        full = plain.groupBy("bucket").agg(*counts, F.min(owner).alias("o1"), F.max(owner).alias("o2")).where("o1 <> o2")
+    # of buckets with the same members one is enough
+    full = save(full.groupBy("m", "least", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "m", "least"), "buckets")
     member = save(plain.join(full, "bucket").select("bucket", "id", "n", "m", "least"), "members")
+    sizes = save(member.groupBy("id").agg(F.first("n").alias("n")), "sizes")
     drop(full)
-    # of buckets with the same members one is enough
-    alike = member.groupBy("bucket").agg(F.first("m").alias("m"), F.first("least").alias("least"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2"))
-    alike = save(alike.groupBy("m", "least", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
-    every, member = member, save(member.join(alike, "bucket", "left_semi"), "members")
-    for old in (every, alike):
-        drop(old)
-    sets = save(sets_of(save(member.select("id").distinct(), "wanted")), "sets")
+    sets = save(sets_of(sizes.select("id")), "sets")
     near = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    sizes = member.groupBy("id").agg(F.first("n").alias("n"))
-    size_of = lambda c: sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
     pairs = member.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"), F.col("n").alias("n_b")).distinct()
-    pairs = pairs.join(size_of("a"), "a").where(near(F.col("n_a"), F.col("n_b"))).select("a", "b")
-    found = save(confirm(pairs, sets, percent), "links")
-    comp = _labels(sizes, found)
+    pairs = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").where(near(F.col("n_a"), F.col("n_b"))).select("a", "b")
+    comp = _merged(sizes.select("id", F.col("id").alias("comp")), edges_of(confirm(pairs, sets, percent)))
     # Labels are joined once a round, and only to members of buckets that may still hold several components.
     small, large = (member.where(F.col("m") > 2).where((F.col("m") > block // 8) == is_large) for is_large in (False, True))
     for k in range(rounds):
@@ -241,28 +234,31 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
             drop(old)
         if several.isEmpty():
             break
-        pairs = now.join(several, "bucket").where((F.col("comp") != F.col("ca")) & near(F.col("n"), F.col("na"))).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        fresh = save(confirm(pairs, sets, percent), "links")
+        pairs = now.join(several, "bucket").where((F.col("comp") != F.col("ca")) & near(F.col("n"), F.col("na")))
+        one, two = F.struct(F.col("a").alias("id"), F.col("ca").alias("comp")), F.struct("id", "comp")
+        pairs = pairs.select(F.least(one, two).alias("p"), F.greatest(one, two).alias("q")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.comp").alias("ca"), F.col("q.comp").alias("cb")).distinct()
+        fresh = edges_of(confirm(pairs, sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         for old in (now, several):
             drop(old)
         if fresh.isEmpty():
+            drop(fresh)
             break
-        found = save(found.union(fresh), "links")
-        comp = _labels(sizes, found)
+        comp = _merged(comp, fresh)
     now = save(small.unionByName(large).join(comp, "id"), "now")
     several = save(now.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket"), "open")
     if not several.isEmpty():
         rest = save(now.join(several, "bucket", "left_semi"), "rest")
-        found = save(found.union(_rest(rest, sets, percent, block)), "links")
+        comp = _merged(comp, edges_of(_rest(rest, sets, percent, block)))
         drop(rest)
-    for old in (member, large, sets, several, now, comp):
+    for old in (member, sizes, large, sets, several, now):
         drop(old)
-    return found
+    return comp
 
 
-def _labels(sizes: DataFrame, found: DataFrame) -> DataFrame:
-    got = components(found)
-    return save(sizes.select("id").join(got, sizes.id == got.node, "left").select("id", F.coalesce("component", "id").alias("comp")), "labels")
+def _merged(comp: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Labels (id, comp) after links between their components, as edges_of() has written them; both are read for the last time."""
+    got = components(fresh, written=True)
+    return save(comp.join(got, comp.comp == got.node, "left").select("id", F.coalesce("component", "comp").alias("comp")), "labels")
 
 
 def _rest(now: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
@@ -303,16 +299,15 @@ def labelled(documents: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS,
         texts = documents.select("doc_id", "text").join(near, F.col("doc_id") == F.col("_doc")).select("text", "id", "n", "f1", "f2")
         return texts.mapInArrow(tidy(_sets), "id long, s array<long>").dropDuplicates(["id"])
 
-    found = links(classes.select("id", "n", "bands", F.col("doc_id").alias("first")), sets_of, percent, rounds, block)
-    got = save(components(found), "components")
-    label = save(classes.join(got, classes.id == got.node, "left").select("id", "doc_id", "n", "f1", "f2", F.coalesce("component", "id").alias("component")), "label")
+    comp = linked(classes.select("id", "n", "bands", F.col("doc_id").alias("first")), sets_of, percent, rounds, block)
+    label = save(classes.join(comp, "id", "left").select("id", "doc_id", "n", "f1", "f2", F.coalesce("comp", "id").alias("component")), "label")
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = label.join(least, "component").select("f1", "f2", F.col("n").alias("n_shingles"), F.col("id").alias("class"), "component", "component_id")
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
     takes_part = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     only = lambda c: F.when(takes_part, F.col(c))
     out = save(out.select("doc_id", "n_shingles", "f1", "f2", only("class").alias("class"), only("component").alias("component"), F.when(takes_part, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "labelled")
-    for old in (signed, classes, found, got, label):
+    for old in (signed, classes, comp, label):
         drop(old)
     return out
 

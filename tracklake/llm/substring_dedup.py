@@ -5,7 +5,7 @@ Two kinds of stretches of LEAST words or more are compared, words with A-Z lower
 * Paragraphs: the lines of a text. Lines of the same words are one class. Classes are banded (BANDS bands of ROWS
   minima over the line's 5-word shingles; at a Jaccard similarity of 0.8 a share of (1 - 0.8^ROWS)^BANDS = 0.08 % of the pairs
   shares no band), colliding ones are compared on their full shingle sets and linked at
-  100 * intersection >= 80 * union, as in minhash.links, and components are one passage.
+  100 * intersection >= 80 * union, as in minhash.linked, and components are one passage.
 * Seeds: repeated passages need not begin or end where lines do, so a seed is the LEAST words from an anchor on, and
   anchors are the 5-word shingles whose hash is least among WINNOW neighbours; a text without such a seed has one from
   its least shingle that leaves room. Of any LEAST + WINNOW - 1 = 39 words that two texts share, a seed of both lies
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tracklake.llm.bpe import steps
 from tracklake.llm.common import components, hashes_of, mix, own_name, picked, rolling, save, words_of
-from tracklake.llm.minhash import links
+from tracklake.llm.minhash import linked
 
 SHINGLE, LEAST, WINNOW = 5, 20, 20
 ROWS, BANDS = 2, 7
@@ -242,8 +242,8 @@ def paragraphs_linked(docs: DataFrame, lines: DataFrame, percent: int) -> DataFr
 
     tagged = [F.shiftleft(f"b{b}", 3).bitwiseOR(F.lit(b)) for b in range(BANDS)]
     reps = classes.select("id", (F.col("size") - SHINGLE + 1).cast("long").alias("n"), F.array(*tagged).alias("bands"))
-    got = components(links(reps, sets_of, percent))
-    passage = save(classes.join(got, classes.id == got.node, "left").select("f", "g", "doc", "place", "last", F.coalesce("component", "id").alias("passage")), "passages")
+    comp = linked(reps, sets_of, percent)
+    passage = save(classes.join(comp, "id", "left").select("f", "g", "doc", "place", "last", F.coalesce("comp", "id").alias("passage")), "passages")
     many = passage.groupBy("passage").agg(F.min("doc").alias("first_doc"), F.max("last").alias("end_doc"), F.min_by("place", "doc").alias("first_word")).where("first_doc <> end_doc")
     return passage.join(many.select("passage", "first_doc", "first_word"), "passage").select("f", "g", "first_doc", "first_word")
 
