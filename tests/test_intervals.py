@@ -94,6 +94,27 @@ def test_interval_join_of_very_long_intervals(spark):
     assert joins.interval_join(frame(spark, []), frame(spark, [])).count() == 0
 
 
+def totals(a, b, fits, of):
+    """For each row of a that meets any of b: how many, and what they give in all."""
+    met = [(x, [of(x, y) for y in b if x[0] == y[0] and x[1] < x[2] and y[1] < y[2] and fits(x, y)]) for x in a]
+    return sorted((*x[:3], len(found), sum(found)) for x, found in met if found)
+
+
+def test_overlap_totals(spark):
+    a = some(60, 4) + [("A", 0, 2_000_000_000, 1.0), ("A", -70, 9, 1.0), ("B", 3, 3, 1.0), ("Z", 0, 9, 1.0)]
+    b = some(60, 5, longest=9) + [("A", -9, 1_900_000_000, 1.0), ("B", 0, 8, 1.0), ("B", 0, 8, 1.0)]
+    got = sorted((r.chrom, r.start, r.end, r.n, r.shared) for r in joins.overlap_totals(frame(spark, a), frame(spark, b)).collect())
+    assert got == totals(a, b, lambda x, y: x[1] < y[2] and y[1] < x[2], lambda x, y: min(x[2], y[2]) - max(x[1], y[1]))
+    assert joins.overlap_totals(frame(spark, []), frame(spark, b)).count() == joins.overlap_totals(frame(spark, a), frame(spark, [])).count() == 0
+
+
+def test_totals_where_every_interval_meets_every_other(spark):
+    # ten thousand million pairs, which a join would have to make
+    d = spark.range(100_000).selectExpr("'A' AS chrom", "CAST(id AS INT) AS start", "CAST(id + 200000 AS INT) AS end", "CAST(1 AS FLOAT) AS score")
+    row = joins.overlap_totals(d, d).selectExpr("min(n)", "max(n)", "sum(shared)").first()
+    assert tuple(row) == (100_000, 100_000, sum((200_000 - k) * (100_000 - k) * (2 if k else 1) for k in range(100_000)))
+
+
 def test_join_plan_is_an_equi_join(spark):
     d = frame(spark, some(10, 6)).hint("shuffle_merge")
     plan = joins.interval_join(d, frame(spark, some(10, 7)))._jdf.queryExecution().toString()

@@ -1,4 +1,4 @@
-"""Interval joins as equi joins on tiles."""
+"""Interval joins as equi joins on tiles, and totals over such joins without their pairs."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.functions import intervals as iv
+from tracklake.operators import loci, ranks
 from tracklake.operators.ranges import small
 
 
@@ -53,6 +54,26 @@ def interval_join(left: DataFrame, right: DataFrame, mode: str = "overlaps", til
     return a.join(b, met).drop(*(f"{p}__{c}" for p in "lr" for c in ("own", "level", "tile")))
 
 
+def overlap_totals(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """rows with n and shared: how many of the others overlap each, and the positions shared with them in all; rows that meet none go.
+
+    Pairs may grow with the square of the rows, so none is made. Ends are counted by position and summed along the chromosome:
+    what overlaps [start, end) has begun before end and has not ended by start, and what is shared is the area under the depth
+    between the two.
+    """
+    ends = lambda d, begun, ended: d.where("start < end").select("chrom", F.explode(F.array(*(F.struct(F.col(c).cast("long").alias("pos"), F.lit(b).cast("long").alias("begun"), F.lit(e).cast("long").alias("ended")) for c, b, e in (("start", begun, 0), ("end", 0, ended))))).alias("e"))
+    at = ends(others, 1, 1).unionByName(ends(rows, 0, 0)).where("chrom IS NOT NULL").groupBy("chrom", "e.pos").agg(F.sum("e.begun").alias("begun"), F.sum("e.ended").alias("ended"))
+    at = at.withColumns({"here": F.col("begun"), "moment": F.col("pos") * (F.col("begun") - F.col("ended"))})
+    upto = ranks.running(at, ("chrom",), "pos", ("begun", "ended", "moment"))
+    area = F.col("pos") * (F.col("begun") - F.col("ended")) - F.col("moment")
+    met = rows.where("start < end")
+    for c, count in (("start", F.col("ended")), ("end", F.col("begun") - F.col("here"))):
+        there = upto.select(F.col("chrom").alias("_chrom"), F.col("pos").alias("_pos"), count.alias(f"_n_{c}"), area.alias(f"_area_{c}"))
+        met = met.join(there, (F.col("chrom") == F.col("_chrom")) & (F.col(c).cast("long") == F.col("_pos"))).drop("_chrom", "_pos")
+    n, shared = F.col("_n_end") - F.col("_n_start"), F.col("_area_end") - F.col("_area_start")
+    return met.select(*rows.columns, n.alias("n"), shared.alias("shared")).where("n > 0")
+
+
 def with_sizes(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Rows with their chromosome's size; others go."""
     return rows.join(small(sizes), "chrom")

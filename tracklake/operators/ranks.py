@@ -71,3 +71,14 @@ def runs(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], key: str,
     begun = F.sum(F.col(head) + F.col(inner)).over(d.parts.rowsBetween(Window.unboundedPreceding, 0)) - F.col(inner)
     joined = d.with_carried(marked, per_part, **{base: begun})
     return joined.select(*d.columns, (F.col(base) + F.sum(new).over(d.own)).alias(name))
+
+
+def running(rows: DataFrame, by: tuple[str, ...], order: str, columns: tuple[str, ...]) -> DataFrame:
+    """rows, of which each (by, order) has one, with the sum of each of the columns up to the row in its place; nulls add nothing."""
+    d, names = Dealt(rows, by, (order,)), {c: (own_name(), own_name()) for c in columns}
+    totals = d.rows.groupBy(*by, d.part).agg(*(F.sum(c).alias(total) for c, (total, _) in names.items()))
+    earlier = {before: F.sum(total).over(d.parts.rowsBetween(Window.unboundedPreceding, -1)) for total, before in names.values()}
+    upto = d.own.rowsBetween(Window.unboundedPreceding, 0)
+    added = lambda a, b: F.coalesce(a + b, a, b)
+    sums = {c: added(F.sum(c).over(upto), F.col(before)) for c, (_, before) in names.items()}
+    return d.with_carried(d.rows, totals, **earlier).select(*(sums[c].alias(c) if c in sums else c for c in d.columns))
