@@ -115,6 +115,16 @@ def test_totals_where_every_interval_meets_every_other(spark):
     assert tuple(row) == (100_000, 100_000, sum((200_000 - k) * (100_000 - k) * (2 if k else 1) for k in range(100_000)))
 
 
+def test_contained_totals(spark):
+    a = some(60, 4) + [("A", 0, 2_000_000_000, 1.0), ("A", -70, 9, 1.0), ("A", 0, 2_000_000_000, 2.0), ("B", 3, 3, 1.0), ("Z", 0, 9, 1.0)]
+    b = some(60, 5, longest=9) + [("A", -70, -60, 3.0), ("A", 5, 1_900_000_000, 2.5), ("B", 0, 8, 1.0), ("B", 0, 8, 1.0)]
+    got = sorted((r.chrom, r.start, r.end, r.n, r.total) for r in joins.contained_totals(frame(spark, a), frame(spark, b)).collect())
+    assert got == totals(a, b, lambda x, y: y[1] >= x[1] and y[2] <= x[2], lambda x, y: y[3])
+    inf = joins.contained_totals(frame(spark, [("A", 0, 9, 0.0), ("A", 0, 5, 0.0)]), frame(spark, [("A", 1, 2, 4.0), ("A", 6, 7, float("inf"))]))
+    assert sorted((r.end, r.n, r.total) for r in inf.collect()) == [(5, 1, 4.0), (9, 2, float("inf"))]
+    assert joins.contained_totals(frame(spark, []), frame(spark, b)).count() == joins.contained_totals(frame(spark, a), frame(spark, [])).count() == 0
+
+
 def test_join_plan_is_an_equi_join(spark):
     d = frame(spark, some(10, 6)).hint("shuffle_merge")
     plan = joins.interval_join(d, frame(spark, some(10, 7)))._jdf.queryExecution().toString()

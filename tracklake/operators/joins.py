@@ -74,6 +74,28 @@ def overlap_totals(rows: DataFrame, others: DataFrame) -> DataFrame:
     return met.select(*rows.columns, n.alias("n"), shared.alias("shared")).where("n > 0")
 
 
+def contained_totals(rows: DataFrame, others: DataFrame, value: str = "score") -> DataFrame:
+    """rows with n and total: how many of the others lie within each, and the sum of their values; rows that hold none go.
+
+    No pair is made. Equal intervals count as one; each belongs to the nodes of a tree over positions that hold its start, and a node sums its own by end.
+    A row is covered by the fewest nodes, of which those within it have ended by its end. Sums are merged and not subtracted,
+    so NaN and infinite values stay in the rows that hold them.
+    """
+    key = ("chrom", "level", "node")
+    wanted = rows.where("start < end AND chrom IS NOT NULL").select("chrom", "start", "end").distinct()
+    longest = wanted.agg(F.max(F.col("end").cast("long") - F.col("start"))).first()[0] or 1
+    depth = next(k for k in range(40) if loci.FAN ** (k + 1) > longest)
+    nodes = loci.cover(wanted.select("chrom", F.col("start").alias("id"), F.col("end").alias("bin"), F.col("start").cast("long").alias("lo"), F.col("end").cast("long").alias("hi")), 1, depth)
+    nodes = nodes.select(*key, F.col("id").alias("start"), F.col("bin").alias("end"))
+    held = others.where("start < end").where(F.col("end").cast("long") - F.col("start") <= longest)
+    held = held.groupBy("chrom", "start", "end").agg(F.count("*").alias("n"), F.sum(F.col(value).cast("double")).alias("total"))
+    held = held.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("node", F.floor(F.col("start") / F.pow(F.lit(loci.FAN), F.col("level"))))
+    asked = nodes.select(*key, "end", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("total"))
+    at = held.select(*key, "end", "n", "total").unionByName(asked).groupBy(*key, "end").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    found = nodes.join(ranks.running(at, key, "end", ("n", "total")), [*key, "end"]).groupBy("chrom", "start", "end").agg(F.sum("n").alias("_n"), F.sum("total").alias("_total")).where("_n > 0")
+    return rows.join(found, ["chrom", "start", "end"]).select(*rows.columns, F.col("_n").alias("n"), F.col("_total").alias("total"))
+
+
 def with_sizes(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Rows with their chromosome's size; others go."""
     return rows.join(small(sizes), "chrom")
