@@ -43,6 +43,20 @@ def test_wig_grammar_gz_and_zip(spark, tmp_path):
         assert len({r.section for r in got}) == 3
 
 
+def test_zips_by_pattern_folder_and_list(spark, tmp_path):
+    for name in "ab":
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("x.bed", f"{name}\t1\t5\tr\n{name}\t2\t6")
+    want = [(c, *r) for c in "ab" for r in ((1, 5, "r"), (2, 6, ""))]
+    pattern = text.read_features(spark, f"{tmp_path}/{{a.zip,b.zip}}")
+    assert sorted(map(tuple, pattern.collect())) == want
+    (tmp_path / "c.bed").write_text("c\t3\t7\n")
+    rows = text.lines(spark, str(tmp_path))
+    assert sorted(r.value for r in rows.collect()) == ["a\t1\t5\tr", "a\t2\t6", "b\t1\t5\tr", "b\t2\t6", "c\t3\t7"]
+    both = text.read_features(spark, [f"{tmp_path}/a.zip", f"{tmp_path}/c.bed"])
+    assert sorted(map(tuple, both.collect())) == [*want[:2], ("c", 3, 7, "")]
+
+
 def test_wig_in_many_splits(spark, tmp_path):
     lines = ["track type=wiggle_0"]
     want = []

@@ -19,15 +19,20 @@ from tracklake.schemas import SIZES
 from tracklake.sources.layouts import file_system
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, split, line, value of plain or gzipped text; lines of zip archives likewise."""
-    if path.endswith(".zip"):
-        return _zipped(spark, path)
-    text = spark.read.text(path)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"), "value")
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, split, line, value of plain or gzipped text; lines of zip archives likewise. path: a file, a folder or a pattern, or a list of these.
+
+    Files tell by their own names whether they are archives, since a pattern or folder need not end like its files.
+    """
+    zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
+    archived, text, file = zips.limit(1).count() > 0, spark.read.text(path), F.col("_metadata.file_path")
+    if archived:
+        text = text.where(~F.endswith(file, F.lit(".zip")))  # of file names alone, so that Spark leaves archives out when it plans the scan
+    plain = text.select(file.alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"), "value")
+    return plain.unionByName(_zipped(zips)) if archived else plain
 
 
-def _zipped(spark: SparkSession, path: str) -> DataFrame:
+def _zipped(names: DataFrame) -> DataFrame:
     """The first entry of each archive; an archive is read by one task, in pieces."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,8 +50,7 @@ def _zipped(spark: SparkSession, path: str) -> DataFrame:
                             k, held = k + len(held), []
                     yield _batch(name, k, held)
 
-    # Spark lists the files; without the content column it does not read them
-    names = spark.read.format("binaryFile").load(path).select("path")
+    # Spark listed the files; without the content column it does not read them
     return names.repartition("path").mapInArrow(work, "file string, split long, line long, value string")
 
 
@@ -55,7 +59,7 @@ def _batch(name: str, first: int, held: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array([0] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array(held, pa.string())], names=["file", "split", "line", "value"])
 
 
-def read_features(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_features(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
     """chrom, start, end, rest of feature lines: at most four tab-separated parts.
 
     strict: the query fails at lines without a start and an end; else these are null there.
