@@ -58,6 +58,17 @@ def test_rows_as_written(spark, tmp_path):
     assert (r["items"], r.sorted, r.row, r.reason) == (502, False, 501, profile.CHROM) and r.file.endswith(".parquet")
 
 
+def test_gathered_sections_are_bounded_and_whole(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), s := rng.randrange(50), s + rng.randrange(1, 9), float(rng.randrange(9)), rng.choice("xy")) for _ in range(500)]
+    d = spark.createDataFrame(rows, "chrom string, start int, end int, score float, kind string")
+    got = sections.gathered(d, "kind", most=20)
+    found = got.collect()
+    assert max(len(r.values) for r in found) <= 16 and all(r.starts == sorted(r.starts) for r in found)
+    assert sorted(map(tuple, sections.bedgraph(got).collect())) == sorted(r[:4] for r in rows)
+    assert {(r.chrom, r.kind) for r in found} == {(r[0], r[4]) for r in rows}
+
+
 def test_section_queries_equal_exploded_ones(spark):
     rng = random.Random(5)
     fixed = [("a", rng.randrange(50), rng.choice([1, 3, 10]), rng.choice([1, 2, 5]), [float(k) for k in range(rng.randrange(40))]) for _ in range(30)]

@@ -32,6 +32,16 @@ def splice(rows: DataFrame, section: str = "section", most: int = MAX_ITEMS, ord
     return ranks.ranked(rows, ("chrom", section), order, "part").withColumn("part", F.floor(F.col("part") / most))
 
 
+def gathered(rows: DataFrame, *by: str, most: int = MAX_ITEMS) -> DataFrame:
+    """bedGraph sections (chrom, by, starts, ends, values) of signal rows, starts ascending, of at most `most` items, to a power of two below.
+
+    A task fills sections with rows as they come, so that there are as many of one chromosome and by as it takes, and no row grows with the data.
+    """
+    lots = rows.withColumn("_lot", F.shiftright(F.monotonically_increasing_id(), most.bit_length() - 1))
+    each = lots.groupBy("chrom", *by, "_lot").agg(F.sort_array(F.collect_list(F.struct("start", "end", "score"))).alias("x"))
+    return each.select("chrom", *by, F.col("x.start").alias("starts"), F.col("x.end").alias("ends"), F.col("x.score").alias("values"))
+
+
 def fixed_step(sections: DataFrame) -> DataFrame:
     """chrom, start, end, score of sections (chrom, start, step, span, values)."""
     each = sections.select("chrom", "start", "step", "span", F.posexplode("values").alias("i", "score"))
