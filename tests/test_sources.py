@@ -75,6 +75,19 @@ def test_wig_in_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_wig_windows_hold_blocks_and_not_splits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text, "BLOCK", 64)
+    lines, want = ["track type=wiggle_0"], []
+    for s in range(3):
+        lines += [f"fixedStep chrom=c{s} start=1 step=10 span=5", *(str(k) for k in range(300)), f"variableStep chrom=v{s}", "7 1", "9 2"]
+        want += [(f"c{s}", 10 * k, 10 * k + 5, str(float(k))) for k in range(300)] + [(f"v{s}", 6, 7, "1.0"), (f"v{s}", 8, 9, "2.0")]
+    (tmp_path / "a.wig").write_text("\n".join(lines) + "\n")
+    got = text.read_wig(spark, f"{tmp_path}/a.wig")
+    assert sorted(shown(got.collect())) == sorted(want)
+    specs = [x.split("specifiedwindowframe")[0] for x in got._jdf.queryExecution().optimizedPlan().toString().split("windowspecdefinition(")[1:]]
+    assert specs and all("_block" in x for x in specs)
+
+
 @pytest.mark.parametrize("bad", ["track type=bedGraph\nvariableStep chrom=a\n1 2\n", "track type=wiggle_0\nfixedStep chrom=a\n1\n", "track type=wiggle_0\nvariableStep chrom=a\n1 2\nhello\n", "track type=wiggle_0\n1 2\nvariableStep chrom=a\n3 4\n", "variableStep chrom=a\nInf 2\n", "variableStep chrom=a\n1\n", "variableStep\n1 2\n", "variableStep chrom=a span=x\n1 2\n"])
 def test_wig_faults(spark, tmp_path, bad):
     (tmp_path / "a.wig").write_text(bad)

@@ -1,9 +1,9 @@
 """Text forms of interval tracks: feature lines, bedGraph, WIG and chromosome sizes.
 
 WIG lines depend on lines before them. Files are split as any text; a line's place is its split's offset and
-its number within the split. The last declaration and the count of data lines run within each split, and
-what a split takes over from those before it is a prefix over the splits of a file, so no task
-reads a whole file.
+its number within the split. The last declaration and the count of data lines run within blocks of a few thousand lines, and
+what a block takes over from those before it is a prefix over the blocks of a file, so no task
+reads a whole file or holds a whole split.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ from tracklake.schemas import SIZES
 from tracklake.sources.layouts import file_system
 
 
+#: Lines of a block within which declarations and counts run.
+BLOCK = 1 << 12
+
+
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, split, line, value of plain or gzipped text; lines of zip archives likewise. path: a file, a folder or a pattern, or a list of these.
 
@@ -86,18 +90,20 @@ def parameters(value: Column) -> Column:
 def _running(rows: DataFrame, counted: Column, declared: Column) -> DataFrame:
     """nth and d: how many lines of a file up to each are counted, and the last of them that declares, given its nth.
 
-    Both run within splits; what a split takes over from those before it is one prefix over the splits of its file.
+    Both run within blocks of BLOCK lines, so that no task holds a split, however long; what a block takes over from those before it is one
+    prefix over the blocks of its file.
     """
-    own = Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    within = rows.withColumns({"_v": counted, "_d": declared}).withColumn("_n", F.sum("_v").over(own))
+    block = ("_block", "file", "split")  # first the number, as it sorts fastest
+    own = Window.partitionBy(*block).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    within = rows.withColumns({"_v": counted, "_d": declared, "_block": F.shiftright("line", BLOCK.bit_length() - 1)}).withColumn("_n", F.sum("_v").over(own))
     within = within.withColumn("_d", F.when(F.col("_d").isNotNull(), F.struct("_d.*", F.col("_n").alias("_at"), F.col("split").alias("_split"))))
-    per_split = within.groupBy("file", "split").agg(F.sum("_v").alias("_t"), F.max_by("_d", F.when(F.col("_d").isNotNull(), F.col("line"))).alias("_last"))
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    per_block = within.groupBy(*block).agg(F.sum("_v").alias("_t"), F.max_by("_d", F.when(F.col("_d").isNotNull(), F.col("line"))).alias("_last"))
+    before = Window.partitionBy("file").orderBy("split", "_block").rowsBetween(Window.unboundedPreceding, -1)
     begun = F.coalesce(F.sum("_t").over(before), F.lit(0))
-    carried = per_split.select("file", "split", begun.alias("_begun"), "_last")
+    carried = per_block.select(*block, begun.alias("_begun"), "_last")
     carried = carried.withColumn("_last", F.when(F.col("_last").isNotNull(), F.struct("_last.*", (F.col("_last._at") + F.col("_begun")).alias("nth"))))
-    carried = carried.select("file", "split", "_begun", last("_last").over(before).alias("_c"))
-    placed = within.withColumn("_own", last("_d").over(own)).join(carried, ["file", "split"])
+    carried = carried.select(*block, "_begun", last("_last").over(before).alias("_c"))
+    placed = within.withColumn("_own", last("_d").over(own)).join(carried, [*block])
     d = F.when(F.col("_own").isNotNull(), F.struct("_own.*", (F.col("_own._at") + F.col("_begun")).alias("nth"))).otherwise(F.col("_c"))
     return placed.withColumn("nth", F.col("_n") + F.col("_begun")).withColumn("d", d)
 
